@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = []
+MODULES = ["cleaning", "alignment"]
 
 
 def collect() -> tuple[dict, dict]:

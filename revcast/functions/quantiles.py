@@ -1,10 +1,10 @@
-"""Exact quantiles of a column of any length.
+"""Exact quantiles of columns of any length.
 
 ``percentile`` keeps every distinct value of a group in one task, which suits
 daily frames but not raw tables.  Here a mergeable sketch cuts the value range
-into slices, the rows are counted per distinct value, and only the slice that
-holds a wanted rank is ordered.  The result equals linear interpolation between
-the two neighbouring order statistics.
+of each key into slices, rows are counted per distinct value, and only the
+slices that hold a wanted rank are ordered.  The result equals linear
+interpolation between the two neighbouring order statistics.
 """
 
 from __future__ import annotations
@@ -15,38 +15,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], slices: int = 128) -> DataFrame:
-    """One row with columns ``q0, q1, …`` in the order of ``probs`` (null for an empty column)."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = values.groupBy("v").agg(F.count("*").alias("n"))
+def exact_quantiles(
+    df: DataFrame, column: str, probs: Sequence[float], key: str | None = None, slices: int = 128
+) -> DataFrame:
+    """Columns ``key, q0, q1, …`` in the order of ``probs``; one row per key value that has numbers.
+
+    Keys are few (column names, say): the sketch of each is broadcast.
+    """
+    values = df.select(
+        (F.col(key) if key else F.lit("all")).alias("k"), F.col(column).cast("double").alias("v")
+    ).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = values.groupBy("k", "v").agg(F.count("*").alias("n"))
     cuts = [i / slices for i in range(1, slices)]
-    bounds = values.agg(F.percentile_approx("v", cuts, 10 * slices).alias("bounds"))
-    sliced = counts.crossJoin(F.broadcast(bounds)).select(
-        "v", "n", F.aggregate("bounds", F.lit(0), lambda acc, b: acc + (b < F.col("v")).cast("int")).alias("slice")
-    )
-    totals = sliced.groupBy("slice").agg(F.sum("n").alias("slice_n"))
+    bounds = values.groupBy("k").agg(F.percentile_approx("v", cuts, 10 * slices).alias("bounds"))
+    below = F.aggregate("bounds", F.lit(0), lambda acc, b: acc + (b < F.col("v")).cast("int"))
+    sliced = counts.join(F.broadcast(bounds), "k").select("k", "v", "n", below.alias("slice"))
+
+    totals = sliced.groupBy("k", "slice").agg(F.sum("n").alias("slice_n"))
+    whole = Window.partitionBy("k")
     starts = totals.select(
+        "k",
         "slice",
-        (F.sum("slice_n").over(Window.orderBy("slice")) - F.col("slice_n")).alias("before"),
-        F.sum("slice_n").over(Window.partitionBy(F.lit(1))).alias("total"),
+        (F.sum("slice_n").over(whole.orderBy("slice")) - F.col("slice_n")).alias("before"),
+        F.sum("slice_n").over(whole).alias("total"),
         "slice_n",
     )
-    ranks = starts.select(
-        "slice",
-        "before",
-        F.posexplode(F.array(*[F.lit(float(p)) * (F.col("total") - 1) for p in probs])).alias("i", "pos"),
-        "slice_n",
-    ).filter(
+    positions = F.array(*[F.lit(float(p)) * (F.col("total") - 1) for p in probs])
+    ranks = starts.select("k", "slice", "before", "slice_n", F.posexplode(positions).alias("i", "pos")).filter(
         (F.floor("pos") < F.col("before") + F.col("slice_n")) & (F.ceil("pos") >= F.col("before"))
     )
-    wanted = sliced.join(F.broadcast(starts.select("slice", "before")), "slice").join(
-        F.broadcast(ranks.select("slice").distinct()), "slice", "left_semi"
+    offsets = ranks.groupBy("k", "slice").agg(F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("k", "slice").orderBy("v"))
+    ordered = sliced.join(F.broadcast(offsets), ["k", "slice"]).select(
+        "k", "slice", "v", (upto - F.col("n")).alias("lo"), upto.alias("hi")
     )
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("slice").orderBy("v"))
-    ordered = wanted.select("slice", "v", (upto - F.col("n")).alias("lo"), upto.alias("hi"))
-    hits = ordered.join(F.broadcast(ranks.select("slice", "i", "pos")), "slice")
-    low = F.when((F.floor("pos") >= F.col("lo")) & (F.floor("pos") < F.col("hi")), F.col("v"))
-    high = F.when((F.ceil("pos") >= F.col("lo")) & (F.ceil("pos") < F.col("hi")), F.col("v"))
-    found = hits.groupBy("i").agg(F.max(low).alias("a"), F.max(high).alias("b"), F.max("pos").alias("pos"))
+    hits = ordered.join(F.broadcast(ranks.select("k", "slice", "i", "pos")), ["k", "slice"])
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("lo")) & (rank < F.col("hi")), F.col("v")))
+
+    found = hits.groupBy("k", "i", "pos").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    return found.agg(*[F.max(F.when(F.col("i") == k, value)).alias(f"q{k}") for k in range(len(probs))])
+    out = found.groupBy("k").agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+    return out.withColumnRenamed("k", key) if key else out.drop("k")
+
+
+def exact_quantiles_of(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The same for several columns in one pass: rows ``column, q0, q1, …``."""
+    long = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+        ).alias("e")
+    ).select("e.*")
+    return exact_quantiles(long, "v", probs, key="column")

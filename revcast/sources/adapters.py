@@ -34,7 +34,7 @@ def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, F.col("l_partkey") == part.p_partkey)
         .select(
             F.to_date("o_orderdate").alias("ds"),
-            F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("y"),
+            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"),
             F.col("c_mktsegment").alias("platform"),
             F.col("o_orderpriority").alias("affiliate"),
             F.col("n_name").alias("campaign"),
@@ -76,7 +76,7 @@ def cost(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.trunc(F.to_date("l_shipdate"), "MM").alias("ds"),
             F.col("c_mktsegment").alias("platform"),
         )
-        .agg(F.round(F.sum(F.round(F.col("l_quantity") * F.col("p_retailprice") * 0.01, 2)), 2).alias("cost"))
+        .agg(F.sum(F.col("l_quantity") * F.col("p_retailprice") * 0.01).alias("cost"))
     )
 
 
