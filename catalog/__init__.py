@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "alignment"]
+MODULES = ["cleaning", "alignment", "quality_queries", "feature_queries", "model_queries", "forecast_runs"]
 
 
 def collect() -> tuple[dict, dict]:

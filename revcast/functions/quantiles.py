@@ -25,38 +25,38 @@ def exact_quantiles(
     values = df.select(
         (F.col(key) if key else F.lit("all")).alias("k"), F.col(column).cast("double").alias("v")
     ).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    # everything below works on distinct values, so the input is read once
     counts = values.groupBy("k", "v").agg(F.count("*").alias("n"))
     cuts = [i / slices for i in range(1, slices)]
-    bounds = values.groupBy("k").agg(F.percentile_approx("v", cuts, 10 * slices).alias("bounds"))
+    bounds = counts.groupBy("k").agg(F.percentile_approx("v", cuts, 10 * slices).alias("bounds"))
     below = F.aggregate("bounds", F.lit(0), lambda acc, b: acc + (b < F.col("v")).cast("int"))
     sliced = counts.join(F.broadcast(bounds), "k").select("k", "v", "n", below.alias("slice"))
 
     totals = sliced.groupBy("k", "slice").agg(F.sum("n").alias("slice_n"))
     whole = Window.partitionBy("k")
+    positions = F.array(*[F.lit(float(p)) * (F.sum("slice_n").over(whole) - 1) for p in probs])
     starts = totals.select(
-        "k",
-        "slice",
-        (F.sum("slice_n").over(whole.orderBy("slice")) - F.col("slice_n")).alias("before"),
-        F.sum("slice_n").over(whole).alias("total"),
-        "slice_n",
+        "k", "slice", "slice_n", (F.sum("slice_n").over(whole.orderBy("slice")) - F.col("slice_n")).alias("before"),
+        positions.alias("pos"),
     )
-    positions = F.array(*[F.lit(float(p)) * (F.col("total") - 1) for p in probs])
-    ranks = starts.select("k", "slice", "before", "slice_n", F.posexplode(positions).alias("i", "pos")).filter(
-        (F.floor("pos") < F.col("before") + F.col("slice_n")) & (F.ceil("pos") >= F.col("before"))
+    wanted = starts.filter(
+        F.exists("pos", lambda p: (F.floor(p) < F.col("before") + F.col("slice_n")) & (F.ceil(p) >= F.col("before")))
     )
-    offsets = ranks.groupBy("k", "slice").agg(F.first("before").alias("before"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("k", "slice").orderBy("v"))
-    ordered = sliced.join(F.broadcast(offsets), ["k", "slice"]).select(
-        "k", "slice", "v", (upto - F.col("n")).alias("lo"), upto.alias("hi")
+    ordered = sliced.join(F.broadcast(wanted), ["k", "slice"]).select(
+        "k", "v", "pos", (upto - F.col("n")).alias("lo"), upto.alias("hi")
     )
-    hits = ordered.join(F.broadcast(ranks.select("k", "slice", "i", "pos")), ["k", "slice"])
 
-    def at(rank):
-        return F.max(F.when((rank >= F.col("lo")) & (rank < F.col("hi")), F.col("v")))
+    def quantile(i: int):
+        pos = F.element_at("pos", i + 1)
 
-    found = hits.groupBy("k", "i", "pos").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    out = found.groupBy("k").agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+        def at(rank):
+            return F.max(F.when((rank >= F.col("lo")) & (rank < F.col("hi")), F.col("v")))
+
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        return (low + (high - low) * F.max(pos - F.floor(pos))).alias(f"q{i}")
+
+    out = ordered.groupBy("k").agg(*[quantile(i) for i in range(len(probs))])
     return out.withColumnRenamed("k", key) if key else out.drop("k")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a small result to the checkpoint folder and go on from there.
+
+    Plans built from it stay short, and a lost executor costs no recomputation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
