@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "alignment", "quality_queries", "feature_queries", "model_queries", "forecast_runs"]
+MODULES = [
+    "cleaning",
+    "alignment",
+    "quality_queries",
+    "feature_queries",
+    "model_queries",
+    "forecast_runs",
+    "business_queries",
+    "cohort_queries",
+    "intelligence_queries",
+]
 
 
 def collect() -> tuple[dict, dict]:
