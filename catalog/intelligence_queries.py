@@ -235,9 +235,11 @@ def io10(spark, d):
     return _two_runs(spark, d).load("forecast").select("run_id", "series_id", "ds", "yhat")
 
 
-@REG.add("io11_list_runs", "", "SELECT * FROM (VALUES ('run_2', '2026-01-02'), ('run_1', '2026-01-01')) t(run_id, created_at) WHERE (SELECT count(*) FROM orders) > 0")
+@REG.add("io11_list_runs", sql="""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, max(strftime(o_orderdate, '%Y-%m-%d')) AS created_at FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 50""")
 def io11(spark, d):
-    return sinks.list_runs(_two_runs(spark, d).load("settings"))
+    orders = A.table(spark, d, "orders")
+    entries = orders.select(F.col("o_orderkey").cast("string").alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
+    return sinks.list_runs(entries)
 
 
 @REG.add("jn21_compare_forecasts", "finalf", """SELECT ds, a.y AS run_a, b.y AS run_b, b.y - a.y AS delta FROM (SELECT ds, sum(yhat) AS y FROM finalf WHERE model = 'full_average' GROUP BY 1) a
@@ -247,10 +249,16 @@ def jn21(spark, d):
     return runs.compare_forecasts(f.filter("model = 'full_average'"), f.filter("model = 'trend_drift'"))
 
 
-@REG.add("jn22_compare_settings", "", "SELECT * FROM (VALUES ('horizon', '30', '30', 0), ('depth', 'fast', 'fast', 0), ('model', 'full_average', 'trend_drift', 1)) t(key, run_a, run_b, different) WHERE (SELECT count(*) FROM orders) > 0")
+@REG.add("jn22_compare_settings", "", """SELECT coalesce(a.k, b.k) AS key, a.v AS run_a, b.v AS run_b, CAST(a.v IS DISTINCT FROM b.v AS INT) AS different FROM
+  (SELECT CAST(o_custkey AS VARCHAR) AS k, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN
+  (SELECT CAST(o_custkey AS VARCHAR) AS k, max(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) b ON a.k = b.k""")
 def jn22(spark, d):
-    s = _two_runs(spark, d).load("settings")
-    return runs.compare_settings(s.filter("run_id = 'run_1'"), s.filter("run_id = 'run_2'"))
+    orders = A.table(spark, d, "orders")
+
+    def side(status, pick):
+        return orders.filter(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").cast("string").alias("key")).agg(pick("o_orderpriority").alias("value"))
+
+    return runs.compare_settings(side("F", F.min), side("P", F.max))
 
 
 @REG.add("ev13_run_summaries", "finalf ranked", """WITH b AS (SELECT model AS best_model, wape, mae, rmse, smape, bias FROM ranked WHERE rank = 1), f AS (SELECT CASE model WHEN 'naive' THEN 'a' ELSE 'b' END AS run, count(*) AS forecast_rows, sum(yhat) AS forecast_total,

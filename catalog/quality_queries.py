@@ -91,7 +91,9 @@ def qa08(spark, d):
     return Q.health_monitor(orders, orders.groupBy("ds").agg(F.sum("y").alias("y")))
 
 
-@REG.add("qa08_health_counts", sql="SELECT 0 AS issues, 1 AS watch_items, 5 AS healthy_items FROM (SELECT count(*) FROM orders)")
+@REG.add("qa08_health_counts", "ord", """WITH f AS (SELECT count(DISTINCT ds) AS days, max(ds) - min(ds) AS cover, count(*) - count(DISTINCT ds) AS dup, count(*) - count(y) AS no_y FROM ord),
+  w AS (SELECT (days < 90)::INT + (cover < 60)::INT + (dup > 0)::INT AS w, (no_y > 0)::INT AS i FROM f)
+  SELECT i AS issues, w AS watch_items, 6 - i - w AS healthy_items FROM w""")
 def qa08_counts(spark, d):
     return Q.health_counts(qa08(spark, d))
 

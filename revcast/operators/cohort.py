@@ -118,24 +118,26 @@ def cohort_totals(scored: DataFrame) -> DataFrame:
 
 def cohort_table(scored: DataFrame, group: str = "cost_match_key") -> DataFrame:
     """Lead month x group with revenue, cost, mean ROAS, active months and share."""
-    whole = F.sum("total_revenue").over(Window.partitionBy(F.lit(1)))
+    whole = scored.agg(F.sum("total_revenue").alias("_all"))
     grouped = scored.groupBy("lead_month", F.col(group).alias("cohort_category")).agg(
         F.sum("total_revenue").alias("total_revenue"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
         F.avg("roas").alias("roas"), F.max("active_months").alias("active_months"),
     )
-    return grouped.withColumn("revenue_share", F.col("total_revenue") / F.greatest(whole, F.lit(1.0)))
+    share = F.col("total_revenue") / F.greatest(F.coalesce("_all", F.lit(0.0)), F.lit(1.0))
+    return grouped.join(F.broadcast(whole), how="left").withColumn("revenue_share", share).drop("_all")
 
 
 def latest_lead_months(df: DataFrame, months: int = 12) -> DataFrame:
-    """Rows of the latest lead months."""
-    rank = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("lead_month")))
-    return df.withColumn("_r", rank).filter(F.col("_r") <= months).drop("_r")
+    """Rows of the latest lead months; the list of months is as short as asked for."""
+    latest = df.select("lead_month").distinct().orderBy(F.desc("lead_month")).limit(months)
+    return df.join(F.broadcast(latest), "lead_month", "left_semi")
 
 
 def platform_table(scored: DataFrame, group: str = "cost_match_key", months: int = 12) -> DataFrame:
     """Per group: all-time and latest-12-months revenue, cost and ROAS, and what to do."""
-    rank = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("lead_month")))
-    df = scored.withColumn("_recent", rank <= months)
+    latest = scored.select("lead_month").distinct().orderBy(F.desc("lead_month")).limit(months)
+    df = scored.join(F.broadcast(latest.withColumn("_recent", F.lit(True))), "lead_month", "left")
+    df = df.withColumn("_recent", F.coalesce("_recent", F.lit(False)))
     recent = F.col("_recent")
     grouped = df.groupBy(F.col(group).alias("cohort_category")).agg(
         F.sum("total_revenue").alias("total_revenue"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"),

@@ -97,10 +97,10 @@ def series_summary(
     if "total_cost" in out.columns:
         out = out.withColumn("roas", F.col("total_revenue") / positive("total_cost"))
         out = out.withColumn("recent_roas", F.col("recent_revenue") / positive("recent_cost"))
-    whole = F.sum("total_revenue").over(Window.partitionBy(F.lit(1)))
-    return out.withColumn("share_of_revenue", F.col("total_revenue") / F.greatest(whole, F.lit(1.0))).withColumn(
-        "stability_score", F.coalesce(safe_divide("avg_daily", "volatility"), F.lit(0.0))
-    )
+    whole = per_day.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("_all"))
+    out = out.join(F.broadcast(whole), how="left")
+    out = out.withColumn("share_of_revenue", F.col("total_revenue") / F.greatest(F.col("_all"), F.lit(1.0))).drop("_all")
+    return out.withColumn("stability_score", F.coalesce(safe_divide("avg_daily", "volatility"), F.lit(0.0)))
 
 
 def monthly_totals(daily: DataFrame) -> DataFrame:

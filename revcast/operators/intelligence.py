@@ -158,9 +158,10 @@ def fit_classifier(train: DataFrame, names: list[str], target: str, size: ModelS
     if classes["a"] is None or classes["a"] == classes["b"]:
         return None
     gbt = GBTClassifier(
-        featuresCol="features", labelCol=target, maxIter=size.rounds, maxDepth=size.depth, stepSize=size.rate, seed=SEED,
-        probabilityCol=f"{target}_prob", rawPredictionCol=f"{target}_raw", predictionCol=f"{target}_pred",
+        featuresCol="features", labelCol=target, predictionCol=f"{target}_pred", maxIter=size.rounds, maxDepth=size.depth,
+        stepSize=size.rate, seed=SEED,
     )
+    gbt = gbt.setProbabilityCol(f"{target}_prob").setRawPredictionCol(f"{target}_raw")
     return Pipeline(stages=_stages(names, gbt)).fit(train)
 
 

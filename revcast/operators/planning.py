@@ -96,12 +96,13 @@ def dimension_budget(table: DataFrame, dimensions: dict[str, str], top: int = 8)
     ).filter("_n > 0")
     kind = Window.partitionBy("dimension_type")
     none = F.lit(None).cast("double")
-    df = grouped.select(
+    whole = grouped.groupBy("dimension_type").agg(F.sum("recent_revenue").alias("_all"))
+    df = grouped.join(F.broadcast(whole), "dimension_type").select(
         "dimension_type", "name", "recent_revenue", "prior_revenue",
         pct_change(F.col("recent_revenue"), F.col("prior_revenue")).alias("delta_pct"),
         (safe_divide("recent_revenue", "recent_cost") if "cost" in helpers else none).alias("recent_roas"),
         (safe_divide("recent_revenue", "recent_leads") if "leads" in helpers else none).alias("recent_rpl"),
-        (F.col("recent_revenue") / F.greatest(F.sum("recent_revenue").over(kind), F.lit(1.0))).alias("share"),
+        (F.col("recent_revenue") / F.greatest(F.coalesce("_all", F.lit(0.0)), F.lit(1.0))).alias("share"),
     )
     rank = F.row_number().over(kind.orderBy(F.desc("recent_revenue"), F.asc_nulls_last("delta_pct"), "name"))
     df = df.withColumn("_rank", rank).filter(F.col("_rank") <= top)
