@@ -71,24 +71,31 @@ def _generic(c: str | Column) -> Column:
 
 
 def detect_date_format(df: DataFrame, column: str) -> DateFormat:
-    """One aggregation over the column; the answer is a handful of scalars."""
+    """One pass over the column; the answer is a handful of scalars.
+
+    Formats are tried on the distinct values, weighted by their frequency: dates
+    repeat, and a failed parse is what costs most here.
+    """
     if isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return DateFormat("native")
-    number = to_number(column)
-    text = strip(column)
+    values = df.groupBy(F.col(f"`{column}`").cast("string").alias("v")).agg(F.count("*").alias("n"))
+    number, text = to_number("v"), strip("v")
     kinds = ["excel", *EPOCH_UNITS]
 
+    def weight(hit: Column) -> Column:
+        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+
     def sensible(kind: str) -> Column:
-        seconds = _epoch_seconds(column, kind)
+        seconds = _epoch_seconds("v", kind)
         parsed = F.when(F.abs(seconds) <= _SECONDS_LIMIT, seconds)
-        return F.avg(parsed.between(_SECONDS_1990, _SECONDS_2101 - 1).cast("int"))
+        return F.try_divide(weight(parsed.between(_SECONDS_1990, _SECONDS_2101 - 1)), weight(parsed.isNotNull()))
 
-    facts = df.agg(
-        F.count("*").alias("rows"),
+    facts = values.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.max(F.abs(number)).alias("largest"),
         *[sensible(k).alias(k) for k in kinds],
-        *[F.count(F.try_to_timestamp(text, F.lit(p))).alias(f"p{i}") for i, p in enumerate(TEXT_PATTERNS)],
-        F.count(_generic(column)).alias("generic"),
+        *[weight(F.try_to_timestamp(text, F.lit(p)).isNotNull()).alias(f"p{i}") for i, p in enumerate(TEXT_PATTERNS)],
+        weight(_generic("v").isNotNull()).alias("generic"),
     ).first()
     return _choose(facts.asDict())
 

@@ -13,6 +13,8 @@ NULL_TOKENS = ["", "n/a", "na", "null", "none", "-", "--", "nan"]
 # Text a dimension column may hold for "missing", compared trimmed.
 BLANK_LABELS = ["", "nan", "None", "NaT"]
 
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -22,7 +24,7 @@ def col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col(c).cast("string"), r"^\s+|\s+$", "")
+    return F.trim(col(c).cast("string"), F.lit(WHITE_SPACE))
 
 
 def null_tokens(c: str | Column) -> Column:

@@ -163,30 +163,43 @@ def left_join_helper(revenue: DataFrame, helper: DataFrame, keys: Sequence[str])
     return revenue.join(helper, list(keys), "left")
 
 
-def shares(revenue: DataFrame, helper: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Helper totals divided by the number of revenue rows that will receive them."""
-    counts = revenue.groupBy(*keys).agg(F.count("*").alias("_rows"))
+def key_counts(revenue: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of revenue rows per key; the only thing allocation has to know about the fact table."""
+    return revenue.groupBy(*keys).agg(F.count("*").alias("_rows"))
+
+
+def shares(counts: DataFrame, helper: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Helper totals divided by the number of revenue rows that will receive them.
+
+    ``counts`` may be finer than ``keys``.
+    """
+    counts = counts.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
     return helper.join(counts, list(keys)).select(*keys, *[(F.col(v) / F.col("_rows")).alias(v) for v in values])
 
 
-def allocate_helper(revenue: DataFrame, helper: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+def allocate_helper(
+    revenue: DataFrame, helper: DataFrame, keys: Sequence[str], values: Sequence[str], counts: DataFrame | None = None
+) -> DataFrame:
     """Left join that splits each helper total evenly over the rows it meets."""
-    return left_join_helper(revenue, shares(revenue, helper, keys, values), keys)
+    counts = key_counts(revenue, keys) if counts is None else counts
+    return left_join_helper(revenue, shares(counts, helper, keys, values), keys)
 
 
-def allocate_cost(revenue: DataFrame, cost: DataFrame, bucket: str | None) -> DataFrame:
+def allocate_cost(revenue: DataFrame, cost: DataFrame, bucket: str | None, counts: DataFrame | None = None) -> DataFrame:
     """Cost per revenue row: from the day's bucket where that has cost, else from the company's day.
 
     ``cost`` has one row per (ds, bucket).  Adds ``cost`` and ``cost_bucket``.
     """
-    company = shares(revenue, aggregate_helper(cost, ["ds"], ["cost"]), ["ds"], ["cost"]).withColumnRenamed(
+    if counts is None:
+        counts = key_counts(revenue, ["ds", bucket] if bucket else ["ds"])
+    company = shares(counts, aggregate_helper(cost, ["ds"], ["cost"]), ["ds"], ["cost"]).withColumnRenamed(
         "cost", "_company"
     )
     if bucket is None:
         joined = revenue.join(company, "ds", "left")
         return joined.withColumn("cost", F.col("_company")).withColumn("cost_bucket", F.lit(COMPANY)).drop("_company")
     keys = ["ds", bucket]
-    own = shares(revenue, aggregate_helper(cost, keys, ["cost"]), keys, ["cost"]).withColumnRenamed("cost", "_own")
+    own = shares(counts, aggregate_helper(cost, keys, ["cost"]), keys, ["cost"]).withColumnRenamed("cost", "_own")
     joined = revenue.join(own, keys, "left").join(company, "ds", "left")
     label = F.when(F.col("_own").isNotNull(), F.coalesce(F.col(bucket), F.lit(COMPANY))).otherwise(F.lit(COMPANY))
     return (

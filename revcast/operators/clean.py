@@ -37,12 +37,16 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def parse_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Money text to doubles; a column in which nothing survives stays text."""
+def parse_numeric_columns(df: DataFrame, columns: Sequence[str], judge: DataFrame | None = None) -> DataFrame:
+    """Money text to doubles; a column in which nothing survives stays text.
+
+    ``judge`` is the table that decides, if another one holds the same values
+    and is cheaper to read.
+    """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    kept = df.agg(
+    kept = (df if judge is None else judge).agg(
         *[F.count(_q(c)).alias(f"before_{i}") for i, c in enumerate(columns)],
         *[F.count(parse_money(_q(c))).alias(f"after_{i}") for i, c in enumerate(columns)],
     ).first()
@@ -86,11 +90,13 @@ class FixSpec:
 
 def apply_fixes(df: DataFrame, spec: FixSpec, as_of: str) -> DataFrame:
     """The safe fixes in order: headers, null tokens, blank rows, duplicates, numbers, labels, dates."""
-    out = drop_duplicate_rows(drop_blank_rows(standardize_nulls(trim_headers(df))))
-    out = trim_dimensions(parse_numeric_columns(out, spec.numbers), spec.dimensions)
-    for c in spec.dates:
-        if c in out.columns:
-            out = drop_future_dates(parse_days(out, c), c, as_of)
+    # types are judged on the projection, before anything is shuffled
+    raw = standardize_nulls(trim_headers(df))
+    formats = {c: detect_date_format(raw, c) for c in spec.dates if c in raw.columns}
+    out = drop_duplicate_rows(drop_blank_rows(raw))
+    out = trim_dimensions(parse_numeric_columns(out, spec.numbers, judge=raw), spec.dimensions)
+    for c, fmt in formats.items():
+        out = drop_future_dates(out.withColumn(c, F.to_date(fmt.parse(_q(c)))), c, as_of)
     return out
 
 

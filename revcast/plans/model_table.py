@@ -13,6 +13,7 @@ from revcast.functions.scalars import dimension_value, to_number
 from revcast.mapping import Mapping, cost_bucket, merge_keys
 from revcast.operators import align, clean
 from revcast.schema import COMPANY, ContractError
+from revcast.session import cut
 
 
 @dataclass
@@ -22,9 +23,14 @@ class Source:
 
 
 class ModelTableBuilder:
-    """Joins helpers to revenue one by one; each step keeps one row per revenue row."""
+    """Joins helpers to revenue one by one; each step keeps one row per revenue row.
 
-    def __init__(self, revenue: Source, validate: bool = True):
+    The fact table is read twice whatever the number of helpers: once for the
+    counts per allocation key (written to the checkpoint folder, as allocation,
+    calendar bounds and cadence all come from them) and once for the rows.
+    """
+
+    def __init__(self, revenue: Source, helpers: Sequence[Source] = (), validate: bool = True):
         self.revenue = revenue
         self.validate = validate
         m = revenue.mapping
@@ -37,19 +43,25 @@ class ModelTableBuilder:
         if "profile_id" in df.columns:
             df = df.withColumn("profile_id", dimension_value("profile_id"))
         self.table = df
-        self.bounds = align.day_range(df)
+        keys = {left for h in helpers for left, _ in merge_keys(m, h.mapping)}
+        grain = ["ds", *sorted(keys & set(df.columns))]
+        self.counts = cut(align.key_counts(df, grain)) if helpers else None
+        self.bounds = align.day_range(self.counts) if helpers else None
 
     def _aligned(self, helper: Source, values: Sequence[str], dims: Sequence[str]) -> DataFrame:
         m = helper.mapping
         df = parse_days(helper.frame, m.date, "ds")
         for v in m.values:
             df = df.withColumn(v, to_number(v))
-        for c in dims:
-            df = df.withColumn(c, dimension_value(c))
+        # one row per date and dimensions, stored: every later step starts from this small table
+        df = df.filter(F.col("ds").isNotNull()).groupBy("ds", *[dimension_value(c).alias(c) for c in dims]).agg(
+            *[F.sum(v).alias(v) for v in values]
+        )
+        df = cut(df)
         cadence = align.detect_cadence(df) if m.frequency == "auto" else m.frequency
         if cadence == "D":
             return df.select("ds", *dims, *values)
-        if align.COARSENESS[cadence] <= align.COARSENESS[align.detect_cadence(self.table)]:
+        if align.COARSENESS[cadence] <= align.COARSENESS[align.detect_cadence(self.counts)]:
             return df.select("ds", *dims, *values)
         return align.expand_helper(df, values, dims, cadence, m.fill_method, self.bounds)
 
@@ -67,7 +79,7 @@ class ModelTableBuilder:
         reduced = align.aggregate_helper(daily, keys, values)
         detail = self.revenue.mapping.dimension_columns(self.table)
         if allocate and len(pairs) < len(detail):
-            self.table = align.allocate_helper(self.table, reduced, keys, values)
+            self.table = align.allocate_helper(self.table, reduced, keys, values, self.counts)
         else:
             self.table = align.left_join_helper(self.table, reduced, keys)
         return self
@@ -81,10 +93,10 @@ class ModelTableBuilder:
         dims = helper.mapping.dimension_columns(helper.frame)
         daily = self._aligned(helper, ["cost"], dims)
         if pair is None:
-            self.table = align.allocate_cost(self.table, daily.select("ds", "cost"), None)
+            self.table = align.allocate_cost(self.table, daily.select("ds", "cost"), None, self.counts)
         else:
             daily = self._renamed(daily, [pair]).select("ds", pair[0], "cost")
-            self.table = align.allocate_cost(self.table, daily, pair[0])
+            self.table = align.allocate_cost(self.table, daily, pair[0], self.counts)
         return self
 
     def add_events(self, helper: Source, flags: Sequence[str] = ("event_flag", "outage_flag")) -> ModelTableBuilder:
@@ -121,7 +133,8 @@ def build_model_table(
 ) -> DataFrame:
     """The modeling table; with ``fallback`` a helper that cannot be used leaves revenue alone."""
     try:
-        b = ModelTableBuilder(revenue, validate)
+        helpers = [h for h in (leads, cost, events, *custom) if h is not None]
+        b = ModelTableBuilder(revenue, helpers, validate)
         if leads is not None:
             b.add_leads(leads)
         if cost is not None:
