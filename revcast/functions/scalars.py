@@ -62,6 +62,13 @@ def safe_divide(num: str | Column, den: str | Column, default: float | None = No
     return ratio if default is None else F.coalesce(ratio, F.lit(float(default)))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Correlation aggregate over the pairs without nulls; null where either side is constant."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def clip(c: str | Column, low: float | Column | None = None, high: float | Column | None = None) -> Column:
     """Bounded value; null stays null (``greatest`` alone would turn it into the bound)."""
     value = col(c)

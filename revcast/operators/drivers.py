@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import newest_first
-from revcast.functions.scalars import safe_divide
+from revcast.functions.scalars import correlation, safe_divide
 from revcast.schema import FLAG_COLUMNS
 
 # Columns taken for drivers unless others are named.
@@ -51,7 +51,7 @@ def driver_impact(daily: DataFrame, drivers: Sequence[str] = DRIVERS) -> DataFra
         F.sum(F.abs("x")).alias("volume"),
         F.stddev_pop("x").alias("sx"),
         F.stddev_pop("y").alias("sy"),
-        F.corr("x", "y").alias("corr"),
+        correlation("x", "y").alias("corr"),
         F.count(lx).alias("n_up"),
         F.countDistinct(F.when(up, F.col("x"))).alias("d_up"),
         F.regr_slope(ly, lx).alias("slope"),
@@ -114,7 +114,7 @@ def sheet_impact(daily: DataFrame, impact: DataFrame, sheets: dict[str, Sequence
     modeled = scored.groupBy("sheet", "ds").agg(
         F.sum(F.col("z") * F.col("effect_score")).alias("modeled"), F.coalesce(F.max("y"), F.lit(0.0)).alias("y")
     )
-    share = modeled.groupBy("sheet").agg(F.least(F.lit(1.0), F.abs(F.corr("modeled", "y"))).alias("estimated_revenue_relationship_share"))
+    share = modeled.groupBy("sheet").agg(F.least(F.lit(1.0), F.abs(correlation("modeled", "y"))).alias("estimated_revenue_relationship_share"))
     return (
         grouped.join(active, "sheet")
         .join(share, "sheet", "left")

@@ -96,27 +96,27 @@ def exponential_smoothing(train: DataFrame, horizon: int, frequency: str = "D")
 
 
 def theta(train: DataFrame, horizon: int, frequency: str = "D") -> DataFrame:
-    """Season removed by phase means, simple smoothing, half of the linear trend added back."""
+    """Season removed by phase means around the trend, simple smoothing, half of the trend added back."""
     m = season_length(frequency)
     df = series_arrays(train)
     n = F.col("n")
     df = df.withColumn("mean", _mean(F.col("ys")))
+    middle = (n - 1) / 2.0
+    sxy = F.aggregate(
+        F.transform("ys", lambda y, i: (i - middle) * (y - F.col("mean"))), F.lit(0.0), lambda a, x: a + x
+    )
+    count = n.cast("double")
+    df = df.withColumn("slope", F.coalesce(F.try_divide(sxy, count * (count * count - 1) / 12.0), F.lit(0.0)))
+    # the season is what the phases deviate from the trend line
+    df = df.withColumn("rest", F.transform("ys", lambda y, i: y - F.col("mean") - F.col("slope") * (i - middle)))
     positions = F.sequence(F.lit(0), F.lit(m - 1))
 
     def phase_mean(j: Column) -> Column:
-        picked = F.filter("ys", lambda _, i: i % m == j)
-        return _mean(picked) - F.col("mean")
+        return _mean(F.filter("rest", lambda _, i: i % m == j))
 
     indices = F.when(n >= 2 * m, F.transform(positions, phase_mean)).otherwise(F.array_repeat(F.lit(0.0), m))
     df = df.withColumn("season", indices)
     df = df.withColumn("zs", F.transform("ys", lambda y, i: y - F.element_at("season", (i % m + 1).cast("int"))))
-    middle = (n - 1) / 2.0
-    sxy = F.aggregate(
-        F.transform("zs", lambda z, i: (i - middle) * (z - F.col("mean"))), F.lit(0.0), lambda a, x: a + x
-    )
-    count = n.cast("double")
-    sxx = count * (count * count - 1) / 12.0
-    df = df.withColumn("slope", F.coalesce(F.try_divide(sxy, sxx), F.lit(0.0)))
     df = _with_grid(df, ["alpha"], [(a,) for a in (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)])
     start = F.struct(F.element_at("zs", 1).alias("level"), F.lit(0.0).alias("sse"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import newest_first
-from revcast.functions.scalars import safe_divide
+from revcast.functions.scalars import correlation, safe_divide
 
 LAGS = tuple(range(0, 61, 5))
 
@@ -17,7 +17,7 @@ def response_fit(months: DataFrame) -> DataFrame:
     """One row: revenue over ln(1 + cost) by month, and whether the fit is worth drawing."""
     use = months.filter((F.col("cost") > 0) & (F.col("revenue") >= 0))
     facts = use.agg(
-        F.count("*").alias("months"), F.corr("cost", "revenue").alias("correlation"),
+        F.count("*").alias("months"), correlation("cost", "revenue").alias("correlation"),
         F.regr_slope("revenue", F.log1p("cost")).alias("slope"), F.regr_intercept("revenue", F.log1p("cost")).alias("intercept"),
         F.min("cost").alias("cost_min"), F.max("cost").alias("cost_max"),
     )
@@ -45,7 +45,7 @@ def lag_scan(daily: DataFrame, lags: Sequence[int] = LAGS, least: int = 12) -> D
     wide = daily.select("ds", "y", *[F.lag("leads", k).over(w).alias(f"_l{k}") for k in lags])
     long = wide.select("y", F.explode(cells).alias("c")).select("y", "c.*").filter("x IS NOT NULL AND y IS NOT NULL")
     facts = long.groupBy("lag_days").agg(
-        F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.corr("x", "y").alias("correlation")
+        F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), correlation("x", "y").alias("correlation")
     )
     kept = facts.filter((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0)).select(
         "lag_days", "correlation", F.abs("correlation").alias("abs_correlation")
