@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revcast.mapping import Mapping
 from revcast.operators import align
 from revcast.plans.model_table import Source, build_model_table
+from revcast.session import cut
 from revcast.sources import adapters as A
 
 REVENUE = Mapping("revenue", "ds", ("y",), {"platform": "platform", "affiliate": "affiliate", "campaign": "campaign", "ad": "ad"})
@@ -25,8 +26,8 @@ def model_table(spark, d) -> DataFrame:
 
 def daily_model(spark, d) -> DataFrame:
     """Day and platform: y, leads, cost."""
-    return align.daily_rollup(model_table(spark, d).select("ds", "y", "platform", "leads", "cost"), "platform").select(
-        "series_id", "ds", "y", "leads", "cost")
+    rolled = align.daily_rollup(model_table(spark, d).select("ds", "y", "platform", "leads", "cost"), "platform")
+    return cut(rolled.select("series_id", "ds", "y", "leads", "cost"))
 
 
 def company_daily(spark, d) -> DataFrame:

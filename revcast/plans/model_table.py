@@ -163,4 +163,5 @@ def normalize_input(
     df = df.filter(F.col("y").isNotNull())
     if adjustments:
         df = clean.apply_adjustments(df, adjustments)
-    return clean.stabilize_regressors(align.daily_rollup(df, series))
+    # the roll-up is small and read twice from here on (bounds, then rows)
+    return clean.stabilize_regressors(cut(align.daily_rollup(df, series)))
