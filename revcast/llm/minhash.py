@@ -194,5 +194,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_co
     all stay; run exact dedup before it.
     """
     found = near_duplicates(docs, threshold, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_i"), F.col("text_md5").alias("_h")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("_i")) & (F.md5(whole_text(text_col)) == F.col("_h")), "left_anti")
+    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("i"), F.col("text_md5").alias("h")).distinct()
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    known, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    return docs.toDF(*names).join(gone, (F.col(known) == F.col("i")) & (F.md5(whole_text(text)) == F.col("h")), "left_anti").toDF(*docs.columns)
