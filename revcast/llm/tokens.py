@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_400_000
 LINE_WORDS = 200
+STOPS = frozenset(".,")
 BEYOND = re.compile("[^\x00-\u024f]")
 # the tokenizer's split pattern, a fixed value of its file
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -27,9 +28,10 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those
-    of its parts between blanks and line ends, one after another.  A part of Latin letters is cut once more
-    by the tokenizer's own pattern; all distinct words of a batch that are not in the cache are
-    encoded in long lines, and end-of-word tokens tell where each one ends.
+    of its parts between blanks and line ends, one after another.  In Latin text a comma or full stop after a
+    word is a part of its own, as it is for the tokenizer.  Parts that are not in the cache are cut by the
+    tokenizer's own pattern; distinct words are encoded in long lines, and end-of-word tokens tell where each
+    one ends.
     """
 
     def __init__(self, path: str):
@@ -37,13 +39,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self._forget()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
 
+    def _forget(self) -> None:
+        self.parts: dict[str, bytes] = {"": b""}
+        # parts after which a comma or full stop would belong to the same match
+        self.marked: set[str] = set()
+
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
         if path not in _ENCODERS:
@@ -51,28 +57,44 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.parts) + len(self.words) > CACHE_WORDS:
-            self.parts, self.words = {"": b""}, {}
-        parts = self.parts
-        self._learn(list({w for own in split for w in own if w not in parts}))
-        get = parts.__getitem__
+        if len(self.parts) > CACHE_WORDS:
+            self._forget()
+        latin = [_latin(t) for t in texts]
+        lines = [(t.lower() if own else t).replace("\n", " ") for t, own in zip(texts, latin, strict=True)]
+        split = [(f"{t} ".replace(". ", " . ").replace(", ", " , ") if own else t).split(" ") for t, own in zip(lines, latin, strict=True)]
+        self._learn(split)
+        marked = self.marked
+        again = [i for i, own in enumerate(split) if not marked.isdisjoint(own) and any(b in STOPS and a in marked for a, b in zip(own, own[1:]))]
+        for i in again:
+            split[i] = lines[i].split(" ")
+        self._learn([split[i] for i in again])
+        get = self.parts.__getitem__
         return [b"".join(map(get, own)) for own in split]
 
-    def _learn(self, missing: list[str]) -> None:
-        plain, cut = [], []
-        for w in missing:
+    def _learn(self, split: list[list[str]]) -> None:
+        parts = self.parts
+        words, cut = [], {}
+        for w in {w for own in split for w in own if w not in parts}:
+            if w.isalpha() and (w.isascii() or _latin(w)):
+                words.append(w)
+                continue
+            if not w[-1].isalnum() and w not in STOPS:
+                self.marked.add(w)
             if _latin(w):
-                plain.append(w)
-                cut.append(WORD.findall(w.lower()))
+                cut[w] = WORD.findall(w.lower())
             else:
-                self.parts[w] = self._ids(w)
-        words = self.words
-        self._learn_words(list({x for own in cut for x in own if x not in words}))
-        for w, own in zip(plain, cut, strict=True):
-            self.parts[w] = words[own[0]] if len(own) == 1 else b"".join([words[x] for x in own])
+                parts[w] = self._ids(w)
+        lower = {w.lower() for w in words}
+        lower.update(x for own in cut.values() for x in own)
+        self._learn_words([w for w in lower if w not in parts])
+        for w in words:
+            if w not in parts:
+                parts[w] = parts[w.lower()]
+        for w, own in cut.items():
+            parts[w] = b"".join([parts[x] for x in own])
 
     def _learn_words(self, new: list[str]) -> None:
+        """Words that are one match of the pattern each."""
         groups = [new[i : i + LINE_WORDS] for i in range(0, len(new), LINE_WORDS)]
         lines = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, line in zip(groups, lines, strict=True):
@@ -80,11 +102,11 @@ class WordEncoder:
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(group):
                 for w in group:
-                    self.words[w] = self._ids(w)
+                    self.parts[w] = self._ids(w)
                 continue
             blob, at = ids.tobytes(), 0
             for w, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.words[w] = blob[at:end]
+                self.parts[w] = blob[at:end]
                 at = end
 
     def _ids(self, text: str) -> bytes:
