@@ -108,16 +108,17 @@ def jn11(spark, d):
 
 
 @REG.add("jn11_model_table_events", "rev evd", """SELECT r.ds, profile_id, r.y, platform AS category, e.outage_flag, e.clicks
-  FROM rev r LEFT JOIN evd e USING (ds)""", rnd="y clicks")
+  FROM rev r LEFT JOIN (SELECT * REPLACE (CAST(ds - 9000 AS DATE) AS ds) FROM evd) e USING (ds)""", rnd="y clicks")
 def jn11_events(spark, d):
     from revcast.mapping import Mapping
 
-    ev = A.events_daily(spark, d)
+    # the events are of 2024, the revenue of 1995 to 2001
+    ev = A.events_daily(spark, d).withColumn("ds", F.date_sub("ds", 9000))
     rev = A.revenue(spark, d)
     only = Mapping("revenue", "ds", ("y",), {"category": "platform"})
     out = build_model_table(
         Source(rev, only), events=Source(ev, Mapping("events", "ds", ("outage_flag",))),
-        custom=[Source(ev, Mapping("custom_1", "ds", ("clicks",), frequency="D"))], validate=False)
+        custom=[Source(ev, Mapping("custom_1", "ds", ("clicks",), frequency="D"))])
     return out.select("ds", "profile_id", "y", F.expr("substring(category, 7)").alias("category"), "outage_flag", "clicks")
 
 

@@ -108,9 +108,14 @@ def with_views(names: str, body: str) -> str:
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     scale = float(10**digits)
+
+    def floor(c):
+        # ``F.floor`` gives a long, which ends at 9.2e18; this stays a double of any size
+        return c - F.pmod(c, F.lit(1.0))
+
     return df.select(
         *[
-            (F.floor(F.col(f"`{f.name}`") * scale + 0.501).cast("double") / scale).alias(f.name)
+            (floor(F.col(f"`{f.name}`").cast("double") * scale + 0.501) / scale).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields

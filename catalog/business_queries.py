@@ -106,8 +106,8 @@ def ba06(spark, d):
 @REG.add("ba07_early_warnings")
 def ba07(spark, d):
     table = cut(model_table(spark, d).select("ds", "y", "leads", "cost", "platform", "affiliate", "campaign", "ad", "profile_id"))
-    recs = planning.dimension_budget(table, planning.dimension_columns(table.columns))
-    return planning.early_warnings(daily.tracking(daily.daily_history(table)), recs, users.whale_watch(table))
+    recs = planning.dimension_budget(table, planning.dimension_columns(table.columns), top=8)
+    return planning.early_warnings(daily.tracking(daily.daily_history(table)), recs, users.whale_watch(table), top=12)
 
 
 @REG.add("ba08_anomaly_scores", "zscores", "SELECT * FROM zscores", rnd="y rolling_mean zscore")
@@ -167,7 +167,7 @@ def ba11(spark, d):
     WHEN recent_roas >= greatest(1.2, mr) AND recent_revenue >= mv THEN 'Add budget' WHEN recent_roas < 1 THEN 'Hold / rework' ELSE 'Hold / review' END AS budget_action FROM ssum, m""",
   rnd="recent_revenue recent_cost recent_roas extra_budget_10pct projected_revenue_from_extra_budget projected_total_revenue_after_shift", digits=3)
 def ba11_alloc(spark, d):
-    return planning.allocation(summary(spark, d))
+    return planning.allocation(summary(spark, d), top=15)
 
 
 @REG.add("ba12_dimension_budget", "model", f"""WITH b AS (SELECT *, ds >= (SELECT max(ds) FROM model) - 29 AS r, ds >= (SELECT max(ds) FROM model) - 59 AND ds < (SELECT max(ds) FROM model) - 29 AS p FROM model),
@@ -183,7 +183,7 @@ def ba11_alloc(spark, d):
   FROM a ORDER BY abs(shift) DESC, rr DESC, t, name LIMIT 8""", rnd="recent_revenue prior_revenue delta_pct recent_roas recent_rpl revenue_share", digits=3)
 def ba12(spark, d):
     table = model_table(spark, d)
-    return planning.dimension_budget(table, planning.dimension_columns(["campaign", "ad", "affiliate", "platform"]))
+    return planning.dimension_budget(table, planning.dimension_columns(["campaign", "ad", "affiliate", "platform"]), top=8)
 
 
 @REG.add("ba13_whale_watch", "ord", """WITH p AS (SELECT profile_id AS whale_id, sum(y) FILTER (b <= 89) AS t, sum(y) AS lt, coalesce(sum(y) FILTER (b <= 29), 0) AS rr, coalesce(sum(y) FILTER (b BETWEEN 30 AND 59), 0) AS pr, min(b) AS ls
@@ -200,7 +200,7 @@ def ba13(spark, d):
 @REG.add("ba14_attribution", "ssum", """SELECT row_number() OVER (ORDER BY total_revenue DESC) AS rank, category AS channel, total_revenue AS revenue, share_of_revenue * 100 AS revenue_share_pct, roas, recent_roas, rev_per_lead,
   total_cost, recent_revenue, recent_cost, stability_score FROM ssum""", rnd="revenue revenue_share_pct roas recent_roas rev_per_lead total_cost recent_revenue recent_cost stability_score", digits=3)
 def ba14(spark, d):
-    return planning.attribution(summary(spark, d))
+    return planning.attribution(summary(spark, d), top=15)
 
 
 BRIDGE = "SELECT * FROM (VALUES (0, 'Starting revenue', {s}, 'anchor'))"
@@ -323,7 +323,7 @@ def ba24(spark, d):
   SELECT *, (rank() OVER (ORDER BY roas) + (count(*) OVER (PARTITION BY roas) - 1) / 2) / count(*) OVER () AS efficiency_score FROM r ORDER BY roas DESC, revenue DESC, segment LIMIT 30""", rnd="revenue cost roas efficiency_score")
 def ba25(spark, d):
     months = daily.monthly_totals(company_daily(spark, d))
-    return stats.efficiency_frontier(months.select(F.date_format("month", "yyyy-MMM").alias("segment"), "revenue", "cost"))
+    return stats.efficiency_frontier(months.select(F.date_format("month", "yyyy-MMM").alias("segment"), "revenue", "cost"), top=30)
 
 
 @REG.add("ba26_attrition", "months", """WITH r AS (SELECT month, revenue, lag(revenue) OVER (ORDER BY month) AS prev_revenue FROM months)
@@ -344,4 +344,4 @@ def ba27(spark, d):
   UNION ALL SELECT 1, ds, CASE WHEN zscore < 0 THEN 'warning' ELSE 'info' END, 'Anomaly on ' || strftime(ds, '%Y-%m-%d'), zscore FROM anom""", rnd="value")
 def ba28(spark, d):
     hist = cut(history(spark, d))
-    return daily.alerts(daily.tracking(hist), daily.anomalies(hist))
+    return daily.alerts(daily.tracking(hist), daily.anomalies(hist), top=8)

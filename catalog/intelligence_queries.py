@@ -41,7 +41,7 @@ def in01(spark, d):
 
 
 def explained(spark, d, linear=False):
-    return I.fit_explain_model(cut(daily_model(spark, d)), linear=linear)
+    return I.fit_explain_model(daily_model(spark, d), I.SMALL, linear=linear)
 
 
 @REG.add("in02_explain_model")
@@ -51,7 +51,7 @@ def in02(spark, d):
 
 @REG.add("in03_global_explanation")
 def in03(spark, d):
-    return I.global_explanation(I.contributions(explained(spark, d, True)))
+    return I.global_explanation(I.contributions(explained(spark, d, True)), top=20)
 
 
 @REG.add("in03_local_explanation")
@@ -78,12 +78,12 @@ def in04_risk(spark, d):
 
 @REG.add("in04_opportunity_ranking")
 def in04(spark, d):
-    return I.opportunity_ranking(cut(months(spark, d)))[0]
+    return I.opportunity_ranking(cut(months(spark, d)), I.SMALL)[0]
 
 
 @REG.add("in04_ranking_quality")
 def in04_quality(spark, d):
-    return I.opportunity_ranking(cut(months(spark, d)))[1]
+    return I.opportunity_ranking(cut(months(spark, d)), I.SMALL)[1]
 
 
 @REG.add("in05_lead_quality_targets", "dmonth", """SELECT dimension_type, dimension, month, CAST(next_revenue > 0 AS DOUBLE) AS conversion_target,
@@ -94,14 +94,14 @@ def in05_targets(spark, d):
 
 @REG.add("in05_lead_quality")
 def in05(spark, d):
-    return I.lead_quality(cut(months(spark, d)))
+    return I.lead_quality(cut(months(spark, d)), I.SMALL)
 
 
 @REG.add("in06_residual_anomalies")
 def in06(spark, d):
     daily = cut(daily_model(spark, d))
-    local = I.local_explanation(I.contributions(I.fit_explain_model(daily, linear=True)), rows=400)
-    return I.residual_anomalies(I.fit_explain_model(daily), local)
+    local = I.local_explanation(I.contributions(I.fit_explain_model(daily, I.SMALL, linear=True)), rows=400)
+    return I.residual_anomalies(I.fit_explain_model(daily, I.SMALL), local, rows=50)
 
 
 @REG.add("in07_profile_behavior", "behav", "SELECT * FROM behav", rnd="lifetime_revenue recent_revenue prior_revenue recent_spend_trend revenue_share")
@@ -119,7 +119,7 @@ def in08_targets(spark, d):
 
 @REG.add("in08_whale_prediction")
 def in08(spark, d):
-    return I.whale_prediction(cut(I.profile_behavior(A.revenue_orders(spark, d))))
+    return I.whale_prediction(cut(I.profile_behavior(A.revenue_orders(spark, d))), I.SMALL)
 
 
 @REG.add("in09_response_curve")
@@ -161,7 +161,7 @@ def in14(spark, d):
 @REG.add("in14_user_predictions")
 def in14_users(spark, d):
     orders = cut(A.revenue_orders(spark, d))
-    scores = I.whale_prediction(cut(I.profile_behavior(orders)))
+    scores = I.whale_prediction(cut(I.profile_behavior(orders)), I.SMALL)
     return I.with_user_predictions(users.whale_watch(orders), scores)
 
 
@@ -169,7 +169,7 @@ def in14_users(spark, d):
 def in13(spark, d):
     table = cut(model_table(spark, d).select("ds", "y", "leads", "cost", "platform", "affiliate", "campaign", "profile_id"))
     daily = cut(daily_model(spark, d))
-    out = I.build_intelligence(table, daily, ["ranking", "affiliates", "returns", "confidence"])
+    out = I.build_intelligence(table, daily, ["ranking", "affiliates", "returns", "confidence"], I.SMALL)
     rows = [t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("layer"), "rows") for n, t in out.tables.items()]
     total = rows[0]
     for r in rows[1:]:
@@ -183,7 +183,7 @@ def _folder(spark, name):
 
 @REG.add("in15_model_artefact")
 def in15(spark, d):
-    _, _, model = I.opportunity_ranking(cut(months(spark, d)))
+    _, _, model = I.opportunity_ranking(cut(months(spark, d)), I.SMALL)
     path = _folder(spark, "model")
     I.save_model(model, path, "ranking", I.MONTH_FEATURES, {"target": "next month's class"})
     return spark.read.json(f"{path}/ranking_meta")
@@ -239,14 +239,14 @@ def io10(spark, d):
 def io11(spark, d):
     orders = A.table(spark, d, "orders")
     entries = orders.select(F.col("o_orderkey").cast("string").alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
-    return sinks.list_runs(entries)
+    return sinks.list_runs(entries, recent=50)
 
 
 @REG.add("jn21_compare_forecasts", "finalf", """SELECT ds, a.y AS run_a, b.y AS run_b, b.y - a.y AS delta FROM (SELECT ds, sum(yhat) AS y FROM finalf WHERE model = 'full_average' GROUP BY 1) a
   FULL JOIN (SELECT ds, sum(yhat) AS y FROM finalf WHERE model = 'trend_drift' GROUP BY 1) b USING (ds) ORDER BY ds LIMIT 60""", rnd="run_a run_b delta")
 def jn21(spark, d):
     f = tournament(spark, d).final
-    return runs.compare_forecasts(f.filter("model = 'full_average'"), f.filter("model = 'trend_drift'"))
+    return runs.compare_forecasts(f.filter("model = 'full_average'"), f.filter("model = 'trend_drift'"), rows=60)
 
 
 @REG.add("jn22_compare_settings", "", """SELECT coalesce(a.k, b.k) AS key, a.v AS run_a, b.v AS run_b, CAST(a.v IS DISTINCT FROM b.v AS INT) AS different FROM
@@ -272,7 +272,7 @@ def ev13(spark, d):
 @REG.add("ev13_compare_models", "ranked", """SELECT r.run, rank, model, wape, final_rank_score FROM ranked, (VALUES ('a'), ('b')) r(run) WHERE rank <= 10""", rnd="wape final_rank_score")
 def ev13_models(spark, d):
     r = ranked(tournament(spark, d))
-    return runs.compare_models(r, r)
+    return runs.compare_models(r, r, top=10)
 
 
 @REG.add("ba29_run_history", "model", "SELECT ds, sum(y) AS y, sum(leads) AS leads, sum(cost) AS cost FROM model GROUP BY 1", rnd="y leads cost")

@@ -163,7 +163,7 @@ def _final_train(spark, d):
 
 def _linear(model):
     def run(spark, d):
-        return linear.linear_forecast(_final_train(spark, d).persist(), [0], H, "D", model)
+        return linear.linear_forecast(_final_train(spark, d), [0], H, "D", model)
 
     return run
 
@@ -174,7 +174,7 @@ REG.add("mo12_elasticnet")(_linear("elasticnet"))
 
 def _tree(model):
     def run(spark, d):
-        return trees.tree_forecast(_final_train(spark, d).persist(), [0], 14, "D", model)[0]
+        return trees.tree_forecast(_final_train(spark, d), [0], H, "D", model, trees.SMALL[model])[0]
 
     return run
 
@@ -193,7 +193,7 @@ def mo18(spark, d):
 
 @REG.add("mo19_feature_importance")
 def mo19(spark, d):
-    _, model = trees.tree_forecast(_final_train(spark, d).persist(), [0], 7, "D", "random_forest")
+    _, model = trees.tree_forecast(_final_train(spark, d), [0], H, "D", "random_forest", trees.SMALL["random_forest"])
     return trees.feature_importance(spark, model)
 
 
@@ -277,16 +277,16 @@ def ev11(spark, d):
 
 @REG.add("ev12_sanity_gate", "finalf d", """WITH h AS (SELECT series_id, avg(y) FILTER (rn <= 30) AS a, max(y) FILTER (rn <= 30) AS m FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS rn FROM d) GROUP BY 1),
   p AS (SELECT model, series_id, min(yhat) AS lo, max(yhat) AS hi FROM finalf GROUP BY 1, 2),
-  c AS (SELECT model, max(CASE WHEN lo < 0 THEN 2 WHEN hi > greatest(a * 10, m * 5, 1000000) THEN 3 WHEN hi / greatest(a, 1) > 10 THEN 4 ELSE 0 END) AS code FROM p JOIN h USING (series_id) GROUP BY 1)
-  SELECT model, CAST(code = 0 AS INT) AS passed, CASE code WHEN 0 THEN 'ok' WHEN 2 THEN 'negative forecast values' WHEN 3 THEN 'forecast exceeds the allowed level' ELSE 'forecast to history ratio is too large' END AS reason FROM c""")
+  c AS (SELECT model, series_id, CASE WHEN lo < 0 THEN 2 WHEN hi > greatest(a * 10, m * 5, 1000000) THEN 3 WHEN hi / greatest(a, 1) > 10 THEN 4 ELSE 0 END AS code FROM p JOIN h USING (series_id))
+  SELECT model, series_id, CAST(code = 0 AS INT) AS passed, CASE code WHEN 0 THEN 'ok' WHEN 2 THEN 'negative forecast values' WHEN 3 THEN 'forecast exceeds the allowed level' ELSE 'forecast to history ratio is too large' END AS reason FROM c""")
 def ev12(spark, d):
     t = tournament(spark, d)
     return blend.sanity_gate(t.final, t.daily)
 
 
-@REG.add("jn20_common_days", "finalf", """SELECT series_id, ds, count(*) AS models FROM finalf GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT model) FROM finalf)""")
+@REG.add("jn20_common_days", "finalf", """SELECT series_id, ds, count(*) AS models FROM finalf GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT model) FROM finalf g WHERE g.series_id = finalf.series_id)""")
 def jn20(spark, d):
     f = tournament(spark, d).final
-    k = f.agg(F.countDistinct("model").alias("k"))
+    k = f.groupBy("series_id").agg(F.countDistinct("model").alias("k"))
     per = f.groupBy("series_id", "ds").agg(F.count("*").alias("models"))
-    return per.join(F.broadcast(k), F.col("models") == F.col("k")).drop("k")
+    return per.join(k, "series_id").filter("models = k").drop("k")

@@ -37,6 +37,6 @@ def expanding(c: str | Column, spec: WindowSpec, fn: str, min_periods: int) -> C
     return guarded(getattr(F, fn)(source).over(frame), source, frame, min_periods)
 
 
-def single_row(df: DataFrame) -> DataFrame:
-    """Mark a one-row aggregate for broadcast; its size is one row by construction."""
-    return F.broadcast(df)
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of an ordered frame, all of them without ``n``."""
+    return df if n is None else df.limit(n)

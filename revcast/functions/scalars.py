@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tokens that mean "missing", compared trimmed and lower-case.
 NULL_TOKENS = ["", "n/a", "na", "null", "none", "-", "--", "nan"]
@@ -44,6 +45,12 @@ def to_number(c: str | Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.cast("double"))
 
 
+def number_column(df: DataFrame, name: str) -> Column:
+    """A column as double; only text goes through the text rules."""
+    numeric = isinstance(df.schema[name].dataType, T.NumericType)
+    return F.col(f"`{name}`").cast("double") if numeric else to_number(name)
+
+
 def parse_money(c: str | Column) -> Column:
     """``$1,234.50`` -> 1234.5 and ``(123)`` -> -123; anything else not numeric -> null."""
     text = F.regexp_replace(strip(c), r"[$,]", "")

@@ -70,7 +70,7 @@ def baseline_parameters(train: DataFrame, frequency: str = "D") -> DataFrame:
 def baseline_forecasts(
     train: DataFrame, horizon: int, frequency: str = "D", models: Sequence[str] = BASELINES
 ) -> DataFrame:
-    """The chosen baselines; ``seasonal_naive`` only if every series covers a season."""
+    """The chosen baselines; ``seasonal_naive`` for the series that cover a season."""
     season = season_length(frequency)
     p = baseline_parameters(train, frequency)
     step = F.col("step")
@@ -85,8 +85,8 @@ def baseline_forecasts(
         "full_average": F.col("avg_all"),
     }
     if "seasonal_naive" in models:
-        shortest = p.groupBy().agg(F.min(F.when(F.col("fold") == F.lit(0), F.col("n"))).alias("a"), F.max("fold").alias("b"))
-        p = p.join(F.broadcast(shortest.select((F.coalesce("a", F.lit(season)) >= season).alias("_ok"))), how="left")
+        whole = F.max(F.when(F.col("fold") == F.lit(0), F.col("n"))).over(Window.partitionBy("series_id"))
+        p = p.withColumn("_ok", F.coalesce(whole, F.lit(season)) >= season)
     else:
         p = p.withColumn("_ok", F.lit(False))
     expanded = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))

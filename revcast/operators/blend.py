@@ -48,13 +48,16 @@ def rank_models(scored: DataFrame, preference: str = "balanced") -> DataFrame:
 
 
 def best_forecast(ranked: DataFrame, forecasts: DataFrame) -> DataFrame:
-    return forecasts.join(F.broadcast(ranked.filter("rank = 1").select("model")), "model", "left_semi")
+    """The best ranked model that each series has."""
+    placed = forecasts.join(F.broadcast(ranked.select("model", F.col("rank").alias("_rank"))), "model")
+    best = F.min("_rank").over(Window.partitionBy("series_id"))
+    return placed.withColumn("_best", best).filter("_rank = _best").drop("_rank", "_best").select(*forecasts.columns)
 
 
 def blend(ranked: DataFrame, forecasts: DataFrame, top: int = TOP) -> DataFrame:
     """Score-weighted mean of the top models per series and day.
 
-    Days all of them cover; where there is no such day, the models present.  A
+    Days all of them cover; for a series without such a day, the models present.  A
     missing bound of a model that has bounds elsewhere reads the blended value.
     """
     head = ranked.filter(F.col("rank") <= top).select("model", "final_rank_score")
@@ -84,8 +87,10 @@ def blend(ranked: DataFrame, forecasts: DataFrame, top: int = TOP) -> DataFrame:
         lo[0].alias("lo_sum"), lo[1].alias("lo_gap"), lo[2].alias("lo_w"),
         hi[0].alias("hi_sum"), hi[1].alias("hi_gap"), hi[2].alias("hi_w"),
     )
-    full = mixed.agg(F.max("models").alias("most")).crossJoin(F.broadcast(weights.agg(F.count("*").alias("k"))))
-    kept = mixed.join(F.broadcast(full), how="left").filter((F.col("models") == F.col("k")) | (F.col("most") < F.col("k")))
+    # decided for each series by itself: one that lacks a top model is blended from those it has
+    most = F.max("models").over(Window.partitionBy("series_id"))
+    k = weights.agg(F.count("*").alias("k"))
+    kept = mixed.withColumn("most", most).join(F.broadcast(k), how="left").filter((F.col("models") == F.col("k")) | (F.col("most") < F.col("k")))
 
     def finish(p: str) -> Column:
         total = F.coalesce(F.col(f"{p}_sum"), F.lit(0.0)) + F.col("yhat") * F.col(f"{p}_gap")
@@ -98,7 +103,7 @@ def blend(ranked: DataFrame, forecasts: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def sanity_gate(forecasts: DataFrame, daily: DataFrame) -> DataFrame:
-    """One row per model: passed or the reason why not, judged against each series' history."""
+    """One row per model and series: passed or the reason why not, judged against the series' history."""
     stats = history_stats(daily.select("series_id", "ds", "y"), ["series_id"]).select(
         "series_id", F.coalesce("recent_avg_y", "overall_avg_y", F.lit(0.0)).alias("avg_y"), "recent_max_y"
     )
@@ -111,11 +116,13 @@ def sanity_gate(forecasts: DataFrame, daily: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("values") == 0, 1).when(F.col("low") < 0, 2).when(F.col("high") > allowed, 3).when(growth > 10, 4).otherwise(0)
     )
-    worst = per.join(stats, "series_id", "left").groupBy("model").agg(F.max(reason).alias("code"))
+    judged = per.join(stats, "series_id", "left").withColumn("code", reason)
     names = ["ok", "all forecast values are null", "negative forecast values", "forecast exceeds the allowed level", "forecast to history ratio is too large"]
     text = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code") + 1)
-    return worst.select("model", (F.col("code") == 0).cast("int").alias("passed"), text.alias("reason"))
+    return judged.select("model", "series_id", (F.col("code") == 0).cast("int").alias("passed"), text.alias("reason"))
 
 
 def drop_rejected(frame: DataFrame, gate: DataFrame) -> DataFrame:
-    return frame.join(F.broadcast(gate.filter("passed = 1").select("model")), "model", "left_semi")
+    """Rows of the models and series that passed; a frame without series keeps models that passed somewhere."""
+    keys = [c for c in ("model", "series_id") if c in frame.columns]
+    return frame.join(gate.filter("passed = 1").select(*keys).distinct(), keys, "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revcast.functions.frames import newest_first
+from revcast.functions.frames import first_rows, newest_first
 from revcast.functions.scalars import clip, safe_divide
 from revcast.operators.align import helper_daily_totals
 from revcast.schema import FLAG_COLUMNS
@@ -208,7 +208,7 @@ def anomalies(daily: DataFrame, threshold: float = 2.0, last: int = 6) -> DataFr
     )
 
 
-def alerts(tracked: DataFrame, flagged: DataFrame, top: int = 8) -> DataFrame:
+def alerts(tracked: DataFrame, flagged: DataFrame, top: int | None = None) -> DataFrame:
     """Revenue shift of 12 % or more, then flagged days, oldest first."""
     shift = tracked.filter((F.col("metric") == "Revenue") & (F.abs("delta_pct") >= 12)).select(
         F.lit(0).alias("position"), F.lit(None).cast("date").alias("ds"),
@@ -219,7 +219,7 @@ def alerts(tracked: DataFrame, flagged: DataFrame, top: int = 8) -> DataFrame:
         F.lit(1).alias("position"), "ds", F.when(F.col("zscore") < 0, "warning").otherwise("info").alias("level"),
         F.concat(F.lit("Anomaly on "), F.date_format("ds", "yyyy-MM-dd")).alias("title"), F.col("zscore").alias("value"),
     )
-    return shift.unionByName(days).orderBy("position", "ds").limit(top)
+    return first_rows(shift.unionByName(days).orderBy("position", "ds"), top)
 
 
 def overview(daily: DataFrame, forecast: DataFrame) -> DataFrame:

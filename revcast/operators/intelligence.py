@@ -19,7 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revcast.functions.frames import by_series, newest_first, rolling
+from revcast.functions.frames import by_series, first_rows, newest_first, rolling
 from revcast.functions.quantiles import exact_quantiles
 from revcast.functions.scalars import clip, dimension_value, safe_divide
 
@@ -35,7 +35,7 @@ class ModelSize:
     rate: float = 0.05
 
 
-SMALL = ModelSize(10, 3, 0.2)
+FULL, SMALL = ModelSize(), ModelSize(10, 3, 0.2)
 
 
 # ---- month frames -------------------------------------------------------------------------------
@@ -115,7 +115,7 @@ def risk_scores(frame: DataFrame) -> DataFrame:
     return spread.join(now, ["dimension_type", "dimension"]).select("dimension_type", "dimension", "volatility", risk.alias("risk_score"))
 
 
-def opportunity_ranking(frame: DataFrame, size: ModelSize = SMALL) -> tuple[DataFrame, DataFrame, PipelineModel]:
+def opportunity_ranking(frame: DataFrame, size: ModelSize = FULL) -> tuple[DataFrame, DataFrame, PipelineModel]:
     """(ranked latest month per dimension value, quality of the ranking, model)."""
     names = _features(frame, MONTH_FEATURES)
     train = rank_labels(frame).na.drop(subset=names)
@@ -152,7 +152,7 @@ def ranking_quality(scored: DataFrame) -> DataFrame:
 # ---- classifiers --------------------------------------------------------------------------------
 
 
-def fit_classifier(train: DataFrame, names: list[str], target: str, size: ModelSize = SMALL) -> PipelineModel | None:
+def fit_classifier(train: DataFrame, names: list[str], target: str, size: ModelSize = FULL) -> PipelineModel | None:
     """Boosted classifier, or None when only one class occurs."""
     classes = train.agg(F.min(target).alias("a"), F.max(target).alias("b")).first()
     if classes["a"] is None or classes["a"] == classes["b"]:
@@ -200,7 +200,7 @@ def lead_quality_targets(frame: DataFrame) -> DataFrame:
     )
 
 
-def lead_quality(frame: DataFrame, size: ModelSize = SMALL) -> DataFrame:
+def lead_quality(frame: DataFrame, size: ModelSize = FULL) -> DataFrame:
     """Latest month per dimension value: chances of revenue and of high revenue, bucket and tier."""
     names = _features(frame, [n for n in MONTH_FEATURES if n != "y"])
     train = lead_quality_targets(frame)
@@ -254,7 +254,7 @@ class Explained:
     metrics: DataFrame
 
 
-def fit_explain_model(daily: DataFrame, size: ModelSize = SMALL, linear: bool = False) -> Explained:
+def fit_explain_model(daily: DataFrame, size: ModelSize = FULL, linear: bool = False) -> Explained:
     """Fit on the first 80 % of the days, measure on the rest, then fit on everything."""
     frame = explain_frame(daily)
     names = explain_inputs(frame)
@@ -294,9 +294,9 @@ def contributions(e: Explained) -> DataFrame:
     return filled.join(F.broadcast(means), how="left").select("series_id", "ds", "y", F.explode(cells).alias("c")).select("series_id", "ds", "y", "c.*")
 
 
-def global_explanation(parts: DataFrame, top: int = 20) -> DataFrame:
+def global_explanation(parts: DataFrame, top: int | None = None) -> DataFrame:
     best = parts.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
-    best = best.orderBy(F.desc("mean_abs_contribution"), "feature").limit(top)
+    best = first_rows(best.orderBy(F.desc("mean_abs_contribution"), "feature"), top)
     total = F.sum("mean_abs_contribution").over(Window.partitionBy(F.lit(1)))
     return best.withColumn("share_pct", F.try_divide("mean_abs_contribution", total) * 100)
 
@@ -325,21 +325,21 @@ def severity(score: Column) -> Column:
     return F.when(score >= 3.5, "critical").when(score >= 2.5, "notable").when(score >= 1.75, "minor").otherwise("normal")
 
 
-def residual_anomalies(e: Explained, local: DataFrame | None = None, rows: int = 50) -> DataFrame:
+def residual_anomalies(e: Explained, local: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """The latest days the model misses by much, with the drivers that speak for the miss."""
     scored = e.model.transform(e.frame).select("series_id", "ds", "y", F.col("prediction").alias("predicted_revenue"))
     scored = scored.withColumn("residual", F.col("y") - F.col("predicted_revenue"))
     spread = scored.agg(F.stddev_pop("residual").alias("_sd"))
     scored = scored.join(F.broadcast(spread), how="left").withColumn("anomaly_score", F.abs(safe_divide("residual", "_sd"))).drop("_sd")
     scored = scored.withColumn("severity", severity(F.col("anomaly_score"))).filter("severity <> 'normal'")
-    out = scored.orderBy(F.desc("ds"), "series_id").limit(rows)
+    out = first_rows(scored.orderBy(F.desc("ds"), "series_id"), rows)
     if local is None:
         return out.withColumn("likely_drivers", F.lit("mixed model residual"))
     named = local.filter("place <= 3").groupBy("series_id", "ds", "side").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "feature"))), lambda s: s["feature"]), ", ").alias("_names")
     )
     side = F.when(F.col("residual") < 0, "negative").otherwise("positive")
-    joined = out.withColumn("side", side).join(F.broadcast(named), ["series_id", "ds", "side"], "left")
+    joined = out.withColumn("side", side).join(named, ["series_id", "ds", "side"], "left")
     return joined.withColumn("likely_drivers", F.coalesce("_names", F.lit("mixed model residual"))).drop("side", "_names")
 
 
@@ -392,7 +392,7 @@ def behavior_targets(frame: DataFrame) -> DataFrame:
     )
 
 
-def whale_prediction(frame: DataFrame, size: ModelSize = SMALL) -> DataFrame:
+def whale_prediction(frame: DataFrame, size: ModelSize = FULL) -> DataFrame:
     """Risks per profile by classifier (or by rule where a target has one class), stability and label."""
     df = behavior_targets(frame)
     df = df.select(*[F.col(c).cast("double").alias(c) if c in USER_FEATURES else F.col(c) for c in df.columns])
@@ -603,7 +603,7 @@ class Intelligence:
 LAYERS = ("explanations", "ranking", "lead_quality", "anomalies", "whales", "returns", "simulation", "affiliates", "confidence")
 
 
-def build_intelligence(table: DataFrame, daily: DataFrame, layers: Sequence[str] = LAYERS, size: ModelSize = SMALL) -> Intelligence:
+def build_intelligence(table: DataFrame, daily: DataFrame, layers: Sequence[str] = LAYERS, size: ModelSize = FULL) -> Intelligence:
     """Run the chosen layers; each one that fails reports its reason and leaves the others alone."""
     out = Intelligence()
     months = dimension_months(table)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revcast.functions.frames import newest_first
+from revcast.functions.frames import first_rows, newest_first
 from revcast.functions.scalars import dimension_value, safe_divide
 from revcast.operators.daily import pct_change, rows_of
 
@@ -34,7 +34,7 @@ def portfolio(daily: DataFrame) -> DataFrame:
     )
 
 
-def allocation(summary: DataFrame, top: int = 15) -> DataFrame:
+def allocation(summary: DataFrame, top: int | None = None) -> DataFrame:
     """Per category: what 10 % more of its recent spend would bring at its recent ROAS."""
     cost = F.coalesce("recent_cost", F.lit(0.0))
     roas = F.when(cost > 0, F.col("recent_roas"))
@@ -58,7 +58,7 @@ def allocation(summary: DataFrame, top: int = 15) -> DataFrame:
         added.alias("projected_revenue_from_extra_budget"), (revenue + added).alias("projected_total_revenue_after_shift"),
         action.alias("budget_action"),
     )
-    return out.orderBy(F.desc("projected_revenue_from_extra_budget"), "category").limit(top)
+    return first_rows(out.orderBy(F.desc("projected_revenue_from_extra_budget"), "category"), top)
 
 
 # What a budget recommendation says.
@@ -66,13 +66,13 @@ VERIFY, REWORK, TRIM = "Verify status; recent ROAS is unavailable", "Reduce or r
 REDUCE, SCALE, SUPPORT, HOLD = "Reduce budget and inspect funnel", "Scale carefully", "Support momentum", "Hold flat"
 
 
-def dimension_budget(table: DataFrame, dimensions: dict[str, str], top: int = 8) -> DataFrame:
+def dimension_budget(table: DataFrame, dimensions: dict[str, str], top: int | None = None) -> DataFrame:
     """Budget shift per value of each dimension: last 30 days against the 30 before.
 
-    ``dimensions`` maps a label to a column, in order of preference for the first
-    four.  Only the last 60 days of rows are unpivoted.
+    ``dimensions`` maps a label to a column, in order of preference.
+    Only the last 60 days of rows are unpivoted.
     """
-    dims = list(dimensions.items())[:4]
+    dims = list(dimensions.items())
     clean = {label: dimension_value(c) for label, c in dims}
     last = table.agg(*[F.max(F.when(clean[label].isNotNull(), F.col("ds"))).alias(f"_last_{i}") for i, (label, _) in enumerate(dims)])
     oldest = F.least(*[F.col(f"_last_{i}") for i in range(len(dims))]) if len(dims) > 1 else F.col("_last_0")
@@ -128,13 +128,14 @@ def dimension_budget(table: DataFrame, dimensions: dict[str, str], top: int = 8)
         "dimension_type", "name", "recent_revenue", "prior_revenue", "delta_pct", "recent_roas", "recent_rpl",
         (share * 100).alias("revenue_share"), shift.alias("recommended_budget_shift_pct"), action.alias("action"),
     )
-    return out.orderBy(F.desc(F.abs("recommended_budget_shift_pct")), F.desc("recent_revenue"), "dimension_type", "name").limit(top)
+    return first_rows(out.orderBy(F.desc(F.abs("recommended_budget_shift_pct")), F.desc("recent_revenue"), "dimension_type", "name"), top)
 
 
-def attribution(summary: DataFrame, top: int = 15) -> DataFrame:
+def attribution(summary: DataFrame, top: int | None = None) -> DataFrame:
     """Largest channels with share, efficiency and stability; rank 1 is the top channel."""
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("total_revenue"), "category")
-    df = summary.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    df = summary.withColumn("rank", F.row_number().over(w))
+    df = df if top is None else df.filter(F.col("rank") <= top)
     return df.select(
         "rank", F.col("category").alias("channel"), F.col("total_revenue").alias("revenue"),
         (F.col("share_of_revenue") * 100).alias("revenue_share_pct"), F.when(F.col("total_cost") > 0, F.col("roas")).alias("roas"),
@@ -248,7 +249,7 @@ def supported_revenue(daily: DataFrame) -> DataFrame:
     )
 
 
-def early_warnings(tracked: DataFrame, recommendations: DataFrame, whales: DataFrame, top: int = 12) -> DataFrame:
+def early_warnings(tracked: DataFrame, recommendations: DataFrame, whales: DataFrame, top: int | None = None) -> DataFrame:
     """Rules over tracked metrics, the leading budget rows and the leading users; worst first."""
 
     def metric(name: str) -> Column:
@@ -278,16 +279,16 @@ def early_warnings(tracked: DataFrame, recommendations: DataFrame, whales: DataF
              (cost - F.greatest(rev, F.lit(0.0))) * 2.0),
     ]
     general = t.select(F.explode(F.array(*rules)).alias("r")).filter("r IS NOT NULL").select("r.*")
-    segments = recommendations.limit(4).filter(F.col("delta_pct") <= -15).select(
+    segments = recommendations.filter(F.col("delta_pct") <= -15).select(
         F.lit("warning").alias("level"), F.concat(F.col("dimension_type"), F.lit(" pressure: "), F.col("name")).alias("signal"),
         F.col("dimension_type").alias("metric"), "delta_pct",
         F.round(F.least(F.lit(100.0), F.abs("delta_pct") * F.when(F.col("revenue_share") >= 10, 1.4).otherwise(1.0)), 1).alias("severity_score"),
     )
-    users = whales.limit(3).filter(F.col("delta_pct") <= -20).select(
+    users = whales.filter(F.col("delta_pct") <= -20).select(
         F.lit("warning").alias("level"), F.concat(F.lit("User softening: "), F.col("whale_id")).alias("signal"),
         F.lit("Users").alias("metric"), "delta_pct", F.round(F.least(F.lit(100.0), F.abs("delta_pct") * 1.8), 1).alias("severity_score"),
     )
-    return general.unionByName(segments).unionByName(users).orderBy(F.desc("severity_score"), "level", "signal").limit(top)
+    return first_rows(general.unionByName(segments).unionByName(users).orderBy(F.desc("severity_score"), "level", "signal"), top)
 
 
 def dimension_columns(columns: Sequence[str]) -> dict[str, str]:

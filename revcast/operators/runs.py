@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def compare_forecasts(a: DataFrame, b: DataFrame, rows: int | None = 60) -> DataFrame:
+def compare_forecasts(a: DataFrame, b: DataFrame, rows: int | None = None) -> DataFrame:
     """Both forecasts per day (a day may be in one only) with their difference, earliest first."""
     left = a.groupBy("ds").agg(F.sum("yhat").alias("run_a"))
     right = b.groupBy("ds").agg(F.sum("yhat").alias("run_b"))
@@ -30,8 +30,8 @@ def run_summary(label: str, forecast: DataFrame, ranking: DataFrame) -> DataFram
     return f.join(F.broadcast(best.limit(1)), how="left").withColumn("run", F.lit(label))
 
 
-def compare_models(a: DataFrame, b: DataFrame, top: int = 10) -> DataFrame:
+def compare_models(a: DataFrame, b: DataFrame, top: int | None = None) -> DataFrame:
     """The leading models of both runs."""
     both = a.withColumn("run", F.lit("a")).unionByName(b.withColumn("run", F.lit("b")), allowMissingColumns=True)
     w = Window.partitionBy("run").orderBy("rank")
-    return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).select("run", "rank", "model", "wape", "final_rank_score")
+    return both.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= top) if top else F.lit(True)).select("run", "rank", "model", "wape", "final_rank_score")

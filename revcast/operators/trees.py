@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import by_series
@@ -56,13 +56,6 @@ SMALL = {
 }
 
 
-def tuned(settings: TreeSettings, rows: int, columns: int) -> TreeSettings:
-    """Larger ensembles for larger tables."""
-    if rows >= 5000 or columns >= 25:
-        return TreeSettings(**{**settings.__dict__, "trees": int(settings.trees * 1.25)})
-    return settings
-
-
 def origin_features(train: DataFrame, frequency: str = "D") -> DataFrame:
     """What is known at the end of each day: last values, windows, level of the helpers."""
     w = by_series(*KEYS)
@@ -86,16 +79,34 @@ def _target_columns(df: DataFrame) -> DataFrame:
 
 
 def training_pairs(train: DataFrame, horizon: int, frequency: str = "D", warm_up: int = 28) -> DataFrame:
-    """Origin rows with each of the following ``horizon`` rows as a target."""
+    """Origin rows with each following row within ``horizon`` periods as a target.
+
+    The step is the number of periods between the two days, as in forecasting, so gaps in a series do not shift it.
+    """
     w = Window.partitionBy(*KEYS).orderBy("ds").rowsBetween(1, horizon)
     ahead = F.collect_list(F.struct("ds", "y")).over(w)
-    origins = origin_features(train, frequency)
+    origins = origin_features(train, frequency).withColumn("origin", F.col("ds"))
     rows = origins.withColumn("ahead", ahead).filter(F.col("age") >= F.least(F.lit(warm_up), F.lit(10 * horizon)))
     keep = [c for c in origins.columns if c not in ("ds", "y")]
-    pairs = rows.select(*keep, F.posexplode("ahead").alias("i", "t")).select(
-        *keep, (F.col("i") + 1).alias("step"), F.col("t.ds").alias("target_ds"), F.col("t.y").alias("target")
-    )
-    return _target_columns(pairs.filter(F.col("target").isNotNull()))
+    pairs = rows.select(*keep, F.explode("ahead").alias("t")).select(
+        *keep, periods_between("origin", "t.ds", frequency).alias("step"), F.col("t.ds").alias("target_ds"), F.col("t.y").alias("target")
+    ).drop("origin")
+    return _target_columns(pairs.filter(F.col("target").isNotNull() & F.col("step").between(1, horizon)))
+
+
+def periods_between(start: str, end: str, frequency: str) -> Column:
+    """Whole periods of the cadence from one day to another."""
+    days = F.datediff(F.col(end), F.col(start))
+    family = (frequency or "D").upper()[:1]
+    if family == "M":
+        return (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+    return F.round(days / 7).cast("int") if family == "W" else days
+
+
+def untrained_series(train: DataFrame, horizon: int, warm_up: int = 28) -> DataFrame:
+    """Series whose history is too short to give a training row; the model forecasts them from what it learnt of the others."""
+    n = train.groupBy(*KEYS).agg(F.count("*").alias("n")).filter("fold = 0")
+    return n.filter(F.col("n") <= F.least(F.lit(warm_up), F.lit(10 * horizon))).select("series_id")
 
 
 def forecast_rows(train: DataFrame, horizon: int, frequency: str = "D") -> DataFrame:
@@ -122,7 +133,7 @@ def tree_forecast(
     settings: TreeSettings | None = None,
 ) -> tuple[DataFrame | None, PipelineModel | None]:
     """Forecasts of the given folds and the model of the last one fitted (fold 0 comes last)."""
-    settings = settings or SMALL[model]
+    settings = settings or FULL[model]
     pairs, future = training_pairs(train, horizon, frequency), forecast_rows(train, horizon, frequency)
     parts, fitted = [], None
     for fold in sorted(folds, key=lambda f: (f == 0, f)):

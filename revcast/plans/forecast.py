@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from revcast.operators import baselines, blend, evaluate, linear, postprocess, regressive, smoothing, trees
 from revcast.operators.align import effective_frequency
@@ -37,13 +38,16 @@ class ForecastConfig:
     preference: str = "balanced"
     mode: str = "scenario"
     detect_frequency: bool = False
-    tree_settings: dict[str, trees.TreeSettings] = field(default_factory=lambda: dict(trees.SMALL))
+    tree_settings: dict[str, trees.TreeSettings] = field(default_factory=lambda: dict(trees.FULL))
     custom: dict[str, FitPredict] = field(default_factory=dict)
 
 
 @dataclass
 class ForecastRun:
-    """Tables of a run; the small ones the later steps share are checkpointed, so plans stay short."""
+    """Tables of a run; the daily series and the predictions are checkpointed, so plans stay short.
+
+    ``skipped`` has a row (model, series_id, reason) for every chosen model that gave a series no usable forecast.
+    """
 
     daily: DataFrame
     folds: DataFrame
@@ -55,6 +59,7 @@ class ForecastRun:
     blended: DataFrame
     choice: DataFrame
     display: DataFrame
+    skipped: DataFrame
     errors: list[tuple[str, str]]
     fitted: dict[str, object]
 
@@ -62,7 +67,10 @@ class ForecastRun:
 def predict_models(
     train: DataFrame, fold_ids: list[int], cfg: ForecastConfig
 ) -> tuple[DataFrame, list[tuple[str, str]], dict[str, object]]:
-    """Predictions of every chosen model; one that fails is reported and left out."""
+    """Predictions of every chosen model; one that fails, now or when it runs, is reported and left out.
+
+    All but the baselines are therefore stored one by one.
+    """
     parts, errors, fitted = [], [], {}
     chosen = [m.lower() for m in cfg.models]
     base = [m for m in chosen if m in BASELINE_SET]
@@ -84,6 +92,7 @@ def predict_models(
                 )
             else:
                 raise ValueError(f"unknown model {name}")
+            part = None if part is None else cut(part)
         except Exception as exc:  # noqa: BLE001 - one model must not stop the others
             errors.append((name, str(exc)))
             continue
@@ -102,7 +111,7 @@ def run_forecast(daily: DataFrame, cfg: ForecastConfig | None = None) -> Forecas
     daily = cut(daily)
     if cfg.detect_frequency:
         cfg = ForecastConfig(**{**cfg.__dict__, "frequency": effective_frequency(daily, cfg.frequency)})
-    folds = cut(evaluate.with_final_fold(evaluate.make_folds(daily, cfg.horizon, cfg.frequency, cfg.depth), daily))
+    folds = evaluate.with_final_fold(evaluate.make_folds(daily, cfg.horizon, cfg.frequency, cfg.depth), daily)
     needs_ids = any(m in linear.MODELS or m in trees.FULL for m in cfg.models) or bool(cfg.custom)
     fold_ids = sorted(r["fold"] for r in folds.select("fold").collect()) if needs_ids else []
     train = evaluate.training_rows(daily, folds)
@@ -111,16 +120,25 @@ def run_forecast(daily: DataFrame, cfg: ForecastConfig | None = None) -> Forecas
 
     final = predictions.filter("fold = 0").drop("fold")
     gate = blend.sanity_gate(final, daily)
-    per_fold, summary = evaluate.backtest_metrics(daily, folds, predictions)
-    # a model without any fold still takes part, without errors to show
-    known = final.select("model").distinct().join(summary, "model", "left")
-    gate = cut(gate)
-    ranking = cut(blend.rank_models(blend.score_models(blend.drop_rejected(known, gate)), cfg.preference))
     kept = blend.drop_rejected(final, gate)
-    profile = cut(postprocess.trend_profile(daily))
-    best = cut(postprocess.trend_guardrail(blend.best_forecast(ranking, kept), profile))
-    blended = cut(postprocess.trend_guardrail(blend.blend(ranking, kept), profile))
+    # a model is judged on the series it may be used for
+    per_fold, summary = evaluate.backtest_metrics(daily, folds, blend.drop_rejected(predictions, gate))
+    # a model without any fold still takes part, without errors to show
+    known = kept.select("model").distinct().join(summary, "model", "left")
+    ranking = cut(blend.rank_models(blend.score_models(known), cfg.preference))
+    profile = postprocess.trend_profile(daily)
+    best = postprocess.trend_guardrail(blend.best_forecast(ranking, kept), profile)
+    blended = postprocess.trend_guardrail(blend.blend(ranking, kept), profile)
     choice = postprocess.display_choice(best, blended, daily, cfg.frequency)
     shown = postprocess.display_forecast(best, blended, choice)
     display = postprocess.apply_day_factors(shown, postprocess.day_factors(daily), cfg.frequency)
-    return ForecastRun(daily, folds, predictions, gate, per_fold, ranking, best, blended, choice, display, errors, fitted)
+    skipped = skipped_series(daily, final, gate, [*[m.lower() for m in cfg.models], *cfg.custom])
+    return ForecastRun(daily, folds, predictions, gate, per_fold, ranking, best, blended, choice, display, skipped, errors, fitted)
+
+
+def skipped_series(daily: DataFrame, final: DataFrame, gate: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(model, series_id, reason): series without a forecast of a chosen model, or with one that was rejected."""
+    cells = daily.select("series_id").distinct().select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "series_id")
+    missing = cells.join(final.select("model", "series_id").distinct(), ["model", "series_id"], "left_anti")
+    rejected = gate.filter("passed = 0").select("model", "series_id", "reason")
+    return missing.withColumn("reason", F.lit("no forecast: the history is too short or the model failed")).unionByName(rejected)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcast.functions.dates import parse_days
-from revcast.functions.scalars import dimension_value, to_number
+from revcast.functions.scalars import dimension_value, number_column
 from revcast.mapping import Mapping, cost_bucket, merge_keys
 from revcast.operators import align, clean
 from revcast.schema import COMPANY, ContractError
@@ -23,18 +25,24 @@ class Source:
 
 
 class ModelTableBuilder:
-    """Joins helpers to revenue one by one; each step keeps one row per revenue row.
-
-    The fact table is read twice whatever the number of helpers: once for the
-    counts per allocation key (written to the checkpoint folder, as allocation,
-    calendar bounds and cadence all come from them) and once for the rows.
+    """Works helpers out on the table of allocation keys, and joins that to revenue once.
+
+    The fact table is read for the counts per allocation key (written to the
+    checkpoint folder, as allocation, calendar bounds and cadence all come from
+    them) and for the rows; text dates and ``validate`` read it once more each.
+    Every helper adds columns to the key table, which has a row per day and
+    allocation key.  It is broadcast if its counted rows are few, else the one
+    join is a shuffle.
     """
 
+    broadcast_rows = 500_000
+
     def __init__(self, revenue: Source, helpers: Sequence[Source] = (), validate: bool = True):
         self.revenue = revenue
         self.validate = validate
         m = revenue.mapping
-        df = parse_days(revenue.frame, m.date, "ds").withColumn("y", to_number(m.values[0]))
+        df = parse_days(revenue.frame, m.date, "ds")
+        df = df.withColumn("y", number_column(df, m.values[0]))
         df = df.filter(F.col("ds").isNotNull())
         if validate:
             clean.reject_timestamp_target(df, "y", "ds")
@@ -45,14 +53,16 @@ class ModelTableBuilder:
         self.table = df
         keys = {left for h in helpers for left, _ in merge_keys(m, h.mapping)}
         grain = ["ds", *sorted(keys & set(df.columns))]
+        self.grain = grain
         self.counts = cut(align.key_counts(df, grain)) if helpers else None
+        self.keyed = self.counts
         self.bounds = align.day_range(self.counts) if helpers else None
 
     def _aligned(self, helper: Source, values: Sequence[str], dims: Sequence[str]) -> DataFrame:
         m = helper.mapping
         df = parse_days(helper.frame, m.date, "ds")
         for v in m.values:
-            df = df.withColumn(v, to_number(v))
+            df = df.withColumn(v, number_column(df, v))
         # one row per date and dimensions, stored: every later step starts from this small table
         df = df.filter(F.col("ds").isNotNull()).groupBy("ds", *[dimension_value(c).alias(c) for c in dims]).agg(
             *[F.sum(v).alias(v) for v in values]
@@ -63,6 +73,10 @@ class ModelTableBuilder:
             return df.select("ds", *dims, *values)
         if align.COARSENESS[cadence] <= align.COARSENESS[align.detect_cadence(self.counts)]:
             return df.select("ds", *dims, *values)
+        if m.fill_method in ("distribute", "avg_monthly"):
+            # only days that a period covers; days without cover come back as nulls of the join
+            spread = align.spread_periods(df, values, dims, cadence)
+            return spread.join(F.broadcast(self.bounds), F.col("ds").between(F.col("first_day"), F.col("last_day"))).drop("first_day", "last_day")
         return align.expand_helper(df, values, dims, cadence, m.fill_method, self.bounds)
 
     def _renamed(self, df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -79,9 +93,9 @@ class ModelTableBuilder:
         reduced = align.aggregate_helper(daily, keys, values)
         detail = self.revenue.mapping.dimension_columns(self.table)
         if allocate and len(pairs) < len(detail):
-            self.table = align.allocate_helper(self.table, reduced, keys, values, self.counts)
+            self.keyed = align.allocate_helper(self.keyed, reduced, keys, values, self.counts)
         else:
-            self.table = align.left_join_helper(self.table, reduced, keys)
+            self.keyed = align.left_join_helper(self.keyed, reduced, keys)
         return self
 
     def add_leads(self, helper: Source) -> ModelTableBuilder:
@@ -93,10 +107,10 @@ class ModelTableBuilder:
         dims = helper.mapping.dimension_columns(helper.frame)
         daily = self._aligned(helper, ["cost"], dims)
         if pair is None:
-            self.table = align.allocate_cost(self.table, daily.select("ds", "cost"), None, self.counts)
+            self.keyed = align.allocate_cost(self.keyed, daily.select("ds", "cost"), None, self.counts)
         else:
             daily = self._renamed(daily, [pair]).select("ds", pair[0], "cost")
-            self.table = align.allocate_cost(self.table, daily, pair[0], self.counts)
+            self.keyed = align.allocate_cost(self.keyed, daily, pair[0], self.counts)
         return self
 
     def add_events(self, helper: Source, flags: Sequence[str] = ("event_flag", "outage_flag")) -> ModelTableBuilder:
@@ -104,7 +118,7 @@ class ModelTableBuilder:
         keys = ["ds", *[left for left, _ in pairs]]
         df = self._renamed(parse_days(helper.frame, helper.mapping.date, "ds"), pairs)
         present = [f for f in flags if f in df.columns]
-        self.table = align.left_join_helper(self.table, align.aggregate_helper(df, keys, present, flags=True), keys)
+        self.keyed = align.left_join_helper(self.keyed, align.aggregate_helper(df, keys, present, flags=True), keys)
         return self
 
     @staticmethod
@@ -114,6 +128,13 @@ class ModelTableBuilder:
         return Source(frame, m.with_columns(values=(name,)))
 
     def build(self) -> DataFrame:
+        if self.keyed is not self.counts:
+            # null keys are keys here: such rows still share in the company's cost
+            keys = self.keyed.drop("_rows").toDF(*[f"_key_{c}" if c in self.grain else c for c in self.keyed.columns if c != "_rows"])
+            if self.counts.count() <= self.broadcast_rows:
+                keys = F.broadcast(keys)
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in self.grain])
+            self.table = self.table.join(keys, same, "left").drop(*[f"_key_{c}" for c in self.grain])
         label = self.revenue.mapping.label(self.table, COMPANY)
         return self.table.withColumn("category", label).withColumn("series_id", F.col("category"))
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revcast.functions.frames import first_rows
+
 from revcast.functions.quantiles import exact_quantiles_of
 from revcast.functions.scalars import to_number
 
@@ -49,7 +51,7 @@ HELPER_LIMITS = (0.75, -1.0, 1e12)
 
 
 def likely_value_columns(
-    df: DataFrame, exclude: Sequence[str] = (), limits: tuple[float, float, float] = TARGET_LIMITS, top: int = 5
+    df: DataFrame, exclude: Sequence[str] = (), limits: tuple[float, float, float] = TARGET_LIMITS, top: int | None = None
 ) -> DataFrame:
     """Columns that look like amounts: column, valid_ratio, median, score, best first."""
     least, low, high = limits
@@ -74,4 +76,4 @@ def likely_value_columns(
         .filter((F.col("valid_ratio") >= least) & (F.col("median") > low) & (F.col("median") <= high))
     )
     score = F.col("valid_ratio") * 1000 - F.abs("median")
-    return kept.withColumn("score", score).orderBy(F.desc("score"), "column").limit(top)
+    return first_rows(kept.withColumn("score", score).orderBy(F.desc("score"), "column"), top)

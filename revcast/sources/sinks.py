@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from revcast.functions.frames import first_rows
 from pyspark.sql import types as T
 
 from revcast.functions.scalars import finite
@@ -76,10 +78,10 @@ class RunStore:
         return df.filter(F.col("run_id") == run_id) if run_id is not None else df
 
 
-def list_runs(settings: DataFrame, recent: int = 50) -> DataFrame:
+def list_runs(settings: DataFrame, recent: int | None = None) -> DataFrame:
     """Runs newest first."""
     runs = settings.groupBy("run_id").agg(F.max("created_at").alias("created_at"))
-    return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(recent)
+    return first_rows(runs.orderBy(F.desc("created_at"), F.desc("run_id")), recent)
 
 
 def bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:

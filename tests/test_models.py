@@ -211,3 +211,49 @@ def test_sanity_gate_rejects_only_the_bad_model(spark):
     f = spark.createDataFrame([("ok", "s", d, 1e6), ("neg", "s", d, -1.0), ("big", "s", d, 2e7)], "model string, series_id string, ds date, yhat double")
     got = {r.model: r.passed for r in blend.sanity_gate(f, hist).collect()}
     assert got == {"ok": 1, "neg": 0, "big": 0}
+
+
+def test_the_gate_judges_each_series_by_itself(spark):
+    hist = series(spark, 40, fn=lambda i: 1e6).unionByName(series(spark, 40, fn=lambda i: 1e6).withColumn("series_id", F.lit("t")))
+    d = dt.date(2026, 1, 1)
+    f = spark.createDataFrame([("m", "s", d, 1e6), ("m", "t", d, -1.0), ("n", "s", d, 1e6), ("n", "t", d, 1e6)], "model string, series_id string, ds date, yhat double")
+    gate = blend.sanity_gate(f, hist)
+    assert {(r.model, r.series_id): r.passed for r in gate.collect()} == {("m", "s"): 1, ("m", "t"): 0, ("n", "s"): 1, ("n", "t"): 1}
+    assert sorted((r.model, r.series_id) for r in blend.drop_rejected(f, gate).collect()) == [("m", "s"), ("n", "s"), ("n", "t")]
+
+
+def test_a_series_that_lacks_a_top_model_is_still_blended(spark):
+    d = dt.date(2026, 1, 1)
+    rows = [(m, s, 1, d, v, None, None) for s, own in (("s", "abc"), ("t", "bc"), ("u", "c")) for m, v in zip("abc", (1.0, 2.0, 4.0)) if m in own]
+    f = spark.createDataFrame(rows, "model string, series_id string, step int, ds date, yhat double, yhat_lower double, yhat_upper double")
+    ranked = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 3, 1.0)], "model string, rank int, final_rank_score double")
+    got = {r.series_id: round(r.yhat, 6) for r in blend.blend(ranked, f).collect()}
+    assert got == {"s": round(7 / 3, 6), "t": 3.0, "u": 4.0}
+    assert {r.series_id: r.model for r in blend.best_forecast(ranked, f).collect()} == {"s": "a", "t": "b", "u": "c"}
+
+
+def test_seasonal_naive_is_left_out_only_where_a_series_is_short(spark):
+    long = as_train(series(spark, 20))
+    short = as_train(series(spark, 4)).withColumn("series_id", F.lit("short"))
+    got = baselines.baseline_forecasts(long.unionByName(short), 3, "D", ["naive", "seasonal_naive"])
+    assert sorted((r.series_id, r.model) for r in got.select("series_id", "model").distinct().collect()) == [("s", "naive"), ("s", "seasonal_naive"), ("short", "naive")]
+
+
+def test_tree_targets_follow_the_calendar(spark):
+    every_other = series(spark, 80).filter("pmod(datediff(ds, date'2020-01-01'), 2) = 0")
+    pairs = trees.training_pairs(as_train(every_other), 6)
+    assert sorted(r.step for r in pairs.select("step").distinct().collect()) == [2, 4, 6]
+
+
+def test_rounding_has_no_upper_end(spark):
+    from catalog.base import rounded
+
+    df = spark.createDataFrame([(5e15,), (-5e15,), (2.0e30,), (1.23456,), (-1.5,)], "v double")
+    assert [r.v for r in rounded(df, 4).collect()] == [5e15, -5e15, 2.0e30, 1.2346, -1.5]
+
+
+def test_skipped_series_are_reported(spark):
+    daily = series(spark, 120).unionByName(series(spark, 5).withColumn("series_id", F.lit("short")))
+    run = run_forecast(daily, ForecastConfig(horizon=7, depth="fast", models=("naive", "seasonal_naive")))
+    assert [(r.model, r.series_id) for r in run.skipped.collect()] == [("seasonal_naive", "short")]
+    assert {r.series_id for r in run.display.select("series_id").distinct().collect()} == {"s", "short"}
