@@ -13,6 +13,7 @@ from revcast.llm.common import components, stored, whole_text
 from revcast.llm.words import Words, mix, pieces, shingles
 
 BANDS, ROWS = 20, 4
+BLOCK = 256
 THRESHOLD = 0.8
 LOW48 = np.uint64((1 << 48) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -124,6 +125,81 @@ def _overlap_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch([some.column("a"), some.column("b"), pa.array(overlap)], names=["a", "b", "overlap"])
 
 
+def _set_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, items): a text's multiset as a set, the k-th occurrence of a shingle being an item; 32-bit hashes."""
+    for batch in batches:
+        for some in pieces(batch):
+            doc, shingle, count = bags(Words(some.column("text")))
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            item = (mix(np.repeat(shingle, count) + nth.astype(np.uint64) * STEP) >> np.uint64(32)).astype("<u4")
+            of = np.repeat(doc, count)
+            cut = np.searchsorted(of, np.arange(some.num_rows + 1))
+            yield pa.record_batch([some.column("doc_id"), pa.array([item[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "items"])
+
+
+def shared_items(a: list[bytes], b: list[bytes], columns: int = 8192) -> np.ndarray:
+    """Numbers of common items of every set of ``a`` with every one of ``b``, by products of 0/1 matrices over the items in both."""
+    flat = [np.frombuffer(b"".join(x), dtype="<u4") for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(i) // 4 for i in x]) for x in (a, b)]
+    both = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    place = [np.searchsorted(both, f) for f in flat]
+    known = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == f) if len(both) else np.zeros(len(f), dtype=bool) for p, f in zip(place, flat, strict=True)]
+    for low in range(0, len(both), columns):
+        sides = []
+        for p, k, r, x in zip(place, known, row, (a, b), strict=True):
+            own = k & (p >= low) & (p < low + columns)
+            m = np.zeros((len(x), min(columns, len(both) - low)), dtype=np.float32)
+            m[r[own], p[own] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_step(threshold: float):
+    """(a, b): for each node of one block and each other component in the other block, its most alike member, if alike enough."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
+                x, y = x.as_py(), y.as_py()
+                common = shared_items([i["items"] for i in x], [i["items"] for i in y])
+                size = [np.array([len(i["items"]) // 4 for i in side]) for side in (x, y)]
+                overlap = common / np.maximum(size[0][:, None] + size[1][None, :] - common, 1)
+                label = [np.array([i["label"] for i in side]) for side in (x, y)]
+                overlap[label[0][:, None] == label[1][None, :]] = 0
+                r, c = np.nonzero(overlap >= threshold - 0.001)
+                order = np.lexsort((-overlap[r, c], label[1][c], r))
+                r, c = r[order], c[order]
+                first = np.ones(len(r), dtype=bool)
+                first[1:] = (r[1:] != r[:-1]) | (label[1][c[1:]] != label[1][c[:-1]])
+                node = [np.array([i["node"] for i in side], dtype=np.int64) for side in (x, y)]
+                a, b = node[0][r[first]], node[1][c[first]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return step
+
+
+def _across(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Candidate links (a, b) between the components that a band holds.
+
+    In each band the nodes outside its largest component are compared with all of its nodes, in blocks of about
+    ``BLOCK`` by ``BLOCK``; of a pair of blocks no more leaves than one link for a node and another component.
+    """
+    sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    bands = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    bands = bands.select(F.col("band").alias("k"), "main", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    some = stored(placed.join(bands, F.col("band") == F.col("k")).select("band", "node", "label", "main", "blocks"), "mixed")
+    wanted = some.select(F.col("node").alias("i")).distinct()
+    sets = stored(texts.join(wanted, F.col("doc_id") == F.col("i")).select("doc_id", "text").mapInArrow(_set_step, "doc_id long, items binary"), "sets")
+    filled = some.join(sets, F.col("node") == F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    entry = F.struct("node", "label", "items")
+    ys = filled.groupBy("band", "block").agg(F.collect_list(entry).alias("ys"))
+    xs = filled.where("label <> main").groupBy("band", "block", "blocks").agg(F.collect_list(entry).alias("xs"))
+    xs = xs.select(F.col("band").alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"), "xs")
+    return ys.join(xs, (F.col("band") == F.col("k")) & (F.col("block") == F.col("to"))).select("xs", "ys").mapInArrow(_block_step(threshold), "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, overlap) of the pairs that reach the threshold; the texts come by two equi-joins."""
     left = pairs.join(texts.select(F.col("doc_id").alias("i"), "text"), F.col("a") == F.col("i")).select("a", "b", "text")
@@ -132,17 +208,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_md5, class_id (the smallest id of its class), links (verified ones of its distinct multiset), copies.
+    """One row per document: doc_id, text_md5, class_id (the smallest id of its class), copies (documents of
+    its multiset).
 
     1. Every whole text gets its multiset of five-word shingles (words are runs of letters and digits, case
        folded), a 128-bit hash of it, and a BagMinHash signature cut in bands.
     2. Documents of equal multisets are one node from here on, counted before the shuffle; however
        many copies there are, one takes part.
-    3. Nodes of a band value are linked to its smallest node if their overlap, worked out on the whole texts,
+    3. Nodes of a band value are linked to one of them, chosen by a hash, if their overlap, worked out on the whole texts,
        reaches the threshold.  Components of these links are found.
-    4. Where a band value still holds several components, the nodes across them are compared too: each such
-       pair that its sizes allow, in an equi-join on the value, so no link inside a band is lost; what
-       is one component already needs no more comparisons.
+    4. Where a band value still holds several components, nodes across them are compared too, in blocks of
+       sets of shingles; what is one component already needs no more comparisons, and of each block only
+       one link for a node and another component leaves, which is checked on the texts as before.  So all nodes of
+       a band that are alike end in one class, however many there are.
     5. Components of all links are the classes.
 
     Texts without words (empty, null) are one multiset only if their bytes are equal; texts of fewer than
@@ -156,7 +234,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     nodes = stored(keyed.groupBy("ka", "kb").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands")).select("ka", "kb", F.col("first.doc_id").alias("node"), F.col("first.hash").alias("node_hash"), "copies", "weight", "bands"), "nodes")
     linking = nodes.groupBy("node").agg(F.min_by(F.struct("weight", "bands", "node_hash"), "node_hash").alias("x")).select("node", "x.*")
     banded = linking.where("weight > 0").select("node", "weight", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.min_by("weight", "node").alias("head_weight"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("band", "k")
+    # another head for each band, so that a node of a large family meets many of its members
+    heads = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node", "weight")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = heads.select(F.col("band").alias("k"), F.col("head.node").alias("head"), F.col("head.weight").alias("head_weight"))
     members = stored(banded.join(heads, F.col("band") == F.col("k")).select("band", "node", "weight", "head", "head_weight"), "members")
 
     def fits(a: str, b: str):
@@ -165,26 +245,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     wanted = members.select(F.col("node").alias("i")).distinct().join(linking.select("node", "node_hash"), F.col("i") == F.col("node")).select("i", "node_hash")
     found = rows.withColumn("h", F.md5("text")).join(wanted, (F.col("doc_id") == F.col("i")) & (F.col("h") == F.col("node_hash")))
     texts = stored(found.select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
-    stars = members.where((F.col("node") != F.col("head")) & fits("weight", "head_weight")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = members.where((F.col("node") != F.col("head")) & fits("weight", "head_weight")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     links = stored(_verified(stars, texts, threshold), "links")
     labels = components(links)
-    placed = members.join(labels.withColumnRenamed("node", "i"), F.col("node") == F.col("i"), "left").select("band", "node", "weight", "head", F.coalesce("label", "node").alias("label"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("band").alias("k"))
-    some = stored(placed.join(mixed, F.col("band") == F.col("k")).drop("k"), "mixed")
-    main = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main")).withColumnRenamed("band", "k")
-    outside = some.join(main, F.col("band") == F.col("k")).where("label <> main").select(F.col("band").alias("k"), F.col("node").alias("x"), F.col("weight").alias("x_weight"), F.col("label").alias("x_label"), "main")
-    across = some.join(outside, F.col("band") == F.col("k")).where(
-        (F.col("label") != F.col("x_label")) & (F.col("node") != F.col("head")) & (F.col("x") != F.col("head")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x"))) & fits("weight", "x_weight")
-    )
-    rest = stored(across.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct(), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(stored(_verified(rest, texts, threshold), "links"))
-        labels = components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    classes = nodes.join(labels.withColumnRenamed("node", "i"), F.col("node") == F.col("i"), "left").join(degree, F.col("node") == F.col("a"), "left")
-    classes = classes.select(F.col("ka").alias("a1"), F.col("kb").alias("b1"), F.coalesce("label", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    return keyed.join(classes, (F.col("ka") == F.col("a1")) & (F.col("kb") == F.col("b1"))).select(F.col("doc_id").alias(id_col), F.col("hash").alias("text_md5"), "class_id", "links", "copies")
+    placed = members.join(labels.withColumnRenamed("node", "i"), F.col("node") == F.col("i"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    more = stored(_verified(_across(placed, texts, threshold), texts, threshold), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+    classes = nodes.join(labels.withColumnRenamed("node", "i"), F.col("node") == F.col("i"), "left")
+    classes = classes.select(F.col("ka").alias("a1"), F.col("kb").alias("b1"), F.coalesce("label", "node").alias("class_id"), "copies")
+    return keyed.join(classes, (F.col("ka") == F.col("a1")) & (F.col("kb") == F.col("b1"))).select(F.col("doc_id").alias(id_col), F.col("hash").alias("text_md5"), "class_id", "copies")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
