@@ -61,7 +61,7 @@ def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 5) -> tuple[
 
     The ordinary one is trained on windows of ordinary texts.  The toxic one is trained on what toxic texts
     have besides: words, or beginnings of words, that are at least eight times as common in them and
-    occur in one of a hundred of them.  It is put before the ordinary content, so windows of ordinary text
+    occur in one of fifty of them.  It is put before the ordinary content, so windows of ordinary text
     compress alike with both.
     """
     word_t, word_o, stem_t, stem_o = Counter(), Counter(), Counter(), Counter()
@@ -70,7 +70,7 @@ def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 5) -> tuple[
             own = set(_words(text))
             by_word.update(own)
             by_stem.update({s for w in own if (s := _stem(w))})
-    least, odds = max(3, len(toxic) // 100), 8 * len(toxic) / max(1, len(ordinary))
+    least, odds = max(4, len(toxic) // 50), 8 * len(toxic) / max(1, len(ordinary))
 
     def marked(w: bytes) -> bool:
         s = _stem(w)
