@@ -105,5 +105,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     spark = docs.sparkSession
     good = labels.where("quality = 1 and " + f"{id_col} is not null").select(F.col(id_col).alias("good_id")).distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    tables = spark.sparkContext.broadcast(models(counted(rows.join(good, F.col("doc_id") == F.col("good_id"), "left"))))
+    # the labels grow with the corpus, so the join is a shuffle at every size
+    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    tables = spark.sparkContext.broadcast(models(counted(marked)))
     return rows.mapInArrow(_score_step(tables), "doc_id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("doc_id", id_col)
