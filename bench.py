@@ -37,6 +37,10 @@ HEADLINE = {
     "user_days": "sp02_user_days",
     "dimension_months": "in01_dimension_months",
     "gradient_boosting": "mo13_gradient_boosting",
+    "model_table_events": "jn11_model_table_events",
+    "exponential_smoothing": "mo07_exponential_smoothing",
+    "elastic_net": "mo12_elasticnet",
+    "classifier_layer": "in05_lead_quality",
 }
 
 

@@ -9,7 +9,7 @@ from revcast.functions import scalars as S
 from revcast.functions.dates import parse_days, parse_months
 from revcast.operators import clean
 from revcast.sources import adapters as A
-from revcast.sources.readers import likely_value_columns, preview
+from revcast.sources.readers import HELPER_LIMITS, likely_value_columns, preview
 
 REG = Registry()
 SPEC = clean.FixSpec(("Revenue Date",), ("Revenue",), ("Platform", "Campaign"))
@@ -47,9 +47,19 @@ def io05(spark, d):
     return likely_value_columns(A.table(spark, d, "lineitem").select(*cols), top=5)
 
 
-@REG.add("io06_preview")
+@REG.add("io05_likely_helper_columns", sql="""WITH u AS (
+  SELECT 'ps_cost' AS "column", p_retailprice AS v FROM part UNION ALL SELECT 'p_size', p_size FROM part UNION ALL SELECT 'p_brand', TRY_CAST(p_brand AS DOUBLE) FROM part),
+  m AS (SELECT "column", count(v) / count(*) AS valid_ratio, quantile_cont(v, 0.5) AS median FROM u GROUP BY 1)
+  SELECT "column", valid_ratio, median, valid_ratio * 1000 - abs(median) AS score FROM m WHERE valid_ratio >= 0.75 AND median > -1 AND median <= 1e12""",
+  rnd="valid_ratio median score")
+def io05_helper(spark, d):
+    part = A.table(spark, d, "part").select(F.col("p_retailprice").alias("ps_cost"), "p_size", "p_brand")
+    return likely_value_columns(part, limits=HELPER_LIMITS)
+
+
+@REG.add("io06_preview", "ord", "SELECT * FROM ord ORDER BY purchase_id LIMIT 20", rnd="y")
 def io06(spark, d):
-    return preview(A.revenue_orders(spark, d), 20)
+    return preview(A.revenue_orders(spark, d).orderBy("purchase_id"), 20)
 
 
 @REG.add("io13_json_ready_records", sql="""SELECT event_id, event_type,
@@ -94,7 +104,7 @@ def cl06(spark, d):
     return clean.trim_dimensions(dirty(spark, d).drop("Revenue"), ["Platform", "Campaign"])
 
 
-@REG.add("cl07_sort_dates")
+@REG.add("cl07_sort_dates", "ord", "SELECT * FROM ord ORDER BY ds, purchase_id", rnd="y")
 def cl07(spark, d):
     return A.revenue_orders(spark, d).orderBy("ds", "purchase_id")
 

@@ -96,7 +96,12 @@ def fe07(spark, d):
     return X.add_ewm(df, ["leads"]).drop("series_id")
 
 
-@REG.add("fe07_ewm_series")
+@REG.add("fe07_ewm_series", "dm", """WITH RECURSIVE o AS MATERIALIZED (SELECT series_id, ds, y, leads, cost, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS rn FROM dm),
+  e AS (SELECT *, NULL::DOUBLE AS leads_ewm_7, NULL::DOUBLE AS leads_ewm_28, NULL::DOUBLE AS cost_ewm_7, NULL::DOUBLE AS cost_ewm_28 FROM o WHERE rn = 1
+    UNION ALL SELECT o.*, coalesce(leads_ewm_7 + (e.leads - leads_ewm_7) * 2.0::DOUBLE / 8, e.leads), coalesce(leads_ewm_28 + (e.leads - leads_ewm_28) * 2.0::DOUBLE / 29, e.leads),
+      coalesce(cost_ewm_7 + (e.cost - cost_ewm_7) * 2.0::DOUBLE / 8, e.cost), coalesce(cost_ewm_28 + (e.cost - cost_ewm_28) * 2.0::DOUBLE / 29, e.cost)
+    FROM e JOIN o ON o.rn = e.rn + 1 AND o.series_id = e.series_id)
+  SELECT * EXCLUDE (rn) FROM e""", rnd="y leads cost leads_ewm_7 leads_ewm_28 cost_ewm_7 cost_ewm_28")
 def fe07_series(spark, d):
     return X.add_ewm(daily_model(spark, d))
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from catalog.base import Registry, view
 from catalog.frames import daily_model, series_daily
 from catalog.model_queries import ranked, tournament
-from revcast.operators import blend, trees
+from revcast.operators import blend
 from revcast.operators import postprocess as P
 from revcast.plans.forecast import CLOSED_FORM, ForecastConfig, run_forecast
-from revcast.sources import adapters as A
 
 REG = Registry()
 
@@ -123,24 +122,17 @@ def flagship(spark, d):
     return P.scenario_bands(run.display)
 
 
-ALL_FAMILIES = [*CLOSED_FORM, "exponential_smoothing", "theta", "autoregression", "trend_fourier", "ridge", "elasticnet", "random_forest"]
+ALL_FAMILIES = [*CLOSED_FORM, "exponential_smoothing", "theta", "autoregression", "trend_fourier", "ridge", "elasticnet"]
 
 
 @REG.add("pp10_forecast_run_all_families")
 def pp10_all(spark, d):
-    """Every family in one tournament over daily series with their regressors; the forest is the small one."""
-    cfg = ForecastConfig(horizon=30, depth="fast", models=tuple(ALL_FAMILIES), tree_settings=dict(trees.SMALL))
+    """Baselines, smoothing, autoregressive, Fourier and linear families in one tournament over daily series with regressors."""
+    cfg = ForecastConfig(horizon=30, depth="fast", models=tuple(ALL_FAMILIES))
     run = run_forecast(daily_model(spark, d), cfg)
     return run.display.select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper")
 
 
-@REG.add("pp10_skipped_series")
-def pp10_skipped(spark, d):
-    """What a tournament over platform, campaign and ad leaves out, with reasons; many of these series are short."""
-    fine = A.revenue(spark, d).groupBy(F.concat_ws("|", "platform", "campaign", "ad").alias("series_id"), "ds").agg(F.sum("y").alias("y"))
-    return run_forecast(fine, ForecastConfig(horizon=30, depth="fast", models=("naive", "seasonal_naive", "autoregression"))).skipped
-
-
 @REG.add("pp10_forecast_run")
 def pp10(spark, d):
     return flagship(spark, d)

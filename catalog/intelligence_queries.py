@@ -92,6 +92,16 @@ def in05_targets(spark, d):
     return I.lead_quality_targets(months(spark, d)).select("dimension_type", "dimension", "month", "conversion_target", "high_value_target")
 
 
+@REG.add("in05_classifier_quality")
+def in05_report(spark, d):
+    return I.lead_quality_report(cut(months(spark, d)), I.SMALL)
+
+
+@REG.add("in08_classifier_quality")
+def in08_report(spark, d):
+    return I.behavior_report(cut(I.profile_behavior(A.revenue_orders(spark, d))), I.SMALL)
+
+
 @REG.add("in05_lead_quality")
 def in05(spark, d):
     return I.lead_quality(cut(months(spark, d)), I.SMALL)

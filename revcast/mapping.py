@@ -107,10 +107,3 @@ def regressors(mappings: dict[str, Mapping]) -> list[str]:
         if role == "events" or role.startswith("custom"):
             out.extend(m.values)
     return list(dict.fromkeys(out))
-
-
-def series_column(scope: str, mapping: Mapping) -> str | None:
-    """Forecast scope -> column that names the series; ``company`` has none."""
-    if scope in ("company", "company_total", ""):
-        return None
-    return "category" if scope in ("category", "combined") else mapping.dimensions.get(scope)

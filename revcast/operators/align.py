@@ -311,8 +311,3 @@ def union_frames(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def latest_days(df: DataFrame, days: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The last ``days`` rows per key of a daily frame."""
-    return newest_first(df, list(keys)).filter(F.col("rn_desc") <= days).drop("rn_desc")

@@ -290,15 +290,6 @@ def training_window(df: DataFrame, mode: str = "all_history", start: str | None
     return out.join(F.broadcast(last), F.col("ds") >= F.col("_from")).drop("_from")
 
 
-def training_window_facts(df: DataFrame, mode: str = "all_history", start: str | None = None, end: str | None = None) -> DataFrame:
-    """One row: rows before and after, first and last day used."""
-    before = df.agg(F.count("*").alias("rows_before"))
-    after = training_window(df, mode, start, end).agg(
-        F.count("*").alias("rows_after"), F.min("ds").alias("used_start"), F.max("ds").alias("used_end")
-    )
-    return before.crossJoin(F.broadcast(after)).withColumn("mode", F.lit(mode))
-
-
 def training_window_presets(df: DataFrame, least_rows: int = 60) -> DataFrame:
     """Every preset with the days it would use and whether they suffice; one pass over the distinct days."""
     days = df.filter(F.col("ds").isNotNull()).groupBy("ds").count()

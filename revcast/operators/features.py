@@ -143,22 +143,38 @@ def add_ewm(
 ) -> DataFrame:
     """Exponentially weighted mean of the earlier rows.
 
-    The recursion needs the rows of a series in order; a series has at most one
-    row per day, so a group stays small however many transactions it came from.
+    A fold over the rows of a series in order; a series has at most one row per
+    day, so its array stays small however many transactions it came from.  A
+    missing value keeps the mean and lets its weight decay.
     """
     present = [c for c in columns if c in df.columns]
-    fields = [T.StructField(f"{c}_ewm_{s}", T.DoubleType()) for c in present for s in spans]
-    schema = T.StructType([*df.schema.fields, *fields])
-    spans = list(spans)
-
-    def per_series(pdf):
-        pdf = pdf.sort_values("ds")
-        for c in present:
-            for s in spans:
-                pdf[f"{c}_ewm_{s}"] = pdf[c].astype("float64").shift(1).ewm(span=s, adjust=False).mean()
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(per_series, schema)
+    names = df.columns
+    rows = F.sort_array(F.collect_list(F.struct("ds", F.struct(*names).alias("row"))))
+    series = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(rows.alias("_rows"))
+    none = F.lit(None).cast("double")
+
+    def folded(c: str, span: int) -> Column:
+        alpha = 2.0 / (span + 1)
+
+        def step(acc: Column, e: Column) -> Column:
+            x, mean = acc["last"], acc["mean"]
+            known, seen = mean.isNotNull(), x.isNotNull()
+            weight = F.when(known, acc["weight"] * (1 - alpha)).otherwise(acc["weight"])
+            now = F.when(known & seen, (weight * mean + alpha * x) / (weight + alpha)).when(known, mean).otherwise(x)
+            return F.struct(
+                e["row"][c].cast("double").alias("last"), now.alias("mean"),
+                F.when(known & seen, F.lit(1.0)).otherwise(weight).alias("weight"), F.concat(acc["out"], F.array(now)).alias("out"),
+            )
+
+        start = F.struct(none.alias("last"), none.alias("mean"), F.lit(1.0).alias("weight"), F.array().cast("array<double>").alias("out"))
+        return F.aggregate("_rows", start, step, lambda acc: acc["out"])
+
+    folds = {f"{c}_ewm_{s}": folded(c, s) for c in present for s in spans}
+    placed = series.select("_rows", *[v.alias(n) for n, v in folds.items()])
+    each = placed.select(F.posexplode("_rows").alias("_at", "_row"), *folds)
+    return each.select(
+        *[F.col("_row")["row"][n].alias(n) for n in names], *[F.get(n, F.col("_at")).alias(n) for n in folds]
+    )
 
 
 def add_ratios(df: DataFrame) -> DataFrame:

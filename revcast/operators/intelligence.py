@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -200,6 +201,27 @@ def lead_quality_targets(frame: DataFrame) -> DataFrame:
     )
 
 
+def classifier_report(train: DataFrame, names: list[str], targets: Sequence[str], size: ModelSize = FULL) -> DataFrame | None:
+    """Quality of the boosted classifier of each target that has both classes; None where none has."""
+    parts = []
+    for target in targets:
+        model = fit_classifier(train, names, target, size)
+        if model is not None:
+            parts.append(classifier_quality(model, train, target).select(F.lit(target).alias("target"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def lead_quality_report(frame: DataFrame, size: ModelSize = FULL) -> DataFrame | None:
+    names = _features(frame, [n for n in MONTH_FEATURES if n != "y"])
+    return classifier_report(lead_quality_targets(frame), names, ("conversion_target", "high_value_target"), size)
+
+
+def behavior_report(frame: DataFrame, size: ModelSize = FULL) -> DataFrame | None:
+    df = behavior_targets(frame)
+    df = df.select(*[F.col(c).cast("double").alias(c) if c in USER_FEATURES else F.col(c) for c in df.columns])
+    return classifier_report(df, USER_FEATURES, ("cooling_target", "reactivation_target", "drop_target"), size)
+
+
 def lead_quality(frame: DataFrame, size: ModelSize = FULL) -> DataFrame:
     """Latest month per dimension value: chances of revenue and of high revenue, bucket and tier."""
     names = _features(frame, [n for n in MONTH_FEATURES if n != "y"])

@@ -31,7 +31,7 @@ ALL_MODELS = [*baselines.BASELINES, *PER_SERIES, *linear.MODELS, *trees.FULL]
 
 @dataclass
 class ForecastConfig:
-    horizon: int = 30
+    horizon: int | str = 30  # periods, or a span such as "90D" or "12M"
     frequency: str = "D"
     models: Sequence[str] = tuple(CLOSED_FORM)
     depth: str = "balanced"
@@ -111,6 +111,8 @@ def run_forecast(daily: DataFrame, cfg: ForecastConfig | None = None) -> Forecas
     daily = cut(daily)
     if cfg.detect_frequency:
         cfg = ForecastConfig(**{**cfg.__dict__, "frequency": effective_frequency(daily, cfg.frequency)})
+    if isinstance(cfg.horizon, str):
+        cfg = ForecastConfig(**{**cfg.__dict__, "horizon": evaluate.horizon_periods(cfg.horizon, cfg.frequency)})
     folds = evaluate.with_final_fold(evaluate.make_folds(daily, cfg.horizon, cfg.frequency, cfg.depth), daily)
     needs_ids = any(m in linear.MODELS or m in trees.FULL for m in cfg.models) or bool(cfg.custom)
     fold_ids = sorted(r["fold"] for r in folds.select("fold").collect()) if needs_ids else []

@@ -9,15 +9,6 @@ COMPANY = "company_total"
 FLAG_COLUMNS = ("event_flag", "outage_flag", "promo_flag", "holiday_flag")
 DIMENSIONS = ("platform", "affiliate", "campaign", "ad", "category")
 
-MODELING = T.StructType(
-    [
-        T.StructField("ds", T.DateType(), False),
-        T.StructField("y", T.DoubleType()),
-        T.StructField("series_id", T.StringType(), False),
-        T.StructField("category", T.StringType(), False),
-    ]
-)
-
 FORECAST = T.StructType(
     [
         T.StructField("model", T.StringType(), False),
