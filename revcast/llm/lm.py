@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,100 +10,167 @@ from pyspark.sql import functions as F
 from revcast.llm.common import whole_text
 from revcast.llm.words import Words, mix, pieces
 
-WORD_BITS, PAIR_BITS = 17, 18
+WORD_BITS = 17
 PRIOR = 0.5
 STRENGTH = 20.0
+BLOCK_BYTES = 16_000_000
+LEAST_BLOCKS = 192
+
 
+class Block:
+    """The words of a block of texts: ``words`` and ``pairs`` are its different 64-bit keys in order, ``word`` and ``pair`` the places of each word and pair there.
 
-def _slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word slot, pair slot, index of the pair's second word); a text's first word has no pair."""
-    word = (words.hash & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-    second = np.flatnonzero(words.doc[1:] == words.doc[:-1]) + 1
-    pair = (mix(words.hash[second - 1] * np.uint64(3) + words.hash[second]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
-    return word, pair, second
+    ``second`` is the index of each pair's second word; a text's first word has no pair.
+    """
 
+    def __init__(self, texts: pa.Table):
+        hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for batch in texts.to_batches():
+            for some in pieces(batch):
+                words = Words(some.column("text"))
+                hashes.append(words.hash)
+                counts.append(words.counts())
+        h, self.counts = np.concatenate(hashes), np.concatenate(counts)
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        self.words, self.word = np.unique(h, return_inverse=True)
+        self.pairs, self.pair = np.unique(mix(h[self.second - 1] * np.uint64(3) + h[self.second]), return_inverse=True)
 
-def _count_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, slot, target, background): a task's counts, combined over its rows."""
-    sizes = (1 << WORD_BITS, 1 << WORD_BITS, 1 << PAIR_BITS)
-    total = [np.zeros((2, n), dtype=np.int64) for n in sizes]
-    for batch in batches:
-        for some in pieces(batch):
-            words = Words(some.column("text"))
-            word, pair, second = _slots(words)
-            wanted = some.column("target").to_numpy(zero_copy_only=False).astype(bool)[words.doc]
-            for t, slots, of in ((0, word, wanted), (1, word[second - 1], wanted[second]), (2, pair, wanted[second])):
-                total[t][1] += np.bincount(slots, minlength=sizes[t])
-                total[t][0] += np.bincount(slots[of], minlength=sizes[t])
-    for kind, counts in enumerate(total):
-        at = np.flatnonzero(counts[1])
-        yield pa.record_batch([pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["kind", "slot", "target", "background"])
+    def counted(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of ``words`` (target, background, and both as a pair's first word) and ``pairs`` (target, background)."""
 
+        def of(places: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+            return [np.bincount(places[target[self.doc[at]]], minlength=size), np.bincount(places, minlength=size)]
 
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """Word, context and pair counts of all rows (background) and of the target rows, over one hashed vocabulary."""
-    rows = docs.select(whole_text(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
-    return rows.mapInArrow(_count_step, "kind int, slot int, target long, background long").groupBy("kind", "slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+        every, first = np.arange(len(self.doc)), self.second - 1
+        words = of(self.word, every, len(self.words)) + of(self.word[first], first, len(self.words))
+        return np.stack(words), np.stack(of(self.pair, self.second, len(self.pairs)))
 
 
-def models(counts: DataFrame) -> list[np.ndarray]:
-    """[word log-probabilities base, context counts, pair counts], each (2, slots): target and background.
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, equal bytes of them side by side."""
+    return pa.compress(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, n).T).reshape(-1).view(kind)
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ends of the ranges of ordered keys that the buckets hold."""
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+
+
+ASKED = "bucket int, block int, n_words int, words binary, word_counts binary, n_pairs int, pairs binary, pair_counts binary"
+TOLD = "block int, bucket int, n_words int, word_counts binary, n_pairs int, pair_counts binary, vocabulary long, target long, background long"
 
-    The tables have a fixed number of slots (2^17 words and contexts, 2^18 pairs), whatever the corpus.
-    """
-    out = [np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << PAIR_BITS))]
-    rows = counts.toPandas()
-    for kind, table in enumerate(out):
-        own = rows[rows["kind"] == kind]
-        table[0][own["slot"].to_numpy()] = own["target"].to_numpy()
-        table[1][own["slot"].to_numpy()] = own["background"].to_numpy()
-    words = (out[0] + PRIOR) / (out[0].sum(axis=1, keepdims=True) + PRIOR * out[0].shape[1])
-    return [words.astype(np.float32), out[1].astype(np.float32), out[2].astype(np.float32)]
 
+def _ask_step(buckets: int):
+    """A block's keys and counts, one row for each bucket of keys."""
 
-def losses(words: Words, tables: list[np.ndarray]) -> np.ndarray:
+    def step(texts: pa.Table, good: pa.Table) -> pa.Table:
+        rows = []
+        if texts.num_rows:
+            block = Block(texts)
+            ids = texts.column("doc_id")
+            known = ids.is_valid().to_numpy()
+            target = known & np.isin(ids.fill_null(0).to_numpy(), good.column("good_id").to_numpy())
+            words, pairs = block.counted(target)
+            at = texts.column("block")[0].as_py()
+            w, p = _cuts(block.words, buckets), _cuts(block.pairs, buckets)
+            for b in range(buckets):
+                i, j = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
+                gaps = [np.diff(keys, prepend=np.uint64(0)) for keys in (block.words[i], block.pairs[j])]
+                rows.append((b, at, w[b + 1] - w[b], _packed(gaps[0]), _packed(words[:, i]), p[b + 1] - p[b], _packed(gaps[1]), _packed(pairs[:, j])))
+        return _table(rows, ASKED)
+
+    return step
+
+
+def _tell_step(asked: pa.Table) -> pa.Table:
+    """For each block the counts of its keys over all blocks, and what all words of the bucket come to."""
+    rows = asked.to_pylist()
+    told = []
+    for n, keys, counts, size in (("n_words", "words", "word_counts", 4), ("n_pairs", "pairs", "pair_counts", 2)):
+        own = [np.cumsum(_unpacked(r[keys], r[n], np.uint64), dtype=np.uint64) for r in rows]
+        every, place = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.zeros((size, len(every)), dtype=np.int64)
+        cut = np.cumsum([0] + [len(x) for x in own])
+        places = [place[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        for r, at in zip(rows, places, strict=True):
+            total[:, at] += _unpacked(r[counts], size * r[n]).reshape(size, -1)
+        told.append((total, places))
+    (words, at_words), (pairs, at_pairs) = told
+    whole = (words.shape[1], int(words[0].sum()), int(words[1].sum()))
+    return _table([(r["block"], r["bucket"], r["n_words"], _packed(words[:, i]), r["n_pairs"], _packed(pairs[:, j]), *whole) for r, i, j in zip(rows, at_words, at_pairs, strict=True)], TOLD)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def losses(block: Block, words: np.ndarray, pairs: np.ndarray, size: tuple[int, int], vocabulary: int) -> np.ndarray:
     """(2, words): negative log-probability of every word under both models.
 
     A pair's probability is its count smoothed towards the word's own by Dirichlet mass; both models
-    have the same vocabulary, order and smoothing.
+    have the same vocabulary, order and smoothing.  The prior is spread over 2^17 words, or over the
+    different words of the corpus if there are more, so the words' probabilities never sum to more than 1.
     """
-    word, pair, second = _slots(words)
-    own, context, pairs = tables
-    out = np.empty((2, len(word)))
+    spread = max(1 << WORD_BITS, vocabulary)
+    out = np.empty((2, len(block.word)))
     for m in range(2):
-        base = own[m][word].astype(np.float64)
+        base = ((words[m] + PRIOR) / (size[m] + PRIOR * spread))[block.word]
         p = base.copy()
-        p[second] = (pairs[m][pair] + STRENGTH * base[second]) / (context[m][word[second - 1]] + STRENGTH)
+        p[block.second] = (pairs[m][block.pair] + STRENGTH * base[block.second]) / (words[2 + m][block.word[block.second - 1]] + STRENGTH)
         out[m] = -np.log(p)
     return out
 
 
-def _score_step(shared):
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for batch in batches:
-            for some in pieces(batch):
-                words = Words(some.column("text"))
-                loss, n = losses(words, tables), words.counts()
-                target, background = (np.bincount(words.doc, weights=loss[m], minlength=words.docs) / np.maximum(n, 1) for m in range(2))
-                yield pa.record_batch([some.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(target), pa.array(background), pa.array(target - background)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
-    return step
+
+def _score_step(texts: pa.Table, told: pa.Table) -> pa.Table:
+    if not texts.num_rows:
+        return _table([], SCORES)
+    block = Block(texts)
+    rows = sorted(told.to_pylist(), key=lambda r: r["bucket"])
+    words, pairs = (np.concatenate([_unpacked(r[c], k * r[n]).reshape(k, -1) for r in rows], axis=1) for c, n, k in (("word_counts", "n_words", 4), ("pair_counts", "n_pairs", 2)))
+    if words.shape[1] != len(block.words) or pairs.shape[1] != len(block.pairs):
+        raise RuntimeError("the counts are of another block")
+    loss = losses(block, words, pairs, tuple(sum(r[m] for r in rows) for m in ("target", "background")), sum(r["vocabulary"] for r in rows))
+    n = block.counts
+    target, background = (np.bincount(block.doc, weights=loss[m], minlength=len(n)) / np.maximum(n, 1) for m in range(2))
+    return pa.table([texts.column("doc_id"), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (nats a word; lower: more like the target).
 
     The target is every document labelled ``quality`` 1, the background every document.  Words are runs of
-    letters and digits, case folded.  Counts are combined in each task before the shuffle and gathered from
-    all rows.  A null or empty text has no words and score 0; null ids are scored too; repeated rows
-    count and are scored each; without target rows both models of words are smoothed priors and
+    letters and digits, case folded.  A null or empty text has no words and score 0; null ids are scored too;
+    repeated rows count and are scored each; without target rows both models of words are smoothed priors and
     scores still have a value; an empty table gives no rows.
+
+    Every word and pair is counted by its own 64-bit key.  Documents are dealt over blocks by their ids.  A block
+    sends each of its different keys once, with its counts, to the range of keys (bucket) it lies in; there the
+    counts of all blocks are summed and those a block asked for go back to it.  Blocks and buckets grow
+    in number with the texts, not in size, and no table is gathered on the driver or broadcast.  Only rows of
+    one id meet in a block whatever their number.
     """
-    spark = docs.sparkSession
-    good = labels.where("quality = 1 and " + f"{id_col} is not null").select(F.col(id_col).alias("good_id")).distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    # the labels grow with the corpus, so the join is a shuffle at every size
-    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    tables = spark.sparkContext.broadcast(models(counted(marked)))
-    return rows.mapInArrow(_score_step(tables), "doc_id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("doc_id", id_col)
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(-(-size // BLOCK_BYTES), min(LEAST_BLOCKS, n), 1)
+
+    def dealt(key):
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
+
+    texts = rows.select("doc_id", "text", dealt(F.coalesce("doc_id", F.xxhash64("text"))))
+    good = labels.where(f"quality = 1 and {id_col} is not null").select(F.col(id_col).cast("long").alias("good_id")).select("good_id", dealt(F.col("good_id")))
+    asked = texts.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_ask_step(blocks), ASKED)
+    told = asked.groupBy("bucket").applyInArrow(_tell_step, TOLD)
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score_step, SCORES).withColumnRenamed("doc_id", id_col)

@@ -53,3 +53,27 @@ def test_odd_tables(lm_spark):
     rows = cross_entropy_difference(frame(lm_spark, [(None, "a b"), (1, "a b"), (1, "a b")]), labels).collect()
     assert len(rows) == 3 and all(math.isfinite(r["score"]) for r in rows)
     assert cross_entropy_difference(frame(lm_spark, []), labels).collect() == []
+
+
+def test_every_word_has_a_count_of_its_own(lm_spark):
+    """More words than 2^17: losses agree to the last digits, and the words' probabilities sum to 1 or less."""
+    texts = [(i, " ".join(f"w{(i * 3701 + k * k) % 90_000 if k % 4 else i * 5000 + k}" for k in range(5000))) for i in range(40)]
+    texts += [(100 + i, " ".join(f"v{i}x{k}" for k in range(4000))) for i in range(20)]
+    good = set(range(0, 40, 5))
+    split = {i: t.split() for i, t in texts}
+    spread = len({w for own in split.values() for w in own})
+    assert spread > 1 << WORD_BITS
+    tables = []
+    for m in (0, 1):
+        some = [w for i, w in split.items() if m or i in good]
+        tables.append([Counter(x for w in some for x in w), Counter(x for w in some for x in w[:-1]), Counter(x for w in some for x in zip(w, w[1:]))])
+    labels = lm_spark.createDataFrame([(i, int(i in good), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    rows = cross_entropy_difference(frame(lm_spark, texts), labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        w = split[r["doc_id"]]
+        for (uni, ctx, pair), got in zip(tables, (r["target_loss"], r["background_loss"])):
+            total = sum(uni.values()) + PRIOR * spread
+            p = [(uni[x] + PRIOR) / total for x in w]
+            q = p[:1] + [(pair[a, b] + STRENGTH * p[k + 1]) / (ctx[a] + STRENGTH) for k, (a, b) in enumerate(zip(w, w[1:]))]
+            assert abs(got + sum(map(math.log, q)) / len(w)) < 1e-9
