@@ -103,6 +103,37 @@ def shared_runs(a: np.ndarray, b: np.ndarray, shift: int, threshold: float) -> l
     return [(int(s) + low, int(e) + low) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def _shingled(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(0, len(words) - SHINGLE_WORDS + 1), dtype=np.uint64)
+    for k in range(SHINGLE_WORDS):
+        out += mix(words[k : k + len(out)].astype(np.uint64) + np.uint64(k + 1))
+    return mix(out)
+
+
+def alike_runs(a: np.ndarray, b: np.ndarray, p: int, q: int, threshold: float) -> tuple[int, int, int, int] | None:
+    """(start, end) in ``a`` and in ``b`` of what the paragraphs around word ``p`` of ``a`` and ``q`` of ``b`` that are alike cover.
+
+    Alike is the exact Jaccard similarity of the two sets of five-word shingles, wherever these are in the paragraphs.
+    """
+    low, to = max(0, p - SHINGLES + 1), max(0, q - SHINGLES + 1)
+    x, y = _shingled(a[low : p + PARAGRAPH]), _shingled(b[to : q + PARAGRAPH])
+    if len(x) < SHINGLES or len(y) < SHINGLES:
+        return None
+    if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
+        inside = np.pad(np.cumsum(x[:, None] == y[None, :], axis=1), ((0, 0), (1, 0)))
+        hit = (inside[:, SHINGLES:] - inside[:, :-SHINGLES]) > 0
+        common = np.pad(np.cumsum(hit, axis=0), ((1, 0), (0, 0)))
+        common = common[SHINGLES:] - common[:-SHINGLES]
+        s, t = np.nonzero(common >= threshold * (2 * SHINGLES - common))
+    else:
+        left, right = ([set(z[i : i + SHINGLES].tolist()) for i in range(len(z) - SHINGLES + 1)] for z in (x, y))
+        pairs = [(i, j) for i, u in enumerate(left) for j, v in enumerate(right) if len(u & v) >= threshold * len(u | v)]
+        s, t = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    if not len(s):
+        return None
+    return int(s.min()) + low, int(s.max()) + low + PARAGRAPH, int(t.min()) + to, int(t.max()) + to + PARAGRAPH
+
+
 FOUND = "a long, a_start int, a_end int, b long, b_start int, b_end int, failed long"
 
 
@@ -117,15 +148,16 @@ def _verify_step(threshold: float):
                     la, lb = int(left.first[row]), int(right.first[row])
                     wa, wb = left.hash[la : left.first[row + 1]], right.hash[lb : right.first[row + 1]]
                     runs = {shift: shared_runs(wa, wb, shift, threshold) for shift in {x["pos"] - x["head_pos"] for x in anchors}}
-                    for shift, own in runs.items():
-                        for s, e in own:
-                            p, q = left.start[la + s], left.end[la + e - 1]
-                            u, v = right.start[lb + s - shift], right.end[lb + e - shift - 1]
-                            zero, one = lp[left.at[row]], rp[right.at[row]]
-                            out.append((a, lp[p] - zero, lp[q] - zero, b, rp[u] - one, rp[v] - one, None))
+                    zero, one = lp[left.at[row]], rp[right.at[row]]
+
+                    def span(s, e, u, v):
+                        return (a, lp[left.start[la + s]] - zero, lp[left.end[la + e - 1]] - zero, b, rp[right.start[lb + u]] - one, rp[right.end[lb + v - 1]] - one, None)
+
+                    out += [span(s, e, s - shift, e - shift) for shift, own in runs.items() for s, e in own]
                     for x in anchors:
                         if not any(s <= x["pos"] < e for s, e in runs[x["pos"] - x["head_pos"]]):
-                            out.append((a, None, None, b, None, None, x["key"]))
+                            near = alike_runs(wa, wb, x["pos"], x["head_pos"], threshold)
+                            out.append(span(*near) if near else (a, None, None, b, None, None, x["key"]))
                 yield _found_batch(out)
 
     return step
@@ -186,7 +218,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     they are set in a text.  Its band is the pair of its least five-word shingles by two hash functions;
     runs that share a band are one row.  Equal paragraphs always share it, and similar ones share one of the
     many that a passage has.  Each row is compared with the first document of its band: paragraphs around
-    the common shingle count if their exact shingle overlap reaches the threshold.  Rows that fail there are
+    the common shingle count if their exact shingle overlap reaches the threshold, word for word first and, where that
+    fails, as sets of shingles, so inserted and deleted words do no harm.  Rows that fail there are
     grouped by the whole content of their paragraphs instead, so verbatim passages in bands of unlike
     texts are found without comparing those with each other.
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revcast.llm.passages import _lowest, repeated_passages, shared_runs
+from revcast.llm.passages import _lowest, alike_runs, repeated_passages, shared_runs
 from tests.llm.conftest import frame
 
 
@@ -115,3 +115,27 @@ def test_odd_rows(lm_spark, words):
     rows = repeated_passages(frame(lm_spark, [(1, p), (1, p), (None, p)])).collect()
     assert rows == []
     assert repeated_passages(frame(lm_spark, [])).collect() == []
+
+
+def test_inserted_and_deleted_words_agree_with_brute_force(lm_spark):
+    rng = np.random.default_rng(4)
+
+    def sets(w):
+        return [{tuple(w[i + k : i + k + 5]) for k in range(47)} for i in range(len(w) - 50)]
+
+    for trial in range(16):
+        p = rng.integers(0, 40 if trial % 4 == 3 else 10_000, 60)
+        edited = np.insert(p, 30, 77_777) if trial % 2 else np.delete(p, 28 + trial)
+        a, b = (np.concatenate([rng.integers(20_000, 30_000, 70), x, rng.integers(20_000, 30_000, 70)]) for x in (p, edited))
+        want = [(s, t) for s, x in enumerate(sets(a)) for t, y in enumerate(sets(b)) if 78 - 46 <= s <= 78 and 78 - 46 <= t <= 78 and len(x & y) >= 0.8 * len(x | y)]
+        got = alike_runs(a.astype(np.uint64), b.astype(np.uint64), 78, 78, 0.8)
+        assert want and got == (min(s for s, _ in want), max(s for s, _ in want) + 51, min(t for _, t in want), max(t for _, t in want) + 51)
+    # a whole passage of 60 words with a word put in after the 30th
+    base = [f"p{i}" for i in range(60)]
+    edge = [[f"{c}{i}" for i in range(60)] for c in "uvwx"]
+    found = []
+    for n in range(12):
+        own = [f"d{n}{w}" for w in base]
+        texts = [(2 * n, edge[0] + own + edge[1]), (2 * n + 1, edge[2] + own[:30] + ["new"] + own[30:] + edge[3])]
+        found += [(i, " ".join(f"{w}" if w.startswith("d") or w == "new" else f"{i}{w}" for w in t)) for i, t in texts]
+    assert len({r["doc_id"] for r in repeated_passages(frame(lm_spark, found)).collect()}) > 12
