@@ -38,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids and their places in sequences of 2048."""
     shipped(spark)
-    return packing.packed_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.packed_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("pii", personal_data), ("packing", packed)]

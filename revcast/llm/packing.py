@@ -188,8 +188,8 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     ).drop("row")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset: documents in as few sequences as planned.
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset: documents in as few sequences as planned.
 
     The token ids are written once to the shared folder; without ``with_ids`` only their checksum and
     length go through the shuffles.

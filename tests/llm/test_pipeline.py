@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline
@@ -27,3 +28,9 @@ def test_stages(lm_spark, sf_dir):
     for r in rows:
         filled[r["sequence_id"]] += r["length"]
     assert max(filled.values()) <= 2048 and len(filled) <= sum(filled.values()) / 2048 + 2
+
+
+def test_last_stage_returns_the_ids(lm_spark, sf_dir):
+    docs = table(lm_spark, sf_dir, "documents").limit(30)
+    rows = corpus_pipeline.STAGES[-1][1](lm_spark, docs, sf_dir).collect()
+    assert rows and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in rows)
