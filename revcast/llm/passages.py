@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ class Paragraphs:
 
 
 def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, pos): each different key of a document once, with the word of its anchor."""
+    """(key, doc_id, pos): each different key of a document once, with the words of all its anchors."""
     for batch in batches:
         for some in pieces(batch):
             words = Words(some.column("text"))
@@ -70,9 +71,13 @@ def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((found.anchor, found.key, doc))
             key, of, pos = found.key[order], doc[order], (found.anchor - words.first[doc])[order]
             new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (pos[1:] != pos[:-1])
+            key, of, pos = key[new], of[new], pos[new]
+            new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(key)), pa.int32()), pa.array(pos.astype(np.int32)))
             ids = some.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(ids[of[new]].astype(np.int64)), pa.array(pos[new].astype(np.int32))], names=["key", "doc_id", "pos"])
+            yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(ids[of[new]].astype(np.int64)), lists], names=["key", "doc_id", "pos"])
 
 
 def _points(words: Words) -> np.ndarray:
@@ -147,17 +152,25 @@ def _verify_step(threshold: float):
                 for row, (a, b, anchors) in enumerate(zip(some.column("a").to_pylist(), some.column("b").to_pylist(), some.column("anchors").to_pylist(), strict=True)):
                     la, lb = int(left.first[row]), int(right.first[row])
                     wa, wb = left.hash[la : left.first[row + 1]], right.hash[lb : right.first[row + 1]]
-                    runs = {shift: shared_runs(wa, wb, shift, threshold) for shift in {x["pos"] - x["head_pos"] for x in anchors}}
+                    shifts = {p - q for x in anchors for p in x["pos"] for q in x["head_pos"]}
+                    runs = {shift: shared_runs(wa, wb, shift, threshold) for shift in shifts}
                     zero, one = lp[left.at[row]], rp[right.at[row]]
 
                     def span(s, e, u, v):
                         return (a, lp[left.start[la + s]] - zero, lp[left.end[la + e - 1]] - zero, b, rp[right.start[lb + u]] - one, rp[right.end[lb + v - 1]] - one, None)
 
                     out += [span(s, e, s - shift, e - shift) for shift, own in runs.items() for s, e in own]
+                    inside, within = np.zeros(len(wa) + 1, dtype=bool), np.zeros(len(wb) + 1, dtype=bool)
+                    for shift, own in runs.items():
+                        for s, e in own:
+                            inside[s:e] = within[s - shift : e - shift] = True
                     for x in anchors:
-                        if not any(s <= x["pos"] < e for s, e in runs[x["pos"] - x["head_pos"]]):
-                            near = alike_runs(wa, wb, x["pos"], x["head_pos"], threshold)
-                            out.append(span(*near) if near else (a, None, None, b, None, None, x["key"]))
+                        for p, q in product(x["pos"], x["head_pos"]):
+                            if p < len(wa) and q < len(wb) and not (inside[p] and within[q]) and (near := alike_runs(wa, wb, p, q, threshold)):
+                                out.append(span(*near))
+                                inside[near[0] : near[1]] = within[near[2] : near[3]] = True
+                        if not all(inside[p] for p in x["pos"] if p < len(wa)):
+                            out.append((a, None, None, b, None, None, x["key"]))
                 yield _found_batch(out)
 
     return step
@@ -216,7 +229,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
 
     A paragraph is any run of 51 words (a text has one beginning at each word), so passages are found wherever
     they are set in a text.  Its band is the pair of its least five-word shingles by two hash functions;
-    runs that share a band are one row.  Equal paragraphs always share it, and similar ones share one of the
+    runs of a document that share a band are one row with all their places.  Equal paragraphs always share it, and similar ones share one of the
     many that a passage has.  Each row is compared with the first document of its band: paragraphs around
     the common shingle count if their exact shingle overlap reaches the threshold, word for word first and, where that
     fails, as sets of shingles, so inserted and deleted words do no harm.  Rows that fail there are
@@ -228,7 +241,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     the smallest text is read.  An empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    keys = stored(rows.mapInArrow(_key_step, "key long, doc_id long, pos int"), "keys")
+    keys = stored(rows.mapInArrow(_key_step, "key long, doc_id long, pos array<int>"), "keys")
     heads = keys.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id < last").select("k", "head")
     shared = stored(keys.join(heads, F.col("key") == F.col("k")).select("key", "doc_id", "pos", F.col("head.doc_id").alias("head"), F.col("head.pos").alias("head_pos")), "shared")
     wanted = shared.select("doc_id").distinct().withColumnRenamed("doc_id", "i")

@@ -139,3 +139,14 @@ def test_inserted_and_deleted_words_agree_with_brute_force(lm_spark):
         texts = [(2 * n, edge[0] + own + edge[1]), (2 * n + 1, edge[2] + own[:30] + ["new"] + own[30:] + edge[3])]
         found += [(i, " ".join(f"{w}" if w.startswith("d") or w == "new" else f"{i}{w}" for w in t)) for i, t in texts]
     assert len({r["doc_id"] for r in repeated_passages(frame(lm_spark, found)).collect()}) > 12
+
+
+def test_a_passage_twice_in_a_document(lm_spark, words):
+    p = words(70, 21)
+    texts = {1: words(60, 22) + p + words(60, 23), 2: words(60, 24) + p + words(80, 25) + p + words(60, 26), 3: p + words(90, 27) + p}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    rows = repeated_passages(frame(lm_spark, list(texts.items()))).collect()
+    for i, removed in ((1, False), (2, True), (3, True)):
+        own = covered(texts[i], [(r["start"], r["end"]) for r in rows if r["doc_id"] == i and r["removed"] == removed])
+        split = texts[i].split()
+        assert all(set(range(s, s + 70)) <= own for s in range(len(split) - 69) if split[s : s + 70] == p)
