@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revcast.llm.common import components, stored, whole_text
+from revcast.llm.minhash import shared_items
 from revcast.llm.words import SHINGLE_WORDS, Words, mix, pieces
 
 PARAGRAPH = 51
 SHINGLES = PARAGRAPH - SHINGLE_WORDS + 1
 THRESHOLD = 0.8
+# alike paragraphs differ in five of 47 shingles at most, so of one word changed inside they keep 21 shingles in a row: 25 words
+GRAM, STRETCH = 9, 25
+BLOCK = 256
 SEEDS = (np.uint64(0x51ED270B7A1E3C95), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -30,35 +34,32 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Paragraphs:
-    """All runs of 51 words of each text: ``start`` (first word), ``key`` (both minima), ``anchor`` (word of the first minimum) where the key changes."""
+def _shingled(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(0, len(words) - SHINGLE_WORDS + 1), dtype=np.uint64)
+    for k in range(SHINGLE_WORDS):
+        out += mix(words[k : k + len(out)].astype(np.uint64) + np.uint64(k + 1))
+    return mix(out)
+
 
-    def __init__(self, words: Words, all_runs: bool = False):
-        h, n = words.hash, len(words.hash)
-        empty = np.zeros(0, dtype=np.int64)
-        self.start = self.anchor = empty
-        self.key = np.zeros(0, dtype=np.uint64)
+class Anchors:
+    """Places of the least run of ``GRAM`` words in every run of ``STRETCH`` words of texts of a paragraph or more: ``anchor`` (its first word) and ``key``."""
+
+    def __init__(self, words: Words):
+        n = len(words.hash)
+        self.anchor, self.key = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         if n < PARAGRAPH:
             return
-        s = np.zeros(n - SHINGLE_WORDS + 1, dtype=np.uint64)
-        for k in range(SHINGLE_WORDS):
-            s += mix(h[k : k + len(s)] + np.uint64(k + 1))
-        s = mix(s)
-        first, second = (mix(s ^ seed) for seed in SEEDS)
-        low = [_lowest(p, SHINGLES) for p in (first, second)]
-        whole = words.doc[: n - PARAGRAPH + 1] == words.doc[PARAGRAPH - 1 :]
-        change = whole.copy()
-        if not all_runs:
-            same = (low[0][1:] == low[0][:-1]) & (low[1][1:] == low[1][:-1]) & whole[:-1]
-            change[1:] &= ~same
-        self.start = np.flatnonzero(change)
-        self.key = mix(low[0][self.start] * np.uint64(3) + low[1][self.start])
-        anchor, todo = self.start.copy(), np.arange(len(self.start))
-        wanted = low[0][self.start]
+        s = _shingled(words.hash)
+        gram = mix((mix(s[: len(s) - GRAM + SHINGLE_WORDS] ^ SEEDS[0]) + s[GRAM - SHINGLE_WORDS :]) ^ SEEDS[1])
+        low = _lowest(gram, STRETCH - GRAM + 1)
+        whole = (words.doc[: len(low)] == words.doc[STRETCH - 1 :]) & (words.counts()[words.doc[: len(low)]] >= PARAGRAPH)
+        whole[1:] &= (low[1:] != low[:-1]) | ~whole[:-1]
+        anchor = np.flatnonzero(whole)
+        wanted, todo = low[anchor], np.arange(len(anchor))
         while len(todo):
-            todo = todo[first[anchor[todo]] != wanted[todo]]
+            todo = todo[gram[anchor[todo]] != wanted[todo]]
             anchor[todo] += 1
-        self.anchor = anchor
+        self.anchor, self.key = anchor, wanted
 
 
 def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +67,8 @@ def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in pieces(batch):
             words = Words(some.column("text"))
-            found = Paragraphs(words)
-            doc = words.doc[found.start]
+            found = Anchors(words)
+            doc = words.doc[found.anchor]
             order = np.lexsort((found.anchor, found.key, doc))
             key, of, pos = found.key[order], doc[order], (found.anchor - words.first[doc])[order]
             new = np.ones(len(key), dtype=bool)
@@ -108,13 +109,6 @@ def shared_runs(a: np.ndarray, b: np.ndarray, shift: int, threshold: float) -> l
     return [(int(s) + low, int(e) + low) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _shingled(words: np.ndarray) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - SHINGLE_WORDS + 1), dtype=np.uint64)
-    for k in range(SHINGLE_WORDS):
-        out += mix(words[k : k + len(out)].astype(np.uint64) + np.uint64(k + 1))
-    return mix(out)
-
-
 def alike_runs(a: np.ndarray, b: np.ndarray, p: int, q: int, threshold: float) -> tuple[int, int, int, int] | None:
     """(start, end) in ``a`` and in ``b`` of what the paragraphs around word ``p`` of ``a`` and ``q`` of ``b`` that are alike cover.
 
@@ -183,29 +177,97 @@ def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], names=["a", "a_start", "a_end", "b", "b_start", "b_end", "failed"])
 
 
-def _content_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, doc_id, start, end): every run of 51 words whose key is among the row's keys, with a hash of its words."""
+def _stretch_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stretch, doc_id, pos, bad): a hash of each run of 25 words around each given anchor."""
     for batch in batches:
         for some in pieces(batch):
             words = Words(some.column("text"))
-            points = _points(words)
-            found = Paragraphs(words, all_runs=True)
-            doc = words.doc[found.start]
-            keys = some.column("keys").to_pylist()
-            keep = np.zeros(len(doc), dtype=bool)
-            for row in range(some.num_rows):
-                low, high = np.searchsorted(doc, [row, row + 1])
-                keep[low:high] = np.isin(found.key[low:high].view(np.int64), np.array(keys[row], dtype=np.int64))
-            start, of = found.start[keep], doc[keep]
-            content = np.zeros(len(start), dtype=np.uint64)
-            for k in range(PARAGRAPH):
-                content = mix(content * np.uint64(31) + words.hash[start + k])
-            ids = some.column("doc_id").to_numpy(zero_copy_only=False)
-            zero = points[words.at[of]]
-            yield pa.record_batch(
-                [pa.array(content.view(np.int64)), pa.array(ids[of].astype(np.int64)), pa.array((points[words.start[start]] - zero).astype(np.int32)), pa.array((points[words.end[start + PARAGRAPH - 1]] - zero).astype(np.int32))],
-                names=["content", "doc_id", "start", "end"],
-            )
+            out = []
+            for row, (doc, anchors) in enumerate(zip(some.column("doc_id").to_pylist(), some.column("anchors").to_pylist(), strict=True)):
+                own = words.hash[words.first[row] : words.first[row + 1]]
+                mixed = np.zeros(max(0, len(own) - STRETCH + 1), dtype=np.uint64)
+                for k in range(STRETCH):
+                    mixed = mix(mixed * np.uint64(31) + own[k : k + len(mixed)])
+                mixed = mixed.view(np.int64)
+                for x in anchors:
+                    for p in x["pos"]:
+                        for start in range(max(0, p - STRETCH + GRAM), min(p, len(own) - STRETCH) + 1):
+                            out.append((int(mixed[start]), doc, p, x["bad"]))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.bool_()], strict=True)], names=["stretch", "doc_id", "pos", "bad"])
+
+
+def _near_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pos, near): hashes of the words that paragraphs around each place have."""
+    for batch in batches:
+        for some in pieces(batch):
+            words = Words(some.column("text"))
+            out = []
+            for row, (doc, places) in enumerate(zip(some.column("doc_id").to_pylist(), some.column("places").to_pylist(), strict=True)):
+                own = words.hash[words.first[row] : words.first[row + 1]]
+                out += [(doc, p, own[max(0, p - SHINGLES + 1) : p + PARAGRAPH].tobytes()) for p in places]
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["doc_id", "pos", "near"])
+
+
+def _block_step(threshold: float):
+    """(a, b, pos, head_pos): for each place of two blocks the first document before its own that is alike around a place of the other block."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
+                x, y = (sorted(side.as_py(), key=lambda i: (i["doc_id"], i["pos"])) for side in (x, y))
+                words = [[np.frombuffer(i["near"], dtype=np.uint64) for i in side] for side in (x, y)]
+                items = [[np.unique(_shingled(w) >> np.uint64(32)).astype("<u4") for w in side] for side in words]
+                common = shared_items(*[[i.tobytes() for i in side] for side in items])
+                # shingles that repeat leave smaller sets, of which fewer have to be common
+                least = [np.array([(PARAGRAPH - 9) if len(i) == len(w) - SHINGLE_WORDS + 1 else 1 for i, w in zip(own, side, strict=True)]) for own, side in zip(items, words, strict=True)]
+                may = common >= np.minimum(least[0][:, None], least[1][None, :])
+                out, known = set(), {}
+
+                def alike(i, j):
+                    if (i, j) not in known:
+                        at = [min(side[k]["pos"], SHINGLES - 1) for side, k in ((x, i), (y, j))]
+                        known[i, j] = alike_runs(words[0][i], words[1][j], *at, threshold) is not None
+                    return known[i, j]
+
+                for i in range(len(x)):
+                    j = next((j for j in np.flatnonzero(may[i]).tolist() if y[j]["doc_id"] < x[i]["doc_id"] and alike(i, j)), None)
+                    if j is not None:
+                        out.add((x[i]["doc_id"], y[j]["doc_id"], x[i]["pos"], y[j]["pos"]))
+                for j in range(len(y)):
+                    i = next((i for i in np.flatnonzero(may[:, j]).tolist() if x[i]["doc_id"] < y[j]["doc_id"] and alike(i, j)), None)
+                    if i is not None:
+                        out.add((y[j]["doc_id"], x[i]["doc_id"], y[j]["pos"], x[i]["pos"]))
+                columns = list(zip(*sorted(out), strict=True)) if out else [()] * 4
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["a", "b", "pos", "head_pos"])
+
+    return step
+
+
+def _among(failed: DataFrame, shared: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, anchors) of the rows that are unlike the head of their key with the other rows of it.
+
+    Only rows with a run of 25 words in common, as alike paragraphs have around the key, are compared, in blocks of about
+    ``BLOCK`` by ``BLOCK``; runs that the same places have are one group.
+    """
+    keys = failed.select(F.col("failed").alias("k")).distinct()
+    bad = failed.select(F.col("a").alias("i"), F.col("failed").alias("f")).distinct().withColumn("bad", F.lit(True))
+    rows = shared.join(keys, F.col("key") == F.col("k")).join(bad, (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("f")), "left")
+    rows = rows.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("pos", F.coalesce("bad", F.lit(False)).alias("bad"))).alias("anchors"))
+    runs = stored(texts.join(rows, F.col("doc_id") == F.col("d")).select("doc_id", "text", "anchors").mapInArrow(_stretch_step, "stretch long, doc_id long, pos int, bad boolean"), "stretches")
+    groups = runs.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "pos").cast("decimal(20,0)")).alias("h"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("bad").alias("any_bad")).where("low < high and any_bad")
+    groups = groups.groupBy("n", "h").agg(F.min("stretch").alias("s")).select("s", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    some = stored(runs.join(groups, F.col("stretch") == F.col("s")).select("stretch", "doc_id", "pos", "bad", "blocks"), "grouped")
+    places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("pos").alias("places"))
+    near = stored(texts.join(places, F.col("doc_id") == F.col("d")).select("doc_id", "text", "places").mapInArrow(_near_step, "doc_id long, pos int, near binary"), "near")
+    filled = some.join(near, ["doc_id", "pos"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "pos"), F.col("blocks")))
+    entry = F.struct("doc_id", "pos", "near")
+    ys = filled.groupBy("stretch", "block").agg(F.collect_list(entry).alias("ys"))
+    xs = filled.where("bad").groupBy("stretch", "block", "blocks").agg(F.collect_list(entry).alias("xs"))
+    xs = xs.select(F.col("stretch").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"), "xs")
+    links = ys.join(xs, (F.col("stretch") == F.col("s")) & (F.col("block") == F.col("to"))).select("xs", "ys").mapInArrow(_block_step(threshold), "a long, b long, pos int, head_pos int")
+    return links.distinct().groupBy("a", "b").agg(F.collect_list(F.struct(F.lit(0).cast("long").alias("key"), F.array("pos").alias("pos"), F.array("head_pos").alias("head_pos"))).alias("anchors"))
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -228,13 +290,12 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     that are linked to each other.
 
     A paragraph is any run of 51 words (a text has one beginning at each word), so passages are found wherever
-    they are set in a text.  Its band is the pair of its least five-word shingles by two hash functions;
-    runs of a document that share a band are one row with all their places.  Equal paragraphs always share it, and similar ones share one of the
-    many that a passage has.  Each row is compared with the first document of its band: paragraphs around
-    the common shingle count if their exact shingle overlap reaches the threshold, word for word first and, where that
-    fails, as sets of shingles, so inserted and deleted words do no harm.  Rows that fail there are
-    grouped by the whole content of their paragraphs instead, so verbatim passages in bands of unlike
-    texts are found without comparing those with each other.
+    they are set in a text.  Paragraphs alike at 0.8 have 25 words in a row in common (one word inside is changed, put in
+    or left out at most); the least run of nine words by a hash in each run of 25 is a key, so they share a key for certain.
+    Runs of a document that share a key are one row with all their places.  Each row is compared with the first document
+    of its key: paragraphs around the common words count if their exact shingle overlap reaches the threshold, word for
+    word first and, where that fails, as sets of shingles, so inserted and deleted words do no harm.  Rows that fail
+    there are compared with the other rows of their key that have 25 words around it in common, in blocks.
 
     Null and empty texts and texts below 51 words have no passages; null ids are left out; a passage that
     repeats inside one document only is not reported; rows that repeat an id count as one document of which
@@ -247,16 +308,17 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     wanted = shared.select("doc_id").distinct().withColumnRenamed("doc_id", "i")
     texts = stored(rows.join(wanted, F.col("doc_id") == F.col("i")).groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     pairs = shared.where("doc_id <> head").groupBy(F.col("doc_id").alias("a"), F.col("head").alias("b")).agg(F.collect_list(F.struct("key", "pos", "head_pos")).alias("anchors"))
-    left = pairs.join(texts, F.col("a") == F.col("doc_id")).drop("doc_id")
-    both = left.join(texts.select(F.col("doc_id").alias("i"), F.col("text").alias("text_b")), F.col("b") == F.col("i")).select("a", "b", "anchors", "text", "text_b")
-    found = stored(both.mapInArrow(_verify_step(threshold), FOUND), "found")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(texts, F.col("a") == F.col("doc_id")).drop("doc_id")
+        both = left.join(texts.select(F.col("doc_id").alias("i"), F.col("text").alias("text_b")), F.col("b") == F.col("i")).select("a", "b", "anchors", "text", "text_b")
+        return stored(both.mapInArrow(_verify_step(threshold), FOUND), "found")
+
+    found = verified(pairs)
     spans = found.where("failed is null").drop("failed")
-    failed = found.where("failed is not null").groupBy(F.col("a").alias("i")).agg(F.collect_set("failed").alias("keys"))
+    failed = found.where("failed is not null")
     if not failed.isEmpty():
-        runs = stored(texts.join(failed, F.col("doc_id") == F.col("i")).select("doc_id", "text", "keys").mapInArrow(_content_step, "content long, doc_id long, start int, end int"), "runs")
-        first = runs.groupBy(F.col("content").alias("c")).agg(F.min(F.struct("doc_id", "start", "end")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
-        equal = runs.join(first, F.col("content") == F.col("c")).where(F.col("doc_id") != F.col("f.doc_id"))
-        spans = spans.unionByName(equal.select(F.col("doc_id").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("f.doc_id").alias("b"), F.col("f.start").alias("b_start"), F.col("f.end").alias("b_end")))
+        spans = spans.unionByName(verified(_among(failed, shared, texts, threshold)).where("failed is null").drop("failed"))
     spans = stored(spans, "spans")
     later = spans.select(F.col("a").alias("doc_id"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
     earlier = spans.select(F.col("b").alias("doc_id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"))

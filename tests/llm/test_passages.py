@@ -150,3 +150,17 @@ def test_a_passage_twice_in_a_document(lm_spark, words):
         own = covered(texts[i], [(r["start"], r["end"]) for r in rows if r["doc_id"] == i and r["removed"] == removed])
         split = texts[i].split()
         assert all(set(range(s, s + 70)) <= own for s in range(len(split) - 69) if split[s : s + 70] == p)
+
+
+def test_edited_copies_are_all_found(lm_spark):
+    """Short passages with one word changed share a key for certain, and copies unlike their key's first document are compared with each other."""
+    own = [[f"d{n}w{i}" for i in range(51)] for n in range(40)]
+    texts = []
+    for n, p in enumerate(own):
+        texts += [(2 * n, [f"a{n}x{i}" for i in range(60)] + p), (2 * n + 1, [*p[:25], "changed", *p[26:]] + [f"b{n}x{i}" for i in range(60)])]
+    assert {r["doc_id"] for r in repeated_passages(frame(lm_spark, [(i, " ".join(t)) for i, t in texts])).collect()} == set(range(80))
+    line = [f"line{i}" for i in range(30)]
+    p = line + [f"p{i}" for i in range(30)]
+    texts = [(0, [f"h{i}" for i in range(60)] + line + [f"g{i}" for i in range(60)])]
+    texts += [(1, [f"i{i}" for i in range(60)] + p), (2, [f"j{i}" for i in range(60)] + [*p[:45], "changed", *p[46:]])]
+    assert {r["doc_id"] for r in repeated_passages(frame(lm_spark, [(i, " ".join(t)) for i, t in texts])).collect()} == {1, 2}
