@@ -109,6 +109,17 @@ def shared_runs(a: np.ndarray, b: np.ndarray, shift: int, threshold: float) -> l
     return [(int(s) + low, int(e) + low) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def _stretched(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
+    """Whether word ``p`` of ``a`` and ``q`` of ``b`` lie in ``STRETCH`` equal words, as keys of alike paragraphs do."""
+    back = min(p, q, STRETCH - 1)
+    size = min(len(a) - p, len(b) - q, STRETCH) + back
+    other = np.flatnonzero(a[p - back : p - back + size] != b[q - back : q - back + size])
+    place = int(np.searchsorted(other, back))
+    low = int(other[place - 1]) if place else -1
+    high = int(other[place]) if place < len(other) else size
+    return high - low - 1 >= STRETCH
+
+
 def alike_runs(a: np.ndarray, b: np.ndarray, p: int, q: int, threshold: float) -> tuple[int, int, int, int] | None:
     """(start, end) in ``a`` and in ``b`` of what the paragraphs around word ``p`` of ``a`` and ``q`` of ``b`` that are alike cover.
 
@@ -119,6 +130,8 @@ def alike_runs(a: np.ndarray, b: np.ndarray, p: int, q: int, threshold: float) -
     if len(x) < SHINGLES or len(y) < SHINGLES:
         return None
     if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
+        if np.isin(x, y).sum() < threshold * 2 * SHINGLES / (1 + threshold) - 1e-9:
+            return None
         inside = np.pad(np.cumsum(x[:, None] == y[None, :], axis=1), ((0, 0), (1, 0)))
         hit = (inside[:, SHINGLES:] - inside[:, :-SHINGLES]) > 0
         common = np.pad(np.cumsum(hit, axis=0), ((1, 0), (0, 0)))
@@ -160,7 +173,7 @@ def _verify_step(threshold: float):
                             inside[s:e] = within[s - shift : e - shift] = True
                     for x in anchors:
                         for p, q in product(x["pos"], x["head_pos"]):
-                            if p < len(wa) and q < len(wb) and not (inside[p] and within[q]) and (near := alike_runs(wa, wb, p, q, threshold)):
+                            if p < len(wa) and q < len(wb) and not (inside[p] and within[q]) and _stretched(wa, wb, p, q) and (near := alike_runs(wa, wb, p, q, threshold)):
                                 out.append(span(*near))
                                 inside[near[0] : near[1]] = within[near[2] : near[3]] = True
                         if not all(inside[p] for p in x["pos"] if p < len(wa)):
