@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import bpe, exact, lm, minhash, packing, passages, pii, sharding, topk, toxicity
+from revcast.llm import bpe, exact, lm, merkle, minhash, packing, passages, pii, sharding, spelling, topk, toxicity, warc
 from revcast.llm.common import shipped, table
 
 
@@ -87,6 +87,29 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# the digest's 20 bytes are four times five, and five bytes are eight digits of base 32
+WARC_SQL = """WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+  named AS (SELECT page_id, body, payload_bytes, array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS BIGINT), 1)
+      FOR i IN range(32)], '') AS payload_digest FROM hashed),
+  grouped AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS original FROM named)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to FROM grouped"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,5 +120,5 @@ def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict
     def sent(f):
         return lambda spark, sf_dir: f(shipped(spark), sf_dir)
 
-    found = {f.__name__: sent(f) for f in (op1_pii, op2_near_duplicates, op3_exact_duplicates, op4_packing, op5_bpe, op6_sharding, op7_lm_scores, op8_top_k, op9_toxicity, op10_passages, pipeline)}
-    return found, {"op3_exact_duplicates": EXACT_SQL, "op8_top_k": TOP_K_SQL}
+    found = {f.__name__: sent(f) for f in (op1_pii, op2_near_duplicates, op3_exact_duplicates, op4_packing, op5_bpe, op6_sharding, op7_lm_scores, op8_top_k, op9_toxicity, op10_passages, op11_warc, op12_merkle, op13_spelling, pipeline)}
+    return found, {"op3_exact_duplicates": EXACT_SQL, "op8_top_k": TOP_K_SQL, "op11_warc": WARC_SQL}
