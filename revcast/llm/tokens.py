@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-CACHE_WORDS = 1_400_000
+CACHE_BYTES = 100_000_000
+# what an entry takes besides its characters and ids: two objects and its place in the table
+ENTRY_BYTES = 200
 LINE_WORDS = 200
 STOPS = frozenset(".,")
+RUNS_OF_STOPS = ("..", ",,", ".,", ",.")
 BEYOND = re.compile("[^\x00-\u024f]")
 # the tokenizer's split pattern, a fixed value of its file
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -31,7 +34,8 @@ class WordEncoder:
     of its parts between blanks and line ends, one after another.  In Latin text a comma or full stop after a
     word is a part of its own, as it is for the tokenizer.  Parts that are not in the cache are cut by the
     tokenizer's own pattern; distinct words are encoded in long lines, and end-of-word tokens tell where each
-    one ends.
+    one ends.  Stops side by side, or after another mark, are one match: such texts are cut at blanks only.  The cache
+    is dropped when it has grown beyond ``CACHE_BYTES``.
     """
 
     def __init__(self, path: str):
@@ -47,6 +51,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.parts: dict[str, bytes] = {"": b""}
+        self.held = 0
         # parts after which a comma or full stop would belong to the same match
         self.marked: set[str] = set()
 
@@ -57,14 +62,18 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self._forget()
         latin = [_latin(t) for t in texts]
         lines = [(t.lower() if own else t).replace("\n", " ") for t, own in zip(texts, latin, strict=True)]
         split = [(f"{t} ".replace(". ", " . ").replace(", ", " , ") if own else t).split(" ") for t, own in zip(lines, latin, strict=True)]
         self._learn(split)
         marked = self.marked
-        again = [i for i, own in enumerate(split) if not marked.isdisjoint(own) and any(b in STOPS and a in marked for a, b in zip(own, own[1:]))]
+
+        def joined(line: str, own: list[str]) -> bool:
+            return any(x in line for x in RUNS_OF_STOPS) or (not marked.isdisjoint(own) and any(b in STOPS and a in marked for a, b in zip(own, own[1:])))
+
+        again = [i for i, own in enumerate(latin) if own and joined(lines[i], split[i])]
         for i in again:
             split[i] = lines[i].split(" ")
         self._learn([split[i] for i in again])
@@ -74,12 +83,11 @@ class WordEncoder:
     def _learn(self, split: list[list[str]]) -> None:
         parts = self.parts
         words, cut = [], {}
-        for w in {w for own in split for w in own if w not in parts}:
+        new = {w for own in split for w in own if w not in parts}
+        for w in new:
             if w.isalpha() and (w.isascii() or _latin(w)):
                 words.append(w)
                 continue
-            if not w[-1].isalnum() and w not in STOPS:
-                self.marked.add(w)
             if _latin(w):
                 cut[w] = WORD.findall(w.lower())
             else:
@@ -92,6 +100,10 @@ class WordEncoder:
                 parts[w] = parts[w.lower()]
         for w, own in cut.items():
             parts[w] = b"".join([parts[x] for x in own])
+        # a match found inside a part can be a part by itself later
+        self.marked.update(w for w in new | lower if not w[-1].isalnum() and w not in STOPS)
+        # text and ids of a part take at most some six bytes a character
+        self.held += sum(ENTRY_BYTES + 6 * len(w) for w in new | lower)
 
     def _learn_words(self, new: list[str]) -> None:
         """Words that are one match of the pattern each."""

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from revcast.llm.bpe import encoded
 from revcast.llm.packing import fit, packed_documents, patterns, plan
+from revcast.llm.tokens import CACHE_BYTES, WordEncoder
 from tests.llm.conftest import frame
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +63,21 @@ def test_documents_are_packed_whole(lm_spark, texts):
     assert packed_documents(docs.where("false"), WORD_FILE).collect() == []
 
 
+def test_words_agree_with_the_library_on_odd_texts():
+    """Blanks, stops, quotes, digits and accents in any order, 20,000 times, with a cache that is dropped now and then."""
+    tokenizer, rng = Tokenizer.from_file(WORD_FILE), random.Random(4)
+    stock = ["a", "foo", "Bar", "don't", "we'll", "'s", "'", '"', ".", ",", ".", ",", " ", " ", " ", "  ", "\n", "\t", "1", "23", "é", "Éa", "ß", "-", "!", "?", "<|", "|>", "\u0301", "漢", "\u00a0", "\u0130", "\u2026", "$"]
+    texts = ["foo .. bar", "so ,, what", "a ., b", "end ..", "x,. y", "x., y", "...", ". . ,", "a.b. c", "!. x"]
+    texts += ["".join(rng.choice(stock) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    encoder = WordEncoder(WORD_FILE)
+    for start in range(0, len(texts), 500):
+        some = texts[start : start + 500]
+        want = [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch(some, add_special_tokens=False)]
+        wrong = [(t, a, b) for t, a, b in zip(some, encoder.encode(some), want, strict=True) if a != b]
+        assert not wrong, wrong[:3]
+        encoder.held = CACHE_BYTES + 1 if start % 5000 == 0 else encoder.held
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
