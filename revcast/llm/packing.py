@@ -185,15 +185,20 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
         *pieces.columns,
         (F.col("first") + F.floor(place / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("at") + F.pmod(place, F.col("per")) * F.col("length")).cast("long").alias("offset"),
-    ).drop("row")
+    )
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset: documents in as few sequences as planned.
 
-    The token ids are written once to the shared folder; without ``with_ids`` only their checksum and
-    length go through the shuffles.
+    The token ids are written once to the shared folder; only narrow rows are numbered and placed, and the ids meet their
+    places by row number in one join at the end (none without ``with_ids``).  A text longer than ``capacity`` is cut into
+    pieces, so no row is longer; rows that repeat are packed each.
     """
-    stored_pieces = stored(token_pieces(docs, tokenizer, capacity, 0, id_col, text_col).withColumns({"ids_crc32": F.crc32("ids"), "row": F.monotonically_increasing_id()}), "pieces")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "row"] + (["ids"] if with_ids else [])
-    return pack(stored_pieces.select(*columns), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, 0, id_col, text_col).withColumns({"ids_crc32": F.crc32("ids"), "row": F.monotonically_increasing_id()})
+    pieces = stored(pieces, "pieces")
+    placed = pack(pieces.drop("ids"), capacity)
+    if with_ids:
+        placed = placed.join(pieces.select(F.col("row").alias("of"), "ids"), F.col("row") == F.col("of")).drop("of")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
+    return placed.select(*names)
