@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.base import Registry
@@ -153,9 +155,62 @@ def fe12(spark, d):
     return X.add_missing_flags(X.add_lags(series_daily(spark, d), [1, 28])).select("series_id", "ds", "lag_1_missing_flag", "lag_28_missing_flag")
 
 
-@REG.add("fe13_recipe_gradient_boosting")
-def fe13(spark, d):
-    return X.build_features(daily_model(spark, d), X.recipe("gradient_boosting", lag_profile="standard"))
+def _recipe_sql(r: X.FeatureRecipe) -> tuple[str, str]:
+    """A recipe over ``dm``: every column, and the names of the doubles."""
+    whole = {  # calendar
+        "day_of_week": "isodow(ds) - 1", "day_of_month": "day(ds)", "day_of_year": "dayofyear(ds)", "week_of_year": "weekofyear(ds)", "month": "month(ds)", "quarter": "quarter(ds)",
+        "year": "year(ds)", "is_weekend": "CAST(isodow(ds) >= 6 AS INT)", "is_month_end": "CAST(ds = last_day(ds) AS INT)", "is_month_start": "CAST(day(ds) = 1 AS INT)",
+        "is_quarter_end": "CAST(ds = last_day(ds) AND month(ds) % 3 = 0 AS INT)", "is_quarter_start": "CAST(day(ds) = 1 AND month(ds) % 3 = 1 AS INT)",
+    }
+    real = {"leads": "leads", "cost": "cost"}
+    for name, value, size in (("dow", "(isodow(ds) - 1)", "7"), ("month", "month(ds)", "12"), ("doy", "dayofyear(ds)", "365.25")):
+        real |= {f"{name}_{fn}": f"{fn}(2 * pi() * {value} / {size}::DOUBLE)" for fn in ("sin", "cos")}
+    real |= {f"lag_{k}": f"lag(y, {k}) OVER ({W})" for k in r.lags}
+    for k in r.windows:
+        real |= {f"rolling_mean_{k}": roll("avg", "y", k, k), f"rolling_std_{k}": roll("stddev_samp", "y", k, k)}
+    if r.memory:
+        mixes = {"recent": {1: 0.5, 2: 0.3, 7: 0.2}, "extended": {1: 0.35, 7: 0.25, 14: 0.2, 28: 0.2}}
+        real |= {f"lag_weighted_{n}": " + ".join(f"{w}::DOUBLE * coalesce(lag(y, {k}) OVER ({W}), 0)" for k, w in m.items()) for n, m in mixes.items()}
+        real |= {f"trend_vs_{k}d_avg": f"lag(y) OVER ({W}) - {roll('avg', 'y', k, k)}" for k in (7, 28)}
+    for c in ("leads", "cost"):
+        whole[f"{c}_is_missing"] = f"CAST({c} IS NULL AS INT)"
+        real[f"{c}_filled"] = f"coalesce({c}, 0)"
+        real |= {f"{c}_lag_{k}": f"lag({c}, {k}) OVER ({W})" for k in X.regressor_lags(r.profile, 7)}
+        for k in X.PROFILE_WINDOWS[r.profile]:
+            real |= {f"{c}_roll_{n}_{k}": roll(f, c, k, 3) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("sum", "sum"))}
+        real[f"{c}_trend_1v7"] = f"lag({c}, 1) OVER ({W}) - {roll('avg', c, 7, 3)}"
+        real[f"{c}_trend_7v28"] = f"{roll('avg', c, 7, 3)} - {roll('avg', c, 28, 3)}"
+        whole[f"{c}_nonzero"] = f"CAST(coalesce({c}, 0) > 0 AS INT)"
+    for f in ("outage_flag", "promo_flag", "holiday_flag"):
+        whole[f] = "0"
+        real |= {f"{f}_x_{n}": "0.0::DOUBLE" for n in ("cost", "leads", "lag1")}
+    index, y = f"row_number() OVER ({W}) - 1", f"lag(y, 1) OVER ({W})"
+    whole["days_from_series_start"] = index
+    before, season = f"lag(y, 2) OVER ({W})", f"lag(y, 8) OVER ({W})"
+    frame = f"OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    real |= {
+        "series_age_frac": f"({index}) / greatest(count(*) OVER (PARTITION BY series_id) - 1, 1)",
+        "expanding_mean": f"CASE WHEN count(y) {frame} >= 2 THEN avg(y) {frame} END", "expanding_std": f"CASE WHEN count(y) {frame} >= 2 THEN stddev_samp(y) {frame} END",
+        "seasonal_diff_1": f"{y} - {season}", "growth_rate_1": f"({y} - {before}) / nullif({before}, 0)", "growth_rate_seasonal": f"({y} - {season}) / nullif({season}, 0)",
+    }
+    body = ", ".join(f"{e} AS {n}" for n, e in {**whole, **real}.items() if n not in ("leads", "cost"))
+    flags = ", ".join(f"CAST({n} IS NULL AS INT) AS {n}_missing_flag" for n in {**whole, **real})
+    sql = f"""WITH q AS (SELECT quantile_cont(leads, 0.995) AS l, quantile_cont(cost, 0.995) AS c FROM dm),
+      b AS (SELECT series_id, ds, y, least(leads, l) AS leads, least(cost, c) AS cost FROM dm, q), x AS (SELECT series_id, ds, y, leads, cost, {body} FROM b)
+      SELECT *, {flags} FROM x"""
+    return sql, " ".join(["y", *real])
+
+
+_RECIPES = {f"fe13_recipe_{m}{'_' + p if p else ''}": X.recipe(m, lag_profile=p) for m, p in (("gradient_boosting", "standard"), ("ridge", None), ("random_forest", None))}
+
+
+def _recipe_query(r: X.FeatureRecipe):
+    return lambda spark, d: X.build_features(daily_model(spark, d), replace(r, flags=True))
+
+
+for _name, _r in _RECIPES.items():
+    _sql, _rnd = _recipe_sql(_r)
+    REG.add(_name if _name != "fe13_recipe_gradient_boosting_standard" else "fe13_recipe_gradient_boosting", "dm", _sql, rnd=_rnd, digits=3)(_recipe_query(_r))
 
 
 @REG.add("fe14_smoothing", "dc", """SELECT ds, y, avg(y) OVER (ORDER BY ds ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS y_roll7,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.base import Registry, view
 from catalog.frames import daily_model, series_daily
-from catalog.model_queries import ranked, tournament
+from catalog.model_queries import ranked, settings, tournament
 from revcast.operators import blend
 from revcast.operators import postprocess as P
 from revcast.plans.forecast import CLOSED_FORM, ForecastConfig, run_forecast
@@ -118,19 +120,13 @@ def pp09(spark, d):
 
 def flagship(spark, d):
     """Scenario bands of the display forecast, per platform."""
-    run = run_forecast(series_daily(spark, d), ForecastConfig(horizon=30, depth="fast", models=tuple(CLOSED_FORM)))
-    return P.scenario_bands(run.display)
-
-
-ALL_FAMILIES = [*CLOSED_FORM, "exponential_smoothing", "theta", "autoregression", "trend_fourier", "ridge", "elasticnet"]
+    return run_forecast(series_daily(spark, d), ForecastConfig(horizon=30, models=tuple(CLOSED_FORM))).output
 
 
 @REG.add("pp10_forecast_run_all_families")
 def pp10_all(spark, d):
-    """Baselines, smoothing, autoregressive, Fourier and linear families in one tournament over daily series with regressors."""
-    cfg = ForecastConfig(horizon=30, depth="fast", models=tuple(ALL_FAMILIES))
-    run = run_forecast(daily_model(spark, d), cfg)
-    return run.display.select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper")
+    """All families in one tournament over daily series with regressors, as intervals of the display forecast."""
+    return run_forecast(daily_model(spark, d), replace(settings(spark), mode="intervals")).output
 
 
 @REG.add("pp10_forecast_run")

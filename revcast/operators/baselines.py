@@ -101,38 +101,77 @@ def baseline_forecasts(
     )
 
 
-def decomposition_forecast(train: DataFrame, horizon: int, frequency: str = "D") -> DataFrame:
-    """Centred moving average, seasonal index by phase, forecast by drift plus index."""
-    season = season_length(frequency)
-    half = season // 2
+# Seasons that are taken apart, by cadence; half width of the phase smoother in cycles; passes over the seasons.
+SEASONS = {"D": (7, 365), "W": (52,), "M": (12,)}
+CYCLES, PASSES = 3, 2
+
+
+def phase_line(near: str = "near") -> str:
+    """Value at the row of a line through it and its neighbours, nearer ones weighing more, as SQL over ``near_0`` ... (oldest first)."""
+    sums = dict.fromkeys(("s0", "s1", "s2", "t0", "t1"), "0")
+    for i in range(2 * CYCLES + 1):
+        o, at = i - CYCLES, f"{near}_{i}"
+        weight = (1 - (abs(o) / (CYCLES + 1)) ** 3) ** 3
+        for name, factor, of in (("s0", weight, "1"), ("s1", weight * o, "1"), ("s2", weight * o * o, "1"), ("t0", weight, at), ("t1", weight * o, at)):
+            if factor:
+                sums[name] += f" + CASE WHEN {at} IS NULL THEN 0 ELSE CAST({factor!r} AS DOUBLE) * {of} END"
+    s = {k: f"({v})" for k, v in sums.items()}
+    det = f"({s['s0']} * {s['s2']} - {s['s1']} * {s['s1']})"
+    return f"CASE WHEN {det} > 1e-9 THEN ({s['s2']} * {s['t0']} - {s['s1']} * {s['t1']}) / {det} ELSE {s['t0']} / {s['s0']} END"
+
+
+def seasonal_parts(train: DataFrame, frequency: str = "D") -> tuple[DataFrame, tuple[int, ...]]:
+    """(fold, series_id, ds, y, idx, n, s_<season>...): the seasonal parts of every row, by iterated smoothing.
+
+    In turn each season is what is left without the others: the rows of a phase, freed of a moving average, are smoothed
+    along the cycles by a local line, and what a whole season adds up to is taken out.  Missing y rows are left out; a season
+    that a series does not cover twice is 0.
+    """
+    seasons = SEASONS.get(frequency.upper()[:1], SEASONS["D"])
     part = Window.partitionBy(*KEYS)
-    w = part.orderBy("ds")
+    order = part.orderBy("ds")
     rows = train.filter(F.col("y").isNotNull()).select(
-        *KEYS, "ds", "y", (F.row_number().over(w) - 1).alias("idx"), F.count("*").over(part).alias("n"),
-        F.avg("y").over(w.rowsBetween(-half, half)).alias("trend"),
+        *KEYS, "ds", F.col("y").cast("double").alias("y"), (F.row_number().over(order) - 1).alias("idx"), F.count("*").over(part).alias("n"),
+        *[F.lit(0.0).alias(f"s_{m}") for m in seasons],
     )
-    rows = rows.withColumn("phase", F.col("idx") % season)
-    raw = F.avg(F.col("y") - F.col("trend")).over(Window.partitionBy(*KEYS, "phase"))
-    rows = rows.withColumn("raw_index", raw)
-    # one value per phase, centred so that the indices of a season add up to zero
-    level = rows.groupBy(*KEYS, "phase").agg(F.first("raw_index").alias("raw_index"))
-    level = level.withColumn("index", F.col("raw_index") - F.avg("raw_index").over(Window.partitionBy(*KEYS)))
+    for _ in range(PASSES if len(seasons) > 1 else 1):
+        for m in seasons:
+            frame = order.rowsBetween(-(m // 2), m // 2)
+            left = F.col("y") - sum((F.col(f"s_{o}") for o in seasons if o != m), F.lit(0.0))
+            rows = rows.withColumn("left", left).withColumn("rest", F.col("left") - F.avg("left").over(frame))
+            phase = Window.partitionBy(*KEYS, F.col("idx") % m).orderBy("idx")
+            around = [F.lag("rest", CYCLES - i).over(phase) if i < CYCLES else F.lead("rest", i - CYCLES).over(phase) for i in range(2 * CYCLES + 1)]
+            rows = rows.withColumns({f"near_{i}": c for i, c in enumerate(around)}).withColumn("line", F.expr(phase_line()))
+            part_m = F.when(F.col("n") >= 2 * m, F.col("line") - F.avg("line").over(frame)).otherwise(0.0)
+            rows = rows.withColumn(f"s_{m}", part_m).drop("left", "rest", "line", *[f"near_{i}" for i in range(2 * CYCLES + 1)])
+    return rows, seasons
+
+
+def decomposition_forecast(train: DataFrame, horizon: int, frequency: str = "D") -> DataFrame:
+    """Seasonal parts (by day a week and a year), drift of what is left, forecast by drift plus each season's last cycle."""
+    rows, seasons = seasonal_parts(train, frequency)
     rn = F.col("n") - F.col("idx")
     tail = F.least(F.greatest(F.lit(6), F.floor(F.col("n") / 2)), F.col("n"))
-    flat = rows.join(level.select(*KEYS, "phase", "index"), [*KEYS, "phase"]).withColumn("z", F.col("y") - F.col("index"))
+    flat = rows.withColumn("z", F.col("y") - sum((F.col(f"s_{m}") for m in seasons), F.lit(0.0)))
+    # a season's last cycle, in the order of the rows
+    cycles = [_last_cycle(m, rn) for m in seasons]
     params = flat.groupBy(*KEYS).agg(
         F.max("ds").alias("last_ds"),
         F.max("n").alias("n"),
-        F.avg(F.when(rn <= season, F.col("z"))).alias("level"),
+        F.avg(F.when(rn <= seasons[0], F.col("z"))).alias("level"),
         F.coalesce(F.regr_slope(F.when(rn <= tail, F.col("z")), F.col("idx").cast("double")), F.lit(0.0)).alias("slope"),
+        *cycles,
     )
     step = F.col("step")
-    future = params.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).withColumn(
-        "phase", (F.col("n") + step - 1) % season
-    )
+    future = params.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    index = sum((F.coalesce(F.get(f"c_{m}", ((step - 1) % m).cast("int")), F.lit(0.0)) for m in seasons), F.lit(0.0))
     none = F.lit(None).cast("double")
-    return future.join(level.select(*KEYS, "phase", "index"), [*KEYS, "phase"], "left").select(
+    return future.select(
         F.lit("decomposition").alias("model"), *KEYS, "step", future_day(F.col("last_ds"), step, frequency).alias("ds"),
-        F.greatest(F.lit(0.0), F.col("level") + F.col("slope") * step + F.coalesce("index", F.lit(0.0))).alias("yhat"),
-        none.alias("yhat_lower"), none.alias("yhat_upper"),
+        F.greatest(F.lit(0.0), F.col("level") + F.col("slope") * step + index).alias("yhat"), none.alias("yhat_lower"), none.alias("yhat_upper"),
     )
+
+
+def _last_cycle(m: int, rn: Column) -> Column:
+    rows = F.sort_array(F.collect_list(F.when(rn <= m, F.struct("idx", F.col(f"s_{m}").alias("s")))))
+    return F.transform(rows, lambda x: x["s"]).alias(f"c_{m}")

@@ -23,12 +23,7 @@ SEASON = {"D": 7, "W": 52, "M": 12}
 EPS = 1e-6
 REGRESSORS = ("leads", "cost", "roas")
 
-# Lags and windows of the regressor profiles (0 and -1 stand for one and two seasons).
-PROFILE_LAGS = {
-    "compact": [1, 2, 3, 0],
-    "balanced": [1, 2, 3, 7, 14, 0],
-    "extended": [1, 2, 3, 7, 14, 21, 28, 0, -1],
-}
+# Windows of the regressor profiles; their lags are those of ``regressor_lags``.
 PROFILE_WINDOWS = {"compact": [3, 7], "balanced": [3, 7, 14, 28], "extended": [3, 7, 14, 28, 56, 84]}
 
 
@@ -104,16 +99,22 @@ def hierarchy_totals(df: DataFrame) -> DataFrame:
 
 
 def regressor_lags(profile: str, season: int) -> list[int]:
-    wanted = PROFILE_LAGS.get(profile, PROFILE_LAGS["balanced"])
-    return sorted({season * (1 if k == 0 else 2) if k <= 0 else k for k in wanted})
+    # fixed values
+    profiles = {
+        "compact": [1, 2, 3, season],
+        "balanced": [1, 2, 3, 7, 14, season],
+        "extended": [1, 2, 3, 7, 14, 21, 28, season, 2 * season],
+    }
+    return sorted(set(profiles.get(profile, profiles["balanced"])))
 
 
 def add_regressor_features(
-    df: DataFrame, frequency: str = "D", profile: str = "balanced", keys: Sequence[str] = ("series_id",)
+    df: DataFrame, frequency: str = "D", profile: str = "balanced", keys: Sequence[str] = ("series_id",), bounded: bool = True
 ) -> DataFrame:
-    """Missing flags, lags and past-window statistics of leads, cost and roas."""
+    """Missing flags, lags and past-window statistics of leads, cost and roas, which ``bounded`` winsorises first."""
     present = [c for c in REGRESSORS if c in df.columns]
-    df = winsorise(df, present, floors=[c for c in present if c != "roas"])
+    if bounded:
+        df = winsorise(df, present, floors=[c for c in present if c != "roas"])
     w = by_series(*keys)
     lags = regressor_lags(profile, season_length(frequency))
     windows = PROFILE_WINDOWS.get(profile, PROFILE_WINDOWS["balanced"])
@@ -305,12 +306,12 @@ def recipe(model: str, frequency: str = "D", lag_profile: str | None = None) ->
     return FeatureRecipe(tuple(sorted(lags)), windows, "extended" if lag_profile else "balanced", boosted, True, frequency)
 
 
-def build_features(df: DataFrame, r: FeatureRecipe, leak_free: bool = True) -> DataFrame:
+def build_features(df: DataFrame, r: FeatureRecipe, leak_free: bool = True, bounded: bool = True) -> DataFrame:
     """All features of a recipe; ``leak_free`` shifts those that would show the row's own value."""
     out = add_rolling(add_lags(add_calendar(df), r.lags, r.keys), r.windows, r.keys)
     if r.memory:
         out = add_recent_memory(out, r.keys)
-    out = add_regressor_features(ensure_event_columns(out), r.frequency, r.profile, r.keys)
+    out = add_regressor_features(ensure_event_columns(out), r.frequency, r.profile, r.keys, bounded)
     out = add_event_interactions(out)
     out = add_series_shape(out, r.frequency, r.keys, shift=1 if leak_free else 0)
     return add_missing_flags(out) if r.flags else out

@@ -105,7 +105,7 @@ def dimension_budget(table: DataFrame, dimensions: dict[str, str], top: int | No
         (F.col("recent_revenue") / F.greatest(F.coalesce("_all", F.lit(0.0)), F.lit(1.0))).alias("share"),
     )
     rank = F.row_number().over(kind.orderBy(F.desc("recent_revenue"), F.asc_nulls_last("delta_pct"), "name"))
-    df = df.withColumn("_rank", rank).filter(F.col("_rank") <= top)
+    df = df if top is None else df.withColumn("_rank", rank).filter(F.col("_rank") <= top)
     roas, delta, share = F.col("recent_roas"), F.col("delta_pct"), F.col("share")
 
     def ladder(*values):

@@ -1,26 +1,28 @@
-"""Tree ensembles, trained directly for every step of the horizon.
+"""Tree ensembles on the recipe's features, forecast step by step.
 
-A training row is an origin day with the features known then, plus the calendar
-of the target day and the step.  One fit and one ``transform`` serve all series
-and steps.
+MLlib fits one ensemble per fold, several folds at a time; its nodes are read back from the stored model as arrays, with
+which the steps of all series of a batch are worked out together.
 """
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revcast.functions.frames import by_series
-from revcast.operators.baselines import KEYS, future_day
-from revcast.operators.features import calendar_columns, season_length
+from revcast.operators import stepping
+from revcast.operators.baselines import KEYS
+from revcast.operators.features import recipe
+from revcast.session import checkpoint_dir, cut
 
-TARGET_CALENDAR = ("day_of_week", "day_of_month", "month", "quarter", "is_weekend", "is_month_end", "dow_sin", "dow_cos", "doy_sin", "doy_cos")
+FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,7 @@ class TreeSettings:
     seed: int = 42
 
     def estimator(self):
-        common = dict(featuresCol="features", labelCol="target", seed=self.seed, maxDepth=self.depth, minInstancesPerNode=self.min_leaf)
+        common = dict(featuresCol="features", labelCol="y", seed=self.seed, maxDepth=self.depth, minInstancesPerNode=self.min_leaf)
         if self.kind == "forest":
             return RandomForestRegressor(numTrees=self.trees, **common)
         return GBTRegressor(maxIter=self.trees, stepSize=self.rate, subsamplingRate=self.subsample, **common)
@@ -50,104 +52,99 @@ FULL = {
     "random_forest": TreeSettings("forest", 400, 14, min_leaf=2, band=0.13),
 }
 SMALL = {
-    "gradient_boosting": TreeSettings("boost", 10, 4, rate=0.2),
-    "gradient_boosting_deep": TreeSettings("boost", 8, 5, rate=0.2),
-    "random_forest": TreeSettings("forest", 20, 6, min_leaf=2, band=0.13),
+    "gradient_boosting": TreeSettings("boost", 20, 4, rate=0.2),
+    "gradient_boosting_deep": TreeSettings("boost", 16, 5, rate=0.2),
+    "random_forest": TreeSettings("forest", 20, 8, min_leaf=2, band=0.13),
 }
 
 
-def origin_features(train: DataFrame, frequency: str = "D") -> DataFrame:
-    """What is known at the end of each day: last values, windows, level of the helpers."""
-    w = by_series(*KEYS)
-    season = season_length(frequency)
-    out = {f"back_{k}": F.lag("y", k).over(w) for k in sorted({0, 1, 2, 6, 13, season - 1, 2 * season - 1})}
-    for k in (3, 7, 14, 28):
-        frame = w.rowsBetween(-(k - 1), 0)
-        out[f"mean_{k}"] = F.avg("y").over(frame)
-        out[f"std_{k}"] = F.coalesce(F.stddev_samp("y").over(frame), F.lit(0.0))
-    for c in ("leads", "cost"):
-        if c in train.columns:
-            out[f"{c}_mean_7"] = F.coalesce(F.avg(c).over(w.rowsBetween(-6, 0)), F.lit(0.0))
-            out[f"{c}_mean_28"] = F.coalesce(F.avg(c).over(w.rowsBetween(-27, 0)), F.lit(0.0))
-    out["age"] = F.row_number().over(w).cast("double")
-    return train.select(*KEYS, "ds", "y", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()])
+@dataclass
+class Ensemble:
+    """The nodes of all trees in one table of arrays; a leaf is its own child."""
 
+    names: list[str]
+    roots: np.ndarray
+    weights: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    depth: int
 
-def _target_columns(df: DataFrame) -> DataFrame:
-    cal = calendar_columns("target_ds")
-    return df.select("*", *[cal[n].cast("double").alias(f"t_{n}") for n in TARGET_CALENDAR])
-
-
-def training_pairs(train: DataFrame, horizon: int, frequency: str = "D", warm_up: int = 28) -> DataFrame:
-    """Origin rows with each following row within ``horizon`` periods as a target.
-
-    The step is the number of periods between the two days, as in forecasting, so gaps in a series do not shift it.
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.repeat(self.roots[None, :], len(x), axis=0)
+        row = np.arange(len(x))[:, None]
+        for _ in range(self.depth):
+            at = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return self.value[at] @ self.weights
+
+
+def load_ensemble(spark: SparkSession, path: str, names: list[str]) -> Ensemble:
+    """A stored MLlib ensemble as arrays; its size is that of the settings, however many rows it was fitted on."""
+    own = F.col("nodeData")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), own["id"].alias("id"), own["prediction"].alias("value"), own["leftChild"].alias("left"), own["rightChild"].alias("right"),
+        own["split"]["featureIndex"].alias("feature"), F.get(own["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+    )
+    table = nodes.orderBy("tree", "id").toPandas()
+    tree, left = table["tree"].to_numpy(), table["left"].to_numpy()
+    meta = spark.read.parquet(f"{path}/treesMetadata")
+    weights = np.array([r[0] for r in meta.orderBy(meta.columns[0]).select(meta.columns[2]).collect()])
+    if spark.read.text(f"{path}/metadata").where(F.col("value").contains("RandomForest")).count():
+        weights = np.full(len(weights), 1.0 / len(weights))
+    roots = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+    base = roots[tree]
+    inner, here = left >= 0, np.arange(len(tree))
+    depth = np.zeros(len(tree), dtype=int)
+    for k in np.flatnonzero(inner):  # ids are in preorder: a parent comes before its children
+        depth[base[k] + left[k]] = depth[base[k] + table["right"].iat[k]] = depth[k] + 1
+    return Ensemble(
+        names, roots, weights, np.where(inner, table["feature"], 0).astype(np.int32), np.where(inner, table["threshold"], 0.0).astype(float),
+        np.where(inner, base + left, here), np.where(inner, base + table["right"].to_numpy(), here), table["value"].to_numpy(float), int(depth.max(initial=0)),
+    )
+
+
+def fit_trees(rows: DataFrame, names: list[str], settings: TreeSettings) -> PipelineModel:
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), settings.estimator()]).fit(rows)
+
+
+def fit_folds(rows: DataFrame, settings: TreeSettings) -> tuple[dict[int, Ensemble], PipelineModel | None]:
+    """An ensemble for every fold that has training rows, and the MLlib model of the last one (fold 0 comes last).
+
+    ``rows`` are a stored table.  Each fold is a job chain of its own, so a few run side by side.
     """
-    w = Window.partitionBy(*KEYS).orderBy("ds").rowsBetween(1, horizon)
-    ahead = F.collect_list(F.struct("ds", "y")).over(w)
-    origins = origin_features(train, frequency).withColumn("origin", F.col("ds"))
-    rows = origins.withColumn("ahead", ahead).filter(F.col("age") >= F.least(F.lit(warm_up), F.lit(10 * horizon)))
-    keep = [c for c in origins.columns if c not in ("ds", "y")]
-    pairs = rows.select(*keep, F.explode("ahead").alias("t")).select(
-        *keep, periods_between("origin", "t.ds", frequency).alias("step"), F.col("t.ds").alias("target_ds"), F.col("t.y").alias("target")
-    ).drop("origin")
-    return _target_columns(pairs.filter(F.col("target").isNotNull() & F.col("step").between(1, horizon)))
-
-
-def periods_between(start: str, end: str, frequency: str) -> Column:
-    """Whole periods of the cadence from one day to another."""
-    days = F.datediff(F.col(end), F.col(start))
-    family = (frequency or "D").upper()[:1]
-    if family == "M":
-        return (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
-    return F.round(days / 7).cast("int") if family == "W" else days
-
+    spark, names = rows.sparkSession, [c for c in rows.columns if c not in (*KEYS, "ds", "y")]
+    folds = sorted((r["fold"] for r in rows.select("fold").distinct().collect()), key=lambda f: (f == 0, f))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
 
-def untrained_series(train: DataFrame, horizon: int, warm_up: int = 28) -> DataFrame:
-    """Series whose history is too short to give a training row; the model forecasts them from what it learnt of the others."""
-    n = train.groupBy(*KEYS).agg(F.count("*").alias("n")).filter("fold = 0")
-    return n.filter(F.col("n") <= F.least(F.lit(warm_up), F.lit(10 * horizon))).select("series_id")
+    def one(fold: int) -> tuple[Ensemble, PipelineModel]:
+        model = fit_trees(rows.where(F.col("fold") == fold), names, settings)
+        model.stages[-1].write().overwrite().save(f"{root}/{fold}")
+        return load_ensemble(spark, f"{root}/{fold}", names), model
 
-
-def forecast_rows(train: DataFrame, horizon: int, frequency: str = "D") -> DataFrame:
-    """The last origin of each series with every future step."""
-    rn = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("ds").desc()))
-    last = origin_features(train, frequency).withColumn("rn", rn).filter("rn = 1").drop("rn", "y")
-    steps = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    return _target_columns(steps.withColumn("target_ds", future_day(F.col("ds"), F.col("step"), frequency)).drop("ds"))
-
-
-def input_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in (*KEYS, "target", "target_ds")]
-
-
-def fit_trees(pairs: DataFrame, settings: TreeSettings) -> PipelineModel | None:
-    if pairs.limit(1).count() == 0:
-        return None
-    names = input_columns(pairs)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), settings.estimator()]).fit(pairs)
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fitted = dict(zip(folds, pool.map(one, folds)))
+    return {f: e for f, (e, _) in fitted.items()}, fitted[folds[-1]][1] if folds else None
 
 
 def tree_forecast(
     train: DataFrame, folds: list[int], horizon: int, frequency: str = "D", model: str = "gradient_boosting",
-    settings: TreeSettings | None = None,
+    settings: TreeSettings | None = None, future: DataFrame | None = None, lag_profile: str | None = None, rows: DataFrame | None = None,
 ) -> tuple[DataFrame | None, PipelineModel | None]:
-    """Forecasts of the given folds and the model of the last one fitted (fold 0 comes last)."""
+    """Forecasts of the given folds and the model of the last one; (None, None) if no fold has the rows for a fit.
+
+    ``rows`` are the stored ``stepping.model_rows`` of the folds, if they are there already.
+    """
     settings = settings or FULL[model]
-    pairs, future = training_pairs(train, horizon, frequency), forecast_rows(train, horizon, frequency)
-    parts, fitted = [], None
-    for fold in sorted(folds, key=lambda f: (f == 0, f)):
-        fitted = fit_trees(pairs.filter(F.col("fold") == fold), settings)
-        if fitted is not None:
-            parts.append(fitted.transform(future.filter(F.col("fold") == fold)).select(*KEYS, "step", "target_ds", "prediction"))
-    if not parts:
+    r = recipe("random_forest" if settings.kind == "forest" else model, frequency, lag_profile)
+    if rows is None:
+        rows = cut(stepping.model_rows(train.where(F.col("fold").isin(*folds)), r))
+    ensembles, fitted = fit_folds(rows.where(F.col("fold").isin(*folds)), settings)
+    if not ensembles:
         return None, None
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
-    yhat = F.greatest(F.lit(0.0), F.col("prediction"))
-    return scored.select(
-        F.lit(model).alias("model"), *KEYS, "step", F.col("target_ds").alias("ds"), yhat.alias("yhat"),
-        (yhat * (1 - settings.band)).alias("yhat_lower"), (yhat * (1 + settings.band)).alias("yhat_upper"),
-    ), fitted
+    path = stepping.forecast(stepping.states(train, r, horizon, future), r, horizon, ensembles)
+    return stepping.banded(path, model, settings.band), fitted
 
 
 def feature_importance(spark, model: PipelineModel, top: int = 15) -> DataFrame:

@@ -31,6 +31,12 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_cleaned(df: DataFrame, path: str) -> DataFrame:
+    """Store a cleaned source and go on from the stored copy, which readers prefer to the raw upload."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_totals(df: DataFrame, key: str, values: list[str], label: str = "Total") -> DataFrame:
     """Rows per key and one row with the totals, out of one roll-up."""
     return (

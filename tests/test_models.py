@@ -115,33 +115,8 @@ def test_per_series_regressions(spark, fn):
     assert out.filter("yhat_lower > yhat OR yhat_upper < yhat OR yhat IS NULL").count() == 0
 
 
-def test_linear_recursion_equals_a_step_by_step_forecast(spark):
-    df = as_train(series(spark, 90))
-    feats = linear.linear_features(df)
-    names, model = linear.fit_linear(feats, "ridge")
-    lr = model.stages[-1]
-    out = values(linear.linear_forecast(df, [0], 5, "D", "ridge"))
-    frame = df.drop("fold").toPandas().sort_values("ds")
-    history = list(frame["y"])
-    last = frame["ds"].max()
-    for k in range(1, 6):
-        d = pd.Timestamp(last) + pd.Timedelta(days=k)
-        row = {
-            "day_of_week": d.dayofweek, "day_of_month": d.day, "day_of_year": d.dayofyear, "week_of_year": d.isocalendar().week, "month": d.month,
-            "quarter": d.quarter, "year": d.year, "is_weekend": int(d.dayofweek >= 5), "is_month_end": int(d.is_month_end), "is_month_start": int(d.is_month_start),
-            "is_quarter_end": int(d.is_quarter_end), "is_quarter_start": int(d.is_quarter_start), "dow_sin": np.sin(2 * np.pi * d.dayofweek / 7),
-            "dow_cos": np.cos(2 * np.pi * d.dayofweek / 7), "month_sin": np.sin(2 * np.pi * d.month / 12), "month_cos": np.cos(2 * np.pi * d.month / 12),
-            "doy_sin": np.sin(2 * np.pi * d.dayofyear / 365.25), "doy_cos": np.cos(2 * np.pi * d.dayofyear / 365.25),
-        }
-        row |= {f"lag_{j}": history[-j] for j in linear.LAGS}
-        row |= {f"mean_{j}": np.mean(history[-j:]) for j in linear.WINDOWS} | {f"std_{j}": np.std(history[-j:]) for j in linear.WINDOWS}
-        value = max(0.0, lr.intercept + sum(c * float(row[n]) for n, c in zip(names, lr.coefficients.toArray())))
-        history.append(value)
-        assert abs(out[k - 1] - value) < 1e-6 * max(1.0, value)
-
-
 def test_trees_are_repeatable_and_bounded(spark):
-    df = as_train(series(spark, 80))
+    df = as_train(series(spark, 110))
     a, model = trees.tree_forecast(df, [0], 4, "D", "random_forest", trees.TreeSettings("forest", 5, 4, min_leaf=2, band=0.13))
     b, _ = trees.tree_forecast(df, [0], 4, "D", "random_forest", trees.TreeSettings("forest", 5, 4, min_leaf=2, band=0.13))
     assert values(a) == values(b) and len(values(a)) == 4
@@ -239,12 +214,6 @@ def test_seasonal_naive_is_left_out_only_where_a_series_is_short(spark):
     assert sorted((r.series_id, r.model) for r in got.select("series_id", "model").distinct().collect()) == [("s", "naive"), ("s", "seasonal_naive"), ("short", "naive")]
 
 
-def test_tree_targets_follow_the_calendar(spark):
-    every_other = series(spark, 80).filter("pmod(datediff(ds, date'2020-01-01'), 2) = 0")
-    pairs = trees.training_pairs(as_train(every_other), 6)
-    assert sorted(r.step for r in pairs.select("step").distinct().collect()) == [2, 4, 6]
-
-
 def test_rounding_has_no_upper_end(spark):
     from catalog.base import rounded
 
@@ -257,3 +226,131 @@ def test_skipped_series_are_reported(spark):
     run = run_forecast(daily, ForecastConfig(horizon=7, depth="fast", models=("naive", "seasonal_naive")))
     assert [(r.model, r.series_id) for r in run.skipped.collect()] == [("seasonal_naive", "short")]
     assert {r.series_id for r in run.display.select("series_id").distinct().collect()} == {"s", "short"}
+
+
+def long_series(spark, n=900, seed=3):
+    rng = np.random.default_rng(seed)
+    noise = rng.normal(0, 4, n)
+    return series(spark, n, gap=(40, 41, 300), fn=lambda i: 300 + 0.1 * i + 12 * np.sin(2 * np.pi * i / 7) + 40 * np.cos(2 * np.pi * i / 365) + noise[i])
+
+
+def brute_parts(y, seasons, passes):
+    n = len(y)
+    parts = {m: np.zeros(n) for m in seasons}
+
+    def moving(v, m):
+        return np.array([v[max(0, i - m // 2) : i + m // 2 + 1].mean() for i in range(n)])
+
+    for _ in range(passes):
+        for m in seasons:
+            left = y - sum(parts[o] for o in seasons if o != m)
+            rest = left - moving(left, m)
+            line = np.zeros(n)
+            for i in range(n):
+                places = [j for j in range(i - 3 * m, i + 3 * m + 1, m) if 0 <= j < n]
+                o = np.array([(j - i) // m for j in places], float)
+                w = (1 - (np.abs(o) / 4) ** 3) ** 3
+                v = rest[places]
+                if len(places) > 1:
+                    x = np.column_stack([np.ones_like(o), o])
+                    line[i] = np.linalg.solve(x.T @ (x * w[:, None]), x.T @ (w * v))[0]
+                else:
+                    line[i] = v[0]
+            parts[m] = line - moving(line, m) if n >= 2 * m else np.zeros(n)
+    return parts
+
+
+@pytest.mark.parametrize("n", [900, 200, 9])
+def test_decomposition_equals_a_plain_loop(spark, n):
+    df = long_series(spark, n)
+    y = np.array([r.y for r in df.orderBy("ds").collect()])
+    parts = brute_parts(y, (7, 365), 2)
+    got = baselines.seasonal_parts(as_train(df))[0].orderBy("ds").collect()
+    for m in (7, 365):
+        assert np.allclose([r[f"s_{m}"] for r in got], parts[m], atol=1e-8)
+    z = y - parts[7] - parts[365]
+    tail = min(max(6, len(y) // 2), len(y))
+    slope = np.polyfit(np.arange(len(y) - tail, len(y)), z[-tail:], 1)[0]
+    cycles = {m: parts[m][-min(m, len(y)) :] for m in (7, 365)}
+    want = [max(0.0, z[-7:].mean() + slope * k + sum(c[(k - 1) % m] if (k - 1) % m < len(c) else 0.0 for m, c in cycles.items())) for k in range(1, 31)]
+    assert np.allclose(values(baselines.decomposition_forecast(as_train(df), 30)), want)
+
+
+@pytest.mark.parametrize("n", [400, 30, 4, 1])
+def test_autoregression_equals_the_yule_walker_equations(spark, n):
+    rng = np.random.default_rng(n)
+    noise = rng.normal(0, 3, n)
+    state = [0.0, 0.0]
+    path = []
+    for e in noise:
+        state = [0.6 * state[0] - 0.3 * state[1] + e, state[0]]
+        path.append(50 + state[0])
+    df = series(spark, n, fn=lambda i: path[i])
+    slope, base = np.polyfit(np.arange(n), path, 1) if n > 1 else (0.0, path[0])
+    z = np.array(path) - base - slope * np.arange(n)
+    most = regressive.lag_count("D")
+    r = [float((z[k:] * z[: len(z) - k]).sum()) / n if k < n else 0.0 for k in range(most + 1)]
+    best = (n * np.log(max(r[0], 1e-9)) + 2, np.zeros(0), r[0])
+    for p in range(1, most + 1):
+        if p >= n / 4:
+            break
+        a = np.linalg.solve(np.array([[r[abs(i - j)] for j in range(p)] for i in range(p)]), r[1 : p + 1])
+        e = r[0] - a @ r[1 : p + 1]
+        score = n * np.log(max(e, 1e-9)) + 2 * (p + 1)
+        if score < best[0]:
+            best = (score, a, e)
+    fitted = regressive.levinson(regressive.autocovariances(as_train(df), most), most).first()
+    assert np.allclose(fitted.a, best[1], atol=1e-9) and abs(fitted.variance - best[2]) < 1e-8 * max(1.0, r[0])
+    past, weights, spread, rows = list(z[::-1]) + [0.0] * most, [1.0] + [0.0] * most, 0.0, []
+    for _ in range(12):
+        spread += weights[0] ** 2
+        value, weight = (sum(a * v for a, v in zip(best[1], x)) for x in (past, weights))
+        past, weights = [value, *past], [weight, *weights]
+        rows.append((value + base + slope * (n + len(rows)), 1.2816 * np.sqrt(max(best[2], 0) * spread)))
+    got = regressive.autoregression(as_train(df), 12).orderBy("step").collect()
+    assert np.allclose([x.yhat for x in got], [max(v, 0) for v, _ in rows], atol=1e-7)
+    assert np.allclose([x.yhat_upper for x in got], [max(v + b, 0) for v, b in rows], atol=1e-6)
+
+
+@pytest.mark.parametrize("n", [500, 60])
+def test_trend_fourier_equals_penalised_least_squares(spark, n):
+    df = long_series(spark, n).withColumn("event_flag", (F.dayofmonth("ds") == 5).cast("int")).withColumn("y", F.col("y") + 30 * F.col("event_flag"))
+    train = as_train(df).unionByName(as_train(df).filter(f"datediff(ds, date'2025-01-01') < {n - 25}").withColumn("fold", F.lit(1)))
+    rows, flags = regressive.fourier_rows(train)
+    weights = regressive.fourier_weights(rows)
+    assert flags == ["event_flag"] and weights.count() == 2
+    assert max(x.gap for x in regressive.normal_equations(rows, weights).collect()) < 1e-9
+    for fold in (0, 1):
+        frame = train.filter(f"fold = {fold}").toPandas().sort_values("ds")
+        day = (pd.to_datetime(frame["ds"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy(float)
+        t0, span = day[0], max(day[-1] - day[0], 1.0)
+
+        def design(x, mark):
+            u = (x - t0) / span
+            parts = [np.ones_like(u), u] + [np.maximum(u - k, 0) for k in np.linspace(0.1, 0.8, 5)]
+            for period, order in ((7.0, 3), (365.25, 5)):
+                for k in range(1, order + 1):
+                    on = 1.0 if period < 10 or span >= 365 else 0.0
+                    parts += [on * np.sin(2 * np.pi * k * x / period), on * np.cos(2 * np.pi * k * x / period)]
+            return np.column_stack([*parts, mark])
+
+        x, y = design(day, frame["event_flag"].to_numpy(float)), frame["y"].to_numpy()
+        spread = x.std(axis=0)
+        penalty = np.where(spread > 1e-6, 1e-3 * len(x) * spread**2, 1.0)
+        penalty[0] = 0.0
+        beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
+        last = frame["ds"].iloc[-1]
+        ahead = [last + dt.timedelta(days=k) for k in range(1, 15)]
+        mark = np.array([1.0 if d.day == 5 and (fold == 1 and d <= max(df.toPandas()["ds"])) else 0.0 for d in ahead])
+        want = np.maximum(design(day[-1] + np.arange(1, 15), mark) @ beta, 0)
+        got = regressive.trend_fourier(train, 14).filter(f"fold = {fold}").orderBy("step").collect()
+        assert np.allclose([g.yhat for g in got], want, rtol=1e-7)
+        assert np.allclose([g.yhat_upper - g.yhat for g in got], 1.2816 * np.std(y - x @ beta), rtol=1e-6)
+
+
+def test_known_events_reach_the_forecast(spark):
+    df = long_series(spark, 120).withColumn("event_flag", (F.dayofmonth("ds") % 5 == 0).cast("int")).withColumn("y", F.col("y") + 100 * F.col("event_flag"))
+    last = df.agg(F.max("ds")).first()[0]
+    ahead = spark.createDataFrame([("s", last + dt.timedelta(days=2), 1)], "series_id string, ds date, event_flag int")
+    with_, without = (values(regressive.trend_fourier(as_train(df), 4, future=f)) for f in (ahead, None))
+    assert with_[1] - without[1] > 60 and np.allclose(with_[0], without[0])
