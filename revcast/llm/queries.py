@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revcast.llm import bpe, exact, lm, merkle, minhash, packing, passages, pii, sharding, spelling, topk, toxicity, warc
 from revcast.llm.common import shipped, table
+from revcast.llm.oracles import SPELLING_SQL, merkle_sql
 
 
 def tokenizer_path(name: str) -> str:
@@ -121,4 +122,4 @@ def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict
         return lambda spark, sf_dir: f(shipped(spark), sf_dir)
 
     found = {f.__name__: sent(f) for f in (op1_pii, op2_near_duplicates, op3_exact_duplicates, op4_packing, op5_bpe, op6_sharding, op7_lm_scores, op8_top_k, op9_toxicity, op10_passages, op11_warc, op12_merkle, op13_spelling, pipeline)}
-    return found, {"op3_exact_duplicates": EXACT_SQL, "op8_top_k": TOP_K_SQL, "op11_warc": WARC_SQL}
+    return found, {"op3_exact_duplicates": EXACT_SQL, "op8_top_k": TOP_K_SQL, "op11_warc": WARC_SQL, "op12_merkle": merkle_sql(), "op13_spelling": SPELLING_SQL}
