@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import newest_first
+from revcast.functions.quantiles import median_of
 from revcast.functions.scalars import dimension_label, month_label, safe_divide
 
 ALL_SOURCES = "All Sources"
@@ -83,8 +84,8 @@ def allocate_cohort_cost(groups: DataFrame, by_month: DataFrame, by_key: DataFra
 def cohort_scores(groups: DataFrame, split: bool = True) -> DataFrame:
     """ROAS, share, payback of the lead month and a class per cohort; ``split`` names platforms."""
     df = groups.withColumn("roas", safe_divide("total_revenue", "cost"))
-    facts = df.agg(F.percentile("roas", 0.5).alias("_median"), F.sum("total_revenue").alias("_sum"))
-    df = df.join(F.broadcast(facts), how="left")
+    facts = df.agg(F.sum("total_revenue").alias("_sum"))
+    df = df.join(F.broadcast(median_of(df, "roas", "_median")), how="left").join(F.broadcast(facts), how="left")
     df = df.withColumn("revenue_share", F.col("total_revenue") / F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(1.0)))
     df = df.withColumn("payback_share_m0", safe_divide("first_month_revenue", "cost"))
     names = (
@@ -148,9 +149,7 @@ def platform_table(scored: DataFrame, group: str = "cost_match_key", months: int
     grouped = grouped.withColumn("roas", safe_divide("total_revenue", "total_cost"))
     grouped = grouped.withColumn("avg_revenue_per_cohort", safe_divide("total_revenue", "cohorts"))
     grouped = grouped.withColumn("recent_roas", safe_divide("recent_revenue", "recent_cost"))
-    mid = grouped.agg(
-        F.percentile("total_revenue", 0.5).alias("_all"), F.coalesce(F.percentile("recent_revenue", 0.5), F.lit(0.0)).alias("_now")
-    )
+    middle = [median_of(grouped, "total_revenue", "_all"), median_of(grouped, "recent_revenue", "_now")]
     rr, rev = F.col("recent_roas"), F.coalesce("recent_revenue", F.lit(0.0))
     action = (
         F.when((rr >= 1.2) & (rev >= F.col("_now")), "Scale")
@@ -160,7 +159,9 @@ def platform_table(scored: DataFrame, group: str = "cost_match_key", months: int
         .when(F.col("total_revenue") >= F.col("_all"), "Historical Only - Verify")
         .otherwise("Watch")
     )
-    return grouped.join(F.broadcast(mid), how="left").withColumn("action", action).drop("_all", "_now")
+    for side in middle:
+        grouped = grouped.join(F.broadcast(side), how="left")
+    return grouped.fillna(0.0, ["_now"]).withColumn("action", action).drop("_all", "_now")
 
 
 def lead_month_rollup(scored: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import by_series, first_rows, newest_first, rolling
-from revcast.functions.quantiles import exact_quantiles
+from revcast.functions.quantiles import exact_quantiles, median_of
+from revcast.functions.ranking import running, shared_rank
 from revcast.functions.scalars import clip, dimension_value, safe_divide
 
 SEED = 42
@@ -122,10 +123,10 @@ def opportunity_ranking(frame: DataFrame, size: ModelSize = FULL) -> tuple[DataF
     train = rank_labels(frame).na.drop(subset=names)
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=size.rounds, maxDepth=size.depth, stepSize=size.rate, seed=SEED)
     model = Pipeline(stages=_stages(names, gbt)).fit(train)
-    kind = Window.partitionBy("dimension_type")
     scored = model.transform(latest_month(frame)).join(risk_scores(frame), ["dimension_type", "dimension"])
-    rank = F.row_number().over(kind.orderBy(F.desc("prediction"), "dimension"))
-    scored = scored.withColumn("rank", rank).withColumn("rank_pct", F.col("rank") / F.count("*").over(kind))
+    scored = scored.select("dimension_type", "dimension", "prediction", "risk_score", *names)
+    scored = running(scored, [F.desc("prediction"), F.col("dimension")], ["dimension_type"])
+    scored = scored.withColumn("rank", (F.col("before") + 1).cast("int")).withColumn("rank_pct", F.col("rank") / F.col("whole"))
     ranked = scored.select(
         "dimension_type", "dimension", "rank", F.col("prediction").alias("ranking_score"), "rank_pct",
         _recommendation(F.col("rank_pct"), F.col("risk_score")).alias("recommendation"), *names, "risk_score",
@@ -136,13 +137,9 @@ def opportunity_ranking(frame: DataFrame, size: ModelSize = FULL) -> tuple[DataF
 def ranking_quality(scored: DataFrame) -> DataFrame:
     """One row: discounted gain of the predicted order against the ideal one, and capture of the top fifth."""
     ties = ["month", "dimension_type", "dimension"]
-    one = Window.partitionBy(F.lit(1))
-    df = scored.select(
-        "label",
-        F.row_number().over(one.orderBy(F.desc("prediction"), *ties)).alias("p"),
-        F.row_number().over(one.orderBy(F.desc("label"), *ties)).alias("i"),
-        F.count("*").over(one).alias("n"),
-    )
+    by_score = running(scored.select("label", "prediction", *ties), [F.desc("prediction"), *[F.col(c) for c in ties]])
+    by_score = by_score.withColumn("p", F.col("before") + 1).drop("before", "whole")
+    df = running(by_score, [F.desc("label"), *[F.col(c) for c in ties]]).select("label", "p", (F.col("before") + 1).alias("i"), F.col("whole").alias("n"))
     cut = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
     return df.agg(
         F.try_divide(F.sum(F.col("label") / F.log2(F.col("p") + 1)), F.sum(F.col("label") / F.log2(F.col("i") + 1))).alias("ndcg"),
@@ -231,12 +228,10 @@ def lead_quality(frame: DataFrame, size: ModelSize = FULL) -> DataFrame:
     none = F.lit(None).cast("double")
     df = add_probability(latest_month(frame), conversion, "conversion_target", "conversion_probability", none)
     df = add_probability(df, value, "high_value_target", "high_value_probability", none)
-    whole = Window.partitionBy(F.lit(1))
-    ties = F.count("*").over(Window.partitionBy("y"))
-    level = (F.rank().over(whole.orderBy("y")) + (ties - 1) / 2) / F.count("*").over(whole)
+    df = shared_rank(df.select("dimension_type", "dimension", "y", "conversion_probability", "high_value_probability"), "y", "_level")
     sure = F.coalesce("conversion_probability", "high_value_probability", F.lit(0.0))
     high = F.coalesce("high_value_probability", F.lit(0.0))
-    return df.withColumn("_level", level).select(
+    return df.select(
         "dimension_type", "dimension", "conversion_probability", "high_value_probability",
         F.when(sure >= 0.75, "high").when(sure >= 0.45, "medium").otherwise("low").alias("confidence_bucket"),
         F.when((high >= 0.6) | (F.col("_level") >= 0.8), "premium").when((high >= 0.35) | (F.col("_level") >= 0.5), "growth")
@@ -532,8 +527,8 @@ def affiliate_quality(frame: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(last3, F.col("roas_calc"))), zero).alias("roas"),
         F.coalesce(F.avg(F.when(last3, F.col("rpl_calc"))), zero).alias("rpl"),
     )
-    level = aff.agg(F.coalesce(F.avg("y"), F.lit(1.0)).alias("mean_y"), F.coalesce(F.percentile("rpl_calc", 0.5), F.lit(1.0)).alias("mid_rpl"))
-    df = df.join(F.broadcast(level), how="left")
+    level = aff.agg(F.coalesce(F.avg("y"), F.lit(1.0)).alias("mean_y"))
+    df = df.join(F.broadcast(level), how="left").join(F.broadcast(median_of(aff, "rpl_calc", "mid_rpl")), how="left").fillna(1.0, ["mid_rpl"])
     df = df.withColumn("consistency", F.col("recent") / F.greatest("volatility", F.lit(1.0)))
     df = df.withColumn("trend", (F.col("recent") - F.col("prior")) / F.greatest(F.abs("prior"), F.lit(1.0)))
     score = (

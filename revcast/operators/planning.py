@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import first_rows, newest_first
+from revcast.functions.quantiles import median_of
+from revcast.functions.ranking import running
 from revcast.functions.scalars import dimension_value, safe_divide
 from revcast.operators.daily import pct_change, rows_of
 
@@ -42,10 +44,8 @@ def allocation(summary: DataFrame, top: int | None = None) -> DataFrame:
     extra = cost * 0.10
     added = extra * F.coalesce("recent_roas", F.lit(0.0))
     revenue = F.coalesce("recent_revenue", F.lit(0.0))
-    mid = df.agg(
-        F.coalesce(F.percentile("recent_roas", 0.5), F.lit(0.0)).alias("_roas"),
-        F.coalesce(F.percentile(F.when(revenue > 0, revenue), 0.5), F.lit(0.0)).alias("_rev"),
-    )
+    middle = df.select("recent_roas", F.when(revenue > 0, revenue).alias("sold"))
+    sides = [median_of(middle, c, n) for c, n in (("recent_roas", "_roas"), ("sold", "_rev"))]
     action = (
         F.when(cost <= 0, "Verify cost tracking")
         .when(F.col("recent_roas").isNull(), "Verify Recent ROAS")
@@ -53,7 +53,9 @@ def allocation(summary: DataFrame, top: int | None = None) -> DataFrame:
         .when(F.col("recent_roas") < 1, "Hold / rework")
         .otherwise("Hold / review")
     )
-    out = df.join(F.broadcast(mid), how="left").select(
+    for side in sides:
+        df = df.join(F.broadcast(side), how="left")
+    out = df.fillna(0.0, ["_roas", "_rev"]).select(
         "category", "recent_revenue", "recent_cost", "recent_roas", extra.alias("extra_budget_10pct"),
         added.alias("projected_revenue_from_extra_budget"), (revenue + added).alias("projected_total_revenue_after_shift"),
         action.alias("budget_action"),
@@ -133,8 +135,7 @@ def dimension_budget(table: DataFrame, dimensions: dict[str, str], top: int | No
 
 def attribution(summary: DataFrame, top: int | None = None) -> DataFrame:
     """Largest channels with share, efficiency and stability; rank 1 is the top channel."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("total_revenue"), "category")
-    df = summary.withColumn("rank", F.row_number().over(w))
+    df = running(summary, [F.desc("total_revenue"), F.col("category")]).withColumn("rank", F.col("before") + 1)
     df = df if top is None else df.filter(F.col("rank") <= top)
     return df.select(
         "rank", F.col("category").alias("channel"), F.col("total_revenue").alias("revenue"),

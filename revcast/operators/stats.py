@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import first_rows, newest_first
+from revcast.functions.ranking import shared_rank
 from revcast.functions.scalars import correlation, safe_divide
 
 LAGS = tuple(range(0, 61, 5))
@@ -65,10 +66,7 @@ def lag_alignment(daily: DataFrame, lag_days: int, last: int = 120) -> DataFrame
 def efficiency_frontier(segments: DataFrame, top: int | None = None) -> DataFrame:
     """Segments (segment, revenue, cost) by ROAS with the share of segments at or below, ties averaged."""
     df = segments.filter((F.col("cost") > 0) & (F.col("revenue") >= 0)).withColumn("roas", F.col("revenue") / F.col("cost"))
-    whole = Window.partitionBy(F.lit(1))
-    ties = F.count("*").over(Window.partitionBy("roas"))
-    rank = F.rank().over(whole.orderBy("roas"))
-    df = df.withColumn("efficiency_score", (rank + (ties - 1) / 2) / F.count("*").over(whole))
+    df = shared_rank(df, "roas", "efficiency_score")
     return first_rows(df.orderBy(F.desc("roas"), F.desc("revenue"), "segment"), top)
 
 

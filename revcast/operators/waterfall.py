@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revcast.functions.frames import newest_first
+from revcast.functions.quantiles import median_of
 from revcast.operators.daily import rows_of
 
 
@@ -25,7 +26,7 @@ def _bridge(row: DataFrame, parts: list[tuple[str, Column]]) -> DataFrame:
 
 def _mix(shares: DataFrame) -> DataFrame:
     """One row: change of the shares weighted by each part's distance from the median ROAS."""
-    ref = shares.agg(F.percentile("roas", 0.5).alias("_ref"))
+    ref = median_of(shares, "roas", "_ref")
     gap = (F.col("now") - F.col("before")) * (F.coalesce("roas", "_ref") - F.col("_ref"))
     return shares.join(F.broadcast(ref), how="left").agg(F.coalesce(F.sum(gap), F.lit(0.0)).alias("mix"))
 
@@ -45,9 +46,9 @@ def leads_waterfall(daily: DataFrame, summary: DataFrame | None = None) -> DataF
         row = row.withColumn("mix", F.lit(0.0))
     else:
         recent = F.coalesce("recent_revenue", F.lit(0.0))
-        total = F.sum(recent).over(Window.partitionBy(F.lit(1)))
-        shares = summary.select(
-            F.try_divide(recent, total).alias("now"), F.coalesce("share_of_revenue", F.lit(0.0)).alias("before"),
+        total = summary.agg(F.sum(recent).alias("_total"))
+        shares = summary.join(F.broadcast(total), how="left").select(
+            F.try_divide(recent, "_total").alias("now"), F.coalesce("share_of_revenue", F.lit(0.0)).alias("before"),
             F.col("recent_roas").alias("roas"),
         )
         row = row.join(F.broadcast(_mix(shares)), how="left")
@@ -89,10 +90,9 @@ def cohort_waterfall(cohort: DataFrame, roas: DataFrame | None = None) -> DataFr
             F.coalesce(F.sum(F.when(now, F.col("rev"))), F.lit(0.0)).alias("a"),
             F.coalesce(F.try_divide(F.sum(F.when(~now, F.col("rev"))), F.sum(F.when(~now, F.col("n")))), F.lit(0.0)).alias("b"),
         )
-        whole = Window.partitionBy(F.lit(1))
-        shares = parts.join(roas, "cohort_category", "left").select(
-            F.try_divide("a", F.sum("a").over(whole)).alias("now"), F.try_divide("b", F.sum("b").over(whole)).alias("before"), "roas"
-        )
+        joined = parts.join(roas, "cohort_category", "left")
+        sums = joined.agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+        shares = joined.join(F.broadcast(sums), how="left").select(F.try_divide("a", "_a").alias("now"), F.try_divide("b", "_b").alias("before"), "roas")
         row = row.join(F.broadcast(_mix(shares)), how="left")
     return _bridge(
         row,
