@@ -22,6 +22,10 @@ from revcast.schema import COMPANY, FLAG_COLUMNS
 SEASON = {"D": 7, "W": 52, "M": 12}
 EPS = 1e-6
 REGRESSORS = ("leads", "cost", "roas")
+CALENDAR = (
+    "day_of_week", "day_of_month", "day_of_year", "week_of_year", "month", "quarter", "year", "is_weekend", "is_month_end", "is_month_start",
+    "is_quarter_end", "is_quarter_start", "dow_sin", "dow_cos", "month_sin", "month_cos", "doy_sin", "doy_cos",
+)
 
 # Windows of the regressor profiles; their lags are those of ``regressor_lags``.
 PROFILE_WINDOWS = {"compact": [3, 7], "balanced": [3, 7, 14, 28], "extended": [3, 7, 14, 28, 56, 84]}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from revcast.functions.frames import by_series
 from revcast.functions.scalars import clip
 from revcast.operators.baselines import KEYS, future_day
-from revcast.operators.features import PROFILE_WINDOWS, REGRESSORS, FeatureRecipe, build_features, calendar_columns, feature_columns, regressor_lags, season_length
+from revcast.operators.features import CALENDAR, PROFILE_WINDOWS, REGRESSORS, FeatureRecipe, build_features, feature_columns, regressor_lags, season_length
 from revcast.schema import FLAG_COLUMNS
 
 LEVEL_ROWS = 28
@@ -79,7 +79,7 @@ def model_rows(train: DataFrame, r: FeatureRecipe) -> DataFrame:
 def recipe_inputs(r: FeatureRecipe, helpers: list[str], flags: list[str]) -> list[str]:
     """The names of the inputs that ``model_rows`` gives for a table with these helper and flag columns."""
     season, windows = season_length(r.frequency), PROFILE_WINDOWS[r.profile]
-    names = [*calendar_columns(), *[f"lag_{k}" for k in r.lags], *[f"rolling_{n}_{k}" for k in r.windows for n in ("mean", "std")]]
+    names = [*CALENDAR, *[f"lag_{k}" for k in r.lags], *[f"rolling_{n}_{k}" for k in r.windows for n in ("mean", "std")]]
     if r.memory:
         names += ["lag_weighted_recent", "lag_weighted_extended", "trend_vs_7d_avg", "trend_vs_28d_avg"]
     for c in helpers:
