@@ -58,16 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a result to the checkpoint folder, by rows, and go on from there.
+    """Write a result to the checkpoint folder and go on from there.
 
-    Plans built from it stay short, and a lost executor costs no recomputation.
+    Plans built from it stay short, and a lost executor costs no recomputation.  Written by columns and worked out once
+    (``DataFrame.checkpoint`` works its rows out twice); the order of rows is not kept.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the checkpoint folder and go on from there; unlike ``cut`` it is columnar, so it may be large."""
+    """Write a table to a named place in the checkpoint folder and read it from there; column names must be unique."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

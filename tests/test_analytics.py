@@ -213,3 +213,11 @@ def test_layers_report_instead_of_failing(spark, layer):
     table = history(spark).withColumn("platform", F.lit("p"))
     out = intelligence.build_intelligence(table, table.withColumn("series_id", F.lit("s")), [layer, "whales"])
     assert layer in out.tables and "whales" in out.errors
+
+
+def test_a_budget_without_a_limit_keeps_every_name(spark):
+    day = dt.date(2026, 3, 1)
+    data = [(day - dt.timedelta(days=i), name, float(100 + 10 * k + i)) for k, name in enumerate("abc") for i in range(70)]
+    df = spark.createDataFrame(data, "ds date, platform string, y double")
+    assert sorted(r["name"] for r in planning.dimension_budget(df, {"platform": "platform"}).collect()) == ["a", "b", "c"]
+    assert planning.dimension_budget(df, {"platform": "platform"}, top=2).count() == 2
