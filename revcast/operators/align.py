@@ -106,6 +106,69 @@ def spread_periods(
     return daily.groupBy(column, *dims).agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values])
 
 
+def anchor_ranges(
+    helper: DataFrame, values: Sequence[str], dims: Sequence[str], bounds: DataFrame, column: str = "ds", carry_in: bool = False
+) -> DataFrame:
+    """One row per anchor of a group: the days it holds for, ``_from`` to ``_to``, and what it holds.
+
+    A range ends the day before the group's next anchor, the last one with the last day.  The days before a group's
+    first anchor are a range of nulls, so the ranges of a group cover the bounds without gap or overlap.  Each value
+    is a struct: ``v`` (last known), ``d`` (its day), ``next_v`` and ``next_d`` (the next known one).  Anchors after
+    the last day do not count, those before the first one only with ``carry_in``.
+    """
+    dims, values = list(dims), list(values)
+    dated = helper.filter(F.col(column).isNotNull()).select(F.to_date(column).alias("_from"), *dims, *values).crossJoin(F.broadcast(bounds))
+    within = F.col("_from") <= F.col("last_day") if carry_in else F.col("_from").between(F.col("first_day"), F.col("last_day"))
+    # a group's first day is an anchor too, which holds nothing unless the helper has a row there
+    opening = dated.select(*dims, "first_day", "last_day").distinct() if dims else bounds
+    nothing = [F.lit(None).cast(helper.schema[v].dataType).alias(v) for v in values]
+    opening = opening.select(F.col("first_day").alias("_from"), *dims, *nothing, "first_day", "last_day")
+    anchors = dated.filter(within).unionByName(opening).groupBy("_from", *dims, "first_day", "last_day").agg(*[F.sum(v).alias(v) for v in values])
+    order = Window.partitionBy(*(dims or [F.lit(1)])).orderBy("_from")
+    past, future = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+
+    def held(v: str) -> Column:
+        day = F.when(F.col(v).isNotNull(), F.col("_from"))
+        return F.struct(
+            F.last(v, ignorenulls=True).over(past).alias("v"), F.last(day, ignorenulls=True).over(past).alias("d"),
+            F.first(v, ignorenulls=True).over(future).alias("next_v"), F.first(day, ignorenulls=True).over(future).alias("next_d"),
+        ).alias(v)
+
+    until = F.coalesce(F.date_sub(F.lead("_from").over(order), 1), F.col("last_day"))
+    ranges = anchors.select("_from", until.alias("_to"), *dims, *[held(v) for v in values], "first_day")
+    return ranges.filter(F.col("_to") >= F.col("first_day")).withColumn("_from", F.greatest("_from", "first_day")).drop("first_day")
+
+
+def _months(first: str, last: str) -> Column:
+    return F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH"))
+
+
+def fill_between(ranges: DataFrame, values: Sequence[str], dims: Sequence[str], method: str, column: str = "ds", days: DataFrame | None = None) -> DataFrame:
+    """The values that ``anchor_ranges`` hold on each day, or on the given ``days`` only.
+
+    ``days`` has the day and any of the dimensions; its rows meet the range they lie in by an equi-join on the
+    month and those dimensions (null equals null), so a day nobody asks for makes no row.
+    """
+    if days is None:
+        on_days = ranges.withColumn(column, F.explode(F.sequence("_from", "_to")))
+    else:
+        shared = [c for c in days.columns if c != column]
+        asked = days.filter(F.col(column).isNotNull()).select(F.col(column), F.trunc(column, "MM").alias("_month_asked"), *[F.col(c).alias(f"_asked_{c}") for c in shared]).distinct()
+        same = (F.col("_month") == F.col("_month_asked")) & F.col(column).between(F.col("_from"), F.col("_to"))
+        for c in shared:
+            same &= F.col(c).eqNullSafe(F.col(f"_asked_{c}"))
+        on_days = ranges.withColumn("_month", F.explode(_months("_from", "_to"))).join(asked, same)
+
+    def filled(v: str) -> Column:
+        last, step = F.col(v)["v"], F.col(v)["next_v"] - F.col(v)["v"]
+        if method != "interpolate":
+            return last
+        part = F.datediff(column, F.col(v)["d"]) / F.datediff(F.col(v)["next_d"], F.col(v)["d"])
+        return F.when(F.col(v)["d"] < F.col(column), F.coalesce(last + step * part, last)).otherwise(last)
+
+    return on_days.select(column, *dims, *[filled(v).alias(v) for v in values])
+
+
 def expand_helper(
     helper: DataFrame,
     values: Sequence[str],
@@ -115,47 +178,23 @@ def expand_helper(
     bounds: DataFrame,
     column: str = "ds",
     carry_in: bool = False,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """A weekly or monthly helper on every day between the bounds, per dimension group.
 
     ``distribute`` and ``avg_monthly`` spread totals, ``ffill`` repeats the last
     anchor, ``interpolate`` draws a line between anchors.  Days without cover stay
     null.  With ``carry_in`` an anchor before the first day counts for ``ffill``.
+    ``days`` (see ``fill_between``) asks for some days only, of the fills.
     """
     if cadence == "D":
         return helper
     dims, values = list(dims), list(values)
-    groups = helper.filter(F.col(column).isNotNull()).select(*dims).distinct() if dims else bounds.select()
     if method in ("distribute", "avg_monthly"):
+        groups = helper.filter(F.col(column).isNotNull()).select(*dims).distinct() if dims else bounds.select()
         grid = _calendar(groups, bounds, column)
         return grid.join(spread_periods(helper, values, dims, cadence, column), [column, *dims], "left")
-    anchors = helper.filter(F.col(column).isNotNull()).groupBy(column, *dims).agg(*[F.sum(v).alias(v) for v in values])
-    if carry_in:
-        first = F.min(column).alias("_first")
-        early = anchors.agg(first)
-        wide = bounds.crossJoin(early).select(F.least("first_day", "_first").alias("first_day"), "last_day")
-    else:
-        wide = bounds
-    grid = _calendar(groups, wide, column).join(anchors, [column, *dims], "left")
-    before = Window.partitionBy(*dims).orderBy(column) if dims else Window.partitionBy(F.lit(1)).orderBy(column)
-    past = before.rowsBetween(Window.unboundedPreceding, 0)
-    future = before.rowsBetween(0, Window.unboundedFollowing)
-
-    def filled(v: str) -> Column:
-        last = F.last(v, ignorenulls=True).over(past)
-        if method != "interpolate":
-            return last
-        mark = F.when(F.col(v).isNotNull(), F.col(column))
-        next_value = F.first(v, ignorenulls=True).over(future)
-        from_day = F.last(mark, ignorenulls=True).over(past)
-        to_day = F.first(mark, ignorenulls=True).over(future)
-        part = F.try_divide(F.datediff(column, from_day), F.datediff(to_day, from_day))
-        return F.when(F.col(v).isNotNull(), F.col(v)).otherwise(F.coalesce(last + (next_value - last) * part, last))
-
-    out = grid.select(column, *dims, *[filled(v).alias(v) for v in values])
-    if carry_in:
-        out = out.join(F.broadcast(bounds), F.col(column).between(F.col("first_day"), F.col("last_day")), "left_semi")
-    return out
+    return fill_between(anchor_ranges(helper, values, dims, bounds, column, carry_in), values, dims, method, column, days)
 
 
 def left_join_helper(revenue: DataFrame, helper: DataFrame, keys: Sequence[str]) -> DataFrame:

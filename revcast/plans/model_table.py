@@ -58,7 +58,8 @@ class ModelTableBuilder:
         self.keyed = self.counts
         self.bounds = align.day_range(self.counts) if helpers else None
 
-    def _aligned(self, helper: Source, values: Sequence[str], dims: Sequence[str]) -> DataFrame:
+    def _aligned(self, helper: Source, values: Sequence[str], dims: Sequence[str], pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
+        """The helper per day and dimensions; filled only on days (and values of ``pairs``) that the key table has."""
         m = helper.mapping
         df = parse_days(helper.frame, m.date, "ds")
         for v in m.values:
@@ -77,7 +78,8 @@ class ModelTableBuilder:
             # only days that a period covers; days without cover come back as nulls of the join
             spread = align.spread_periods(df, values, dims, cadence)
             return spread.join(F.broadcast(self.bounds), F.col("ds").between(F.col("first_day"), F.col("last_day"))).drop("first_day", "last_day")
-        return align.expand_helper(df, values, dims, cadence, m.fill_method, self.bounds)
+        asked = self.counts.select("ds", *[F.col(left).alias(right) for left, right in pairs if left in self.grain]).distinct()
+        return align.expand_helper(df, values, dims, cadence, m.fill_method, self.bounds, days=asked)
 
     def _renamed(self, df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         for left, right in pairs:
@@ -89,7 +91,7 @@ class ModelTableBuilder:
         pairs = merge_keys(self.revenue.mapping, helper.mapping)
         dims = helper.mapping.dimension_columns(helper.frame)
         keys = ["ds", *[left for left, _ in pairs]]
-        daily = self._renamed(self._aligned(helper, values, dims), pairs)
+        daily = self._renamed(self._aligned(helper, values, dims, pairs), pairs)
         reduced = align.aggregate_helper(daily, keys, values)
         detail = self.revenue.mapping.dimension_columns(self.table)
         if allocate and len(pairs) < len(detail):
@@ -105,6 +107,7 @@ class ModelTableBuilder:
         helper = self._as(helper, "cost")
         pair = cost_bucket(self.revenue.mapping, helper.mapping)
         dims = helper.mapping.dimension_columns(helper.frame)
+        # days only: a bucket without revenue on a day still counts in the company's cost of that day
         daily = self._aligned(helper, ["cost"], dims)
         if pair is None:
             self.keyed = align.allocate_cost(self.keyed, daily.select("ds", "cost"), None, self.counts)

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from revcast.mapping import Mapping, merge_keys, pick_column, regressors, suggest_column
 from revcast.operators import align
-from revcast.plans.model_table import Source, build_model_table
+from revcast.plans.model_table import ModelTableBuilder, Source, build_model_table
 from revcast.schema import ContractError
 
 from conftest import rows
@@ -126,3 +127,49 @@ def test_mapping_helpers():
 def test_top_groups_keeps_whole_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 9.0), ("c", 0.5)], "k string, v double")
     assert sorted(rows(align.top_groups(df, ["k"], F.sum("v"), 2))) == [("a", 1.0), ("a", 2.0), ("b", 9.0)]
+
+
+@pytest.mark.parametrize("method", ["ffill", "interpolate"])
+@pytest.mark.parametrize("carry_in", [False, True])
+def test_fills_equal_pandas_and_answer_only_the_days_asked_for(spark, method, carry_in):
+    rng = np.random.default_rng(5)
+    days = pd.date_range("2025-12-20", "2026-04-20")
+    rows = [(str(g), d.date(), None if rng.random() < 0.3 else float(rng.integers(0, 90)), float(rng.integers(0, 9))) for g in range(6) for d in days[rng.random(len(days)) < 0.07 * (g > 0) + 0.01]]
+    rows += [(None, day("2026-01-15"), 3.0, 1.0), ("2", None, 5.0, 5.0), ("1", day("2026-02-02"), 2.0, 1.0), ("1", day("2026-02-02"), 4.0, 1.0)]
+    helper = spark.createDataFrame(rows, "g string, ds date, v double, w double")
+    bounds = spark.createDataFrame([(day("2026-01-01"), day("2026-03-31"))], "first_day date, last_day date")
+    want = {}
+    frame = pd.DataFrame(rows, columns=["g", "ds", "v", "w"]).dropna(subset=["ds"])
+    calendar = pd.date_range("2025-12-20" if carry_in else "2026-01-01", "2026-03-31")
+    for g, own in frame.groupby("g", dropna=False):
+        own = own.groupby("ds")[["v", "w"]].sum(min_count=1).reindex(calendar.date)
+        own.index = calendar
+        full = (own.ffill() if method == "ffill" else own.interpolate("time")).loc["2026-01-01":]
+        want |= {(None if pd.isna(g) else g, d.date()): tuple(None if pd.isna(x) else round(x, 9) for x in r) for d, r in zip(full.index, full.itertuples(index=False), strict=True)}
+
+    def answers(days=None):
+        out = align.expand_helper(helper, ["v", "w"], ["g"], "M", method, bounds, carry_in=carry_in, days=days).collect()
+        found = {(r.g, r.ds): tuple(None if x is None else round(x, 9) for x in (r.v, r.w)) for r in out}
+        assert len(found) == len(out)
+        return found
+
+    assert answers() == want
+    some = [day("2026-01-01"), day("2026-02-14"), day("2026-03-31")]
+    asked = spark.createDataFrame([(d,) for d in [*some, some[0], None, day("2027-01-01")]], "ds date")
+    assert answers(asked) == {k: v for k, v in want.items() if k[1] in some}
+    pairs = [("1", some[1]), ("3", some[2]), (None, some[1]), ("nobody", some[0])]
+    assert answers(spark.createDataFrame(pairs, "g string, ds date")) == {k: v for k, v in want.items() if k in pairs}
+
+
+def test_a_filled_helper_in_the_model_table(spark):
+    """A monthly cost that is filled: on days with revenue only, and without revenue in a bucket it counts for the company."""
+    rev = spark.createDataFrame([(day("2026-01-05"), 1.0, "a"), (day("2026-01-06"), 2.0, "b"), (day("2026-02-10"), 3.0, "a"), (day("2026-02-11"), 4.0, "a")], "ds date, y double, platform string")
+    cost = spark.createDataFrame([(day("2026-01-01"), 10.0, "a"), (day("2026-02-01"), 20.0, "a"), (day("2026-02-01"), 7.0, "c"), (day("2026-01-06"), 5.0, "b")], "ds date, cost double, platform string")
+    revenue = Source(rev, Mapping("revenue", "ds", ("y",), {"platform": "platform"}))
+    helper = Source(cost, Mapping("cost", "ds", ("cost",), {"platform": "platform"}, frequency="M", fill_method="ffill"))
+    builder = ModelTableBuilder(revenue, [helper])
+    builder.bounds = spark.createDataFrame([(day("2026-01-01"), day("2026-02-28"))], "first_day date, last_day date")
+    out = {r.ds: r.cost for r in builder.add_cost(helper).build().collect()}
+    assert out == {day("2026-01-05"): 10.0, day("2026-01-06"): 5.0, day("2026-02-10"): 20.0, day("2026-02-11"): 20.0}
+    daily = builder._aligned(helper, ["cost"], ["platform"])
+    assert {r.ds for r in daily.collect()} == set(out)
