@@ -10,7 +10,7 @@ from catalog.base import Registry, view
 from catalog.frames import daily_model, model_table, series_daily
 from catalog.model_queries import ranked, tournament
 from revcast.operators import intelligence as I
-from revcast.operators import runs, users
+from revcast.operators import heldout, runs, users
 from revcast.session import checkpoint_dir, cut
 from revcast.sources import adapters as A
 from revcast.sources import sinks
@@ -81,9 +81,43 @@ def in04(spark, d):
     return I.opportunity_ranking(cut(months(spark, d)), I.SMALL)[0]
 
 
-@REG.add("in04_ranking_quality")
+def _gaps(found, again, keys, measures, counts):
+    """Counts, and how far the measures are from those that plain SQL gets from the same scores (0 where both are null)."""
+    same = [F.when(found[m].isNull() & again[m].isNull(), 0.0).otherwise(found[m] - again[m]).alias(f"gap_{m}") for m in measures]
+    return found.join(again, keys).select(*keys, *counts, *same)
+
+
+LATE = """o AS (SELECT DISTINCT month AS fold FROM dmonth WHERE next_revenue IS NOT NULL ORDER BY 1 DESC LIMIT 3)"""
+
+
+@REG.add("in04_ranking_quality", "dmonth", f"""WITH {LATE}, l AS (SELECT month AS fold, CASE WHEN min(next_revenue) OVER m = max(next_revenue) OVER m THEN 0 ELSE
+     least(4, floor(row_number() OVER (PARTITION BY month ORDER BY next_revenue, dimension_type, dimension) / count(*) OVER m * 5)) END AS label
+   FROM dmonth WHERE next_revenue IS NOT NULL AND month IN (SELECT fold FROM o) WINDOW m AS (PARTITION BY month))
+  SELECT fold, count(*) AS "rows", sum(label)::DOUBLE AS label_sum, 0.0::DOUBLE AS gap_ndcg, 0.0::DOUBLE AS gap_top_bucket_capture FROM l GROUP BY 1""", rnd="label_sum gap_ndcg gap_top_bucket_capture", digits=6)
 def in04_quality(spark, d):
-    return I.opportunity_ranking(cut(months(spark, d)), I.SMALL)[1]
+    """Held-out months of the ranking: what was judged, and how far the measures are from those of the stored scores."""
+    scores = I.heldout_ranking(cut(months(spark, d)), size=I.SMALL)
+    again = spark.sql("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY prediction DESC, dimension_type, dimension) AS p, row_number() OVER (PARTITION BY fold ORDER BY label DESC, dimension_type, dimension) AS i,
+        greatest(1, floor(count(*) OVER (PARTITION BY fold) * 0.2)) AS top, avg(label) OVER (PARTITION BY fold, prediction) AS shared FROM {scores})
+      SELECT fold, CASE WHEN sum(label) > 0 THEN sum(shared / log2(p + 1)) / sum(label / log2(i + 1)) END AS ndcg, count_if(p <= top AND i <= top) / max(top) AS top_bucket_capture FROM r GROUP BY fold""", scores=scores)
+    return _gaps(heldout.ranking_quality(scores), again, ["fold"], ["ndcg", "top_bucket_capture"], ["rows", "label_sum"])
+
+
+MEASURES = ("auc", "log_loss", "precision", "recall", "f1")
+NO_GAPS = ", ".join(f"0.0::DOUBLE AS gap_{m}" for m in MEASURES)
+
+
+def _classifier_check(spark, scores):
+    """Counts of held-out classifier scores and how far the measures are from a count over pairs and rows in SQL."""
+    again = spark.sql("""WITH s AS (SELECT *, greatest(least(probability, 1 - 1e-5), 1e-5) AS p, probability >= 0.5 AS said, label = 1 AS hit FROM {scores}),
+      v AS (SELECT fold, target, probability, count_if(hit) AS pos, count_if(NOT hit) AS neg FROM s GROUP BY 1, 2, 3),
+      w AS (SELECT a.fold, a.target, sum(a.pos * b.neg * CASE WHEN a.probability > b.probability THEN 1.0D WHEN a.probability = b.probability THEN 0.5D ELSE 0.0D END) AS won
+        FROM v a JOIN v b ON a.fold = b.fold AND a.target = b.target GROUP BY 1, 2),
+      f AS (SELECT fold, target, avg(CASE WHEN hit THEN -ln(p) ELSE -ln(1 - p) END) AS log_loss, coalesce(try_divide(count_if(hit AND said), count_if(said)), 0.0D) AS precision,
+        coalesce(try_divide(count_if(hit AND said), count_if(hit)), 0.0D) AS recall, count_if(hit) AS pos, count_if(NOT hit) AS neg FROM s GROUP BY 1, 2)
+      SELECT f.fold, f.target, try_divide(won, pos * neg) AS auc, log_loss, precision, recall, coalesce(try_divide(2 * precision * recall, precision + recall), 0.0D) AS f1
+      FROM f JOIN w ON f.fold = w.fold AND f.target = w.target""", scores=scores)
+    return _gaps(heldout.classifier_quality(scores), again, ["fold", "target"], MEASURES, ["rows", "positives"])
 
 
 @REG.add("in05_lead_quality_targets", "dmonth", """SELECT dimension_type, dimension, month, CAST(next_revenue > 0 AS DOUBLE) AS conversion_target,
@@ -92,14 +126,24 @@ def in05_targets(spark, d):
     return I.lead_quality_targets(months(spark, d)).select("dimension_type", "dimension", "month", "conversion_target", "high_value_target")
 
 
-@REG.add("in05_classifier_quality")
+@REG.add("in05_classifier_quality", "dmonth", f"""WITH {LATE}, n AS (SELECT *, lead(month) OVER (PARTITION BY dimension_type, dimension ORDER BY month) AS next_month FROM dmonth),
+  q AS (SELECT fold, quantile_cont(next_revenue, 0.75) AS bound FROM o JOIN n ON next_month <= fold GROUP BY 1),
+  t AS (SELECT fold, next_revenue > 0 AS pays, next_revenue >= bound AS high FROM q JOIN n ON month = fold WHERE next_revenue IS NOT NULL)
+  SELECT fold, target, count(*) AS "rows", count(*) FILTER (label) AS positives, {NO_GAPS} FROM (SELECT fold, 'conversion_target' AS target, pays AS label FROM t UNION ALL SELECT fold, 'high_value_target', high FROM t) GROUP BY 1, 2""",
+  rnd=" ".join(f"gap_{m}" for m in MEASURES), digits=6)
 def in05_report(spark, d):
-    return I.lead_quality_report(cut(months(spark, d)), I.SMALL)
+    return _classifier_check(spark, I.heldout_lead_quality(cut(months(spark, d)), size=I.SMALL))
 
 
-@REG.add("in08_classifier_quality")
+@REG.add("in08_classifier_quality", "ord", f"""WITH o AS (SELECT DISTINCT last_day(ds) AS fold FROM ord ORDER BY 1 DESC LIMIT 3),
+  x AS (SELECT fold, profile_id, y, ds, max(ds) OVER (PARTITION BY fold) - ds AS b FROM o JOIN ord ON ds <= fold WHERE profile_id IS NOT NULL),
+  p AS (SELECT fold, profile_id, sum(y) AS lifetime, coalesce(sum(y) FILTER (b <= 60), 0) AS recent, coalesce(sum(y) FILTER (b > 60 AND b <= 120), 0) AS prior, min(b) AS recency FROM x GROUP BY 1, 2),
+  k AS (SELECT p.*, (recent - prior) / greatest(abs(prior), 1) AS trend FROM p JOIN (SELECT fold, quantile_cont(lifetime, 0.75) AS q FROM p GROUP BY 1) USING (fold) WHERE lifetime >= q)
+  SELECT fold, target, count(*) AS "rows", count(*) FILTER (label) AS positives, {NO_GAPS} FROM (SELECT fold, 'cooling_target' AS target, trend <= -0.15 OR recency >= 45 AS label FROM k
+    UNION ALL SELECT fold, 'reactivation_target', prior > recent AND recency <= 90 FROM k UNION ALL SELECT fold, 'drop_target', trend <= -0.3 FROM k) GROUP BY 1, 2""",
+  rnd=" ".join(f"gap_{m}" for m in MEASURES), digits=6)
 def in08_report(spark, d):
-    return I.behavior_report(cut(I.profile_behavior(A.revenue_orders(spark, d))), I.SMALL)
+    return _classifier_check(spark, I.heldout_behavior(cut(A.revenue_orders(spark, d)), size=I.SMALL))
 
 
 @REG.add("in05_lead_quality")
@@ -193,7 +237,7 @@ def _folder(spark, name):
 
 @REG.add("in15_model_artefact")
 def in15(spark, d):
-    _, _, model = I.opportunity_ranking(cut(months(spark, d)), I.SMALL)
+    _, model = I.opportunity_ranking(cut(months(spark, d)), I.SMALL)
     path = _folder(spark, "model")
     I.save_model(model, path, "ranking", I.MONTH_FEATURES, {"target": "next month's class"})
     return spark.read.json(f"{path}/ranking_meta")

@@ -9,11 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -24,6 +22,8 @@ from revcast.functions.frames import by_series, first_rows, newest_first, rollin
 from revcast.functions.quantiles import exact_quantiles, median_of
 from revcast.functions.ranking import running, shared_rank
 from revcast.functions.scalars import clip, dimension_value, safe_divide
+from revcast.operators import heldout
+from revcast.session import cut
 
 SEED = 42
 
@@ -117,8 +117,8 @@ def risk_scores(frame: DataFrame) -> DataFrame:
     return spread.join(now, ["dimension_type", "dimension"]).select("dimension_type", "dimension", "volatility", risk.alias("risk_score"))
 
 
-def opportunity_ranking(frame: DataFrame, size: ModelSize = FULL) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """(ranked latest month per dimension value, quality of the ranking, model)."""
+def opportunity_ranking(frame: DataFrame, size: ModelSize = FULL) -> tuple[DataFrame, PipelineModel]:
+    """(ranked latest month per dimension value, model); ``heldout_ranking`` tells how good such rankings are."""
     names = _features(frame, MONTH_FEATURES)
     train = rank_labels(frame).na.drop(subset=names)
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=size.rounds, maxDepth=size.depth, stepSize=size.rate, seed=SEED)
@@ -131,20 +131,34 @@ def opportunity_ranking(frame: DataFrame, size: ModelSize = FULL) -> tuple[DataF
         "dimension_type", "dimension", "rank", F.col("prediction").alias("ranking_score"), "rank_pct",
         _recommendation(F.col("rank_pct"), F.col("risk_score")).alias("recommendation"), *names, "risk_score",
     )
-    return ranked, ranking_quality(model.transform(train).select("label", "prediction", "month", "dimension_type", "dimension")), model
-
-
-def ranking_quality(scored: DataFrame) -> DataFrame:
-    """One row: discounted gain of the predicted order against the ideal one, and capture of the top fifth."""
-    ties = ["month", "dimension_type", "dimension"]
-    by_score = running(scored.select("label", "prediction", *ties), [F.desc("prediction"), *[F.col(c) for c in ties]])
-    by_score = by_score.withColumn("p", F.col("before") + 1).drop("before", "whole")
-    df = running(by_score, [F.desc("label"), *[F.col(c) for c in ties]]).select("label", "p", (F.col("before") + 1).alias("i"), F.col("whole").alias("n"))
-    cut = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
-    return df.agg(
-        F.try_divide(F.sum(F.col("label") / F.log2(F.col("p") + 1)), F.sum(F.col("label") / F.log2(F.col("i") + 1))).alias("ndcg"),
-        (F.count(F.when((F.col("p") <= cut) & (F.col("i") <= cut), 1)) / F.max(cut)).alias("top_bucket_capture"),
-    )
+    return ranked, model
+
+
+def known_by(frame: DataFrame) -> DataFrame:
+    """Add ``next_month``: when the outcome of a row becomes known."""
+    return frame.withColumn("next_month", F.lead("month").over(by_series("dimension_type", "dimension", order="month")))
+
+
+def heldout_ranking(frame: DataFrame, folds: int = 3, size: ModelSize = FULL) -> DataFrame:
+    """Stored scores (fold, dimension_type, dimension, label, prediction) of the ranking at the latest months with an outcome.
+
+    The model of a month is fitted on rows whose outcome lies in that month or before it, with classes worked out on those rows
+    alone.  A month without such rows is left out.
+    """
+    names = _features(frame, MONTH_FEATURES)
+    dated = cut(known_by(frame))
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=size.rounds, maxDepth=size.depth, stepSize=size.rate, seed=SEED)
+    columns = ["dimension_type", "dimension", "label", "prediction"]
+
+    def scored(month):
+        train = rank_labels(dated.filter(F.col("next_month") <= F.lit(month))).na.drop(subset=names)
+        rows = rank_labels(dated.filter(F.col("month") == F.lit(month)))
+        if train.isEmpty():
+            return rows.withColumn("prediction", F.lit(0.0)).select(F.lit(month).alias("fold"), *columns).limit(0)
+        return cut(Pipeline(stages=_stages(names, gbt)).fit(train).transform(rows).select(F.lit(month).alias("fold"), *columns))
+
+    months = heldout.origins(dated.filter("next_revenue IS NOT NULL"), "month", folds)
+    return heldout.union_all(heldout.side_by_side([lambda m=m: scored(m) for m in months]))
 
 
 # ---- classifiers --------------------------------------------------------------------------------
@@ -170,53 +184,66 @@ def add_probability(df: DataFrame, model: PipelineModel | None, target: str, nam
     return model.transform(df).withColumn(name, vector_to_array(f"{target}_prob")[1]).select(*keep, name)
 
 
-def classifier_quality(model: PipelineModel, train: DataFrame, target: str) -> DataFrame:
-    """One row: area under the curve, log loss, precision, recall and F1 on the training rows."""
-    scored = model.transform(train).withColumn("p", vector_to_array(f"{target}_prob")[1])
-    auc = BinaryClassificationEvaluator(labelCol=target, rawPredictionCol=f"{target}_raw").evaluate(scored)
-    p = clip("p", 1e-5, 1 - 1e-5)
-    hit, said = F.col(target) == 1, F.col("p") >= 0.5
-    facts = scored.agg(
-        F.avg(F.when(hit, -F.ln(p)).otherwise(-F.ln(1 - p))).alias("log_loss"), F.count(F.when(hit & said, 1)).alias("tp"),
-        F.count(F.when(said, 1)).alias("said"), F.count(F.when(hit, 1)).alias("hits"),
-    )
-    zero = F.lit(0.0)
-    return facts.select(
-        F.lit(float(auc)).alias("auc"), "log_loss", F.coalesce(F.try_divide("tp", "said"), zero).alias("precision"),
-        F.coalesce(F.try_divide("tp", "hits"), zero).alias("recall"),
-        F.coalesce(F.try_divide(2 * F.col("tp"), F.col("said") + F.col("hits")), zero).alias("f1"),
-    )
+def heldout_probabilities(train: DataFrame, rows: DataFrame, names: list[str], target: str, ids: Sequence[str], size: ModelSize = FULL) -> DataFrame:
+    """(ids, target, label, probability) of rows that the classifier was not fitted on; the share of the class where it met only one."""
+    share = train.agg(F.avg(target)).first()[0]
+    out = add_probability(rows, fit_classifier(train, names, target, size), target, "probability", F.lit(share).cast("double"))
+    return out.select(*ids, F.lit(target).alias("target"), F.col(target).alias("label"), "probability").filter("probability IS NOT NULL")
 
 
-def lead_quality_targets(frame: DataFrame) -> DataFrame:
-    """Known months with: next revenue is positive, next revenue is in the top quarter."""
+def lead_quality_targets(frame: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Known months with: next revenue is positive, next revenue is in the top quarter (of ``frame``, whichever ``rows`` are judged)."""
     known = frame.filter("next_revenue IS NOT NULL")
     q = exact_quantiles(known, "next_revenue", [0.75])
-    return known.join(F.broadcast(q), how="left").select(
-        *known.columns, (F.col("next_revenue") > 0).cast("double").alias("conversion_target"),
+    judged = known if rows is None else rows.filter("next_revenue IS NOT NULL")
+    return judged.join(F.broadcast(q), how="left").select(
+        *judged.columns, (F.col("next_revenue") > 0).cast("double").alias("conversion_target"),
         (F.col("next_revenue") >= F.col("q0")).cast("double").alias("high_value_target"),
     )
 
 
-def classifier_report(train: DataFrame, names: list[str], targets: Sequence[str], size: ModelSize = FULL) -> DataFrame | None:
-    """Quality of the boosted classifier of each target that has both classes; None where none has."""
-    parts = []
-    for target in targets:
-        model = fit_classifier(train, names, target, size)
-        if model is not None:
-            parts.append(classifier_quality(model, train, target).select(F.lit(target).alias("target"), "*"))
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+def heldout_lead_quality(frame: DataFrame, folds: int = 3, size: ModelSize = FULL) -> DataFrame:
+    """Stored scores (fold, target, dimension_type, dimension, label, probability) at the latest months with an outcome.
 
-
-def lead_quality_report(frame: DataFrame, size: ModelSize = FULL) -> DataFrame | None:
+    Models and the bound of the top quarter come from rows whose outcome lies in that month or before it.
+    """
     names = _features(frame, [n for n in MONTH_FEATURES if n != "y"])
-    return classifier_report(lead_quality_targets(frame), names, ("conversion_target", "high_value_target"), size)
+    dated = cut(known_by(frame))
 
+    def scored(month, target):
+        past = dated.filter(F.col("next_month") <= F.lit(month))
+        train, rows = lead_quality_targets(past), lead_quality_targets(past, dated.filter(F.col("month") == F.lit(month)))
+        out = heldout_probabilities(train, rows, names, target, ["dimension_type", "dimension"], size)
+        return cut(out.select(F.lit(month).alias("fold"), "*"))
 
-def behavior_report(frame: DataFrame, size: ModelSize = FULL) -> DataFrame | None:
-    df = behavior_targets(frame)
-    df = df.select(*[F.col(c).cast("double").alias(c) if c in USER_FEATURES else F.col(c) for c in df.columns])
-    return classifier_report(df, USER_FEATURES, ("cooling_target", "reactivation_target", "drop_target"), size)
+    months = heldout.origins(dated.filter("next_revenue IS NOT NULL"), "month", folds)
+    jobs = [lambda m=m, t=t: scored(m, t) for m in months for t in ("conversion_target", "high_value_target")]
+    return heldout.union_all(heldout.side_by_side(jobs))
+
+
+BEHAVIOR_TARGETS = ("cooling_target", "reactivation_target", "drop_target")
+
+
+def heldout_behavior(table: DataFrame, folds: int = 3, size: ModelSize = FULL, profile: str = "profile_id") -> DataFrame:
+    """Stored scores (fold, target, profile_id, label, probability) of the user models at the latest month ends.
+
+    Users are described as they were at a month's end; the model comes from the end of the month before.
+    """
+    ended = table.select(F.last_day("ds").alias("end"))
+    ends = heldout.origins(ended, "end", folds + 1)
+
+    def users_at(end):
+        df = behavior_targets(profile_behavior(table.filter(F.col("ds") <= F.lit(end)), profile))
+        return cut(df.select(*[F.col(c).cast("double").alias(c) if c in USER_FEATURES else F.col(c) for c in df.columns]))
+
+    at = dict(zip(ends, heldout.side_by_side([lambda e=e: users_at(e) for e in ends])))
+
+    def scored(before, end, target):
+        out = heldout_probabilities(at[before], at[end], USER_FEATURES, target, ["profile_id"], size)
+        return cut(out.select(F.lit(end).alias("fold"), "*"))
+
+    jobs = [lambda a=a, b=b, t=t: scored(a, b, t) for a, b in zip(ends[:-1], ends[1:]) for t in BEHAVIOR_TARGETS]
+    return heldout.union_all(heldout.side_by_side(jobs))
 
 
 def lead_quality(frame: DataFrame, size: ModelSize = FULL) -> DataFrame:
@@ -243,7 +270,7 @@ def lead_quality(frame: DataFrame, size: ModelSize = FULL) -> DataFrame:
 
 
 def explain_frame(daily: DataFrame) -> DataFrame:
-    """Daily series with the inputs of the explain model: helpers of the day, past revenue, calendar."""
+    """Daily series with the inputs of the explain model: helpers of the day, past revenue and yield of leads, calendar."""
     w = by_series()
     extra = {
         "lag_1": F.lag("y", 1).over(w), "lag_7": F.lag("y", 7).over(w), "mean_7": rolling("y", w, 7, "avg", 3),
@@ -253,6 +280,9 @@ def explain_frame(daily: DataFrame) -> DataFrame:
     for c in ("leads", "cost"):
         if c in daily.columns:
             extra[f"{c}_log1p"] = F.log1p(clip(c, 0.0))
+    if "leads" in daily.columns:
+        month = w.rowsBetween(-28, -1)
+        extra["revenue_per_lead"] = safe_divide(F.sum("y").over(month), F.sum("leads").over(month))
     keep = [c for c in ("leads", "cost") if c in daily.columns]
     return daily.filter("y IS NOT NULL").select("series_id", "ds", "y", *keep, *[c.alias(n) for n, c in extra.items()])
 
@@ -281,8 +311,8 @@ def fit_explain_model(daily: DataFrame, size: ModelSize = FULL, linear: bool = F
         estimator = GBTRegressor(featuresCol="features", labelCol="y", maxIter=size.rounds, maxDepth=size.depth, stepSize=size.rate, seed=SEED)
     pipeline = Pipeline(stages=_stages(names, estimator))
     span = frame.agg(F.min("ds").alias("a"), F.max("ds").alias("b")).first()
-    cut = span["a"] + (span["b"] - span["a"]) * 0.8
-    held = pipeline.fit(frame.filter(F.col("ds") <= F.lit(cut))).transform(frame.filter(F.col("ds") > F.lit(cut)))
+    split = span["a"] + (span["b"] - span["a"]) * 0.8
+    held = pipeline.fit(frame.filter(F.col("ds") <= F.lit(split))).transform(frame.filter(F.col("ds") > F.lit(split)))
     err = F.col("prediction") - F.col("y")
     metrics = held.agg(
         F.count("*").alias("holdout_rows"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
@@ -444,14 +474,16 @@ SIMULATIONS = [
 ]
 
 
-def _simulate(e: Explained, cases: list[tuple[str, float, float]], rows: int = 30) -> DataFrame:
-    """Mean prediction of the latest rows under changed spend and leads, one row per case."""
+def _simulate(e: Explained, cases: list[tuple[str, float, float, float]], rows: int = 30) -> DataFrame:
+    """Mean prediction of the latest rows under changed spend, leads and yield of leads, one row per case."""
     latest = newest_first(e.frame, ["series_id"]).filter(F.col("rn_desc") <= rows).drop("rn_desc")
-    cells = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(float(s)).alias("sm"), F.lit(float(v)).alias("lm")) for n, s, v in cases])
+    cells = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(float(s)).alias("sm"), F.lit(float(v)).alias("lm"), F.lit(float(q)).alias("qm")) for n, s, v, q in cases])
     sim = latest.select("*", F.explode(cells).alias("k")).select("*", "k.*").drop("k")
     for c, m in (("cost", "sm"), ("leads", "lm")):
         if c in sim.columns:
             sim = sim.withColumn(c, F.coalesce(c, F.lit(0.0)) * F.col(m)).withColumn(f"{c}_log1p", F.log1p(clip(c, 0.0)))
+    if "revenue_per_lead" in sim.columns:
+        sim = sim.withColumn("revenue_per_lead", F.coalesce("revenue_per_lead", F.lit(0.0)) * F.col("qm"))
     cost = F.avg("cost") if "cost" in sim.columns else F.lit(None).cast("double")
     return e.model.transform(sim).groupBy("case").agg(
         F.avg(F.greatest("prediction", F.lit(0.0))).alias("projected_revenue"), cost.alias("spend"),
@@ -461,7 +493,7 @@ def _simulate(e: Explained, cases: list[tuple[str, float, float]], rows: int = 3
 
 def response_curve(e: Explained) -> DataFrame:
     """Revenue, ROAS and marginal ROAS by change of spend, with zone and label."""
-    out = _simulate(e, [(f"{m:.2f}", m, 1 + (m - 1) * LEADS_FOLLOW) for m in MULTIPLIERS]).withColumn("multiplier", F.col("case").cast("double"))
+    out = _simulate(e, [(f"{m:.2f}", m, 1 + (m - 1) * LEADS_FOLLOW, 1.0) for m in MULTIPLIERS]).withColumn("multiplier", F.col("case").cast("double"))
     base = out.filter("multiplier = 1.0").select(F.col("projected_revenue").alias("base"), F.col("spend").alias("base_spend"))
     df = out.join(F.broadcast(base), how="left")
     added = F.col("spend") - F.col("base_spend")
@@ -495,7 +527,7 @@ def scale_headroom(curve: DataFrame) -> DataFrame:
 def scenario_simulation(e: Explained) -> DataFrame:
     """Projected revenue of each scenario with a band of one residual spread and an interpretation."""
     quality = F.create_map(*[x for n, _, _, q in SIMULATIONS for x in (F.lit(n), F.lit(float(q)))])
-    out = _simulate(e, [(n, s, v) for n, s, v, _ in SIMULATIONS])
+    out = _simulate(e, SIMULATIONS)
     base = out.filter(F.col("case") == SIMULATIONS[0][0]).select(F.col("projected_revenue").alias("base"), F.col("spread").alias("sd"))
     p = F.col("projected_revenue")
     return out.join(F.broadcast(base), how="left").select(
@@ -638,8 +670,8 @@ def build_intelligence(table: DataFrame, daily: DataFrame, layers: Sequence[str]
         out.tables["local_explanations"] = local_explanation(parts)
 
     def run_ranking():
-        ranked, quality, _ = opportunity_ranking(months, size)
-        out.tables["ranking"], out.tables["ranking_quality"] = ranked, quality
+        out.tables["ranking"] = opportunity_ranking(months, size)[0]
+        out.tables["ranking_quality"] = heldout.ranking_quality(heldout_ranking(months, size=size))
 
     def run_returns():
         out.tables["returns"] = response_curve(explained(False))
