@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,8 @@ SHINGLES = PARAGRAPH - SHINGLE_WORDS + 1
 THRESHOLD = 0.8
 # alike paragraphs differ in five of 47 shingles at most, so of one word changed inside they keep 21 shingles in a row: 25 words
 GRAM, STRETCH = 9, 25
-BLOCK = 256
+# bands of two minima: paragraphs alike at 0.8 meet in one of them with probability 1 - (1 - 0.64) ** 12, over 0.99999
+BANDS, ROWS = 12, 2
 SEEDS = (np.uint64(0x51ED270B7A1E3C95), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -53,13 +53,10 @@ class Anchors:
         gram = mix((mix(s[: len(s) - GRAM + SHINGLE_WORDS] ^ SEEDS[0]) + s[GRAM - SHINGLE_WORDS :]) ^ SEEDS[1])
         low = _lowest(gram, STRETCH - GRAM + 1)
         whole = (words.doc[: len(low)] == words.doc[STRETCH - 1 :]) & (words.counts()[words.doc[: len(low)]] >= PARAGRAPH)
-        whole[1:] &= (low[1:] != low[:-1]) | ~whole[:-1]
-        anchor = np.flatnonzero(whole)
-        wanted, todo = low[anchor], np.arange(len(anchor))
-        while len(todo):
-            todo = todo[gram[anchor[todo]] != wanted[todo]]
-            anchor[todo] += 1
-        self.anchor, self.key = anchor, wanted
+        # a place is an anchor if the greatest of the minima of its runs is its own value; equal values in one run all are
+        low = np.pad(np.where(whole, low, np.uint64(0)), STRETCH - GRAM)
+        self.anchor = np.flatnonzero((gram == ~_lowest(~low, STRETCH - GRAM + 1)) & (gram > 0))
+        self.key = gram[self.anchor]
 
 
 def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +143,81 @@ def alike_runs(a: np.ndarray, b: np.ndarray, p: int, q: int, threshold: float) -
     return int(s.min()) + low, int(s.max()) + low + PARAGRAPH, int(t.min()) + to, int(t.max()) + to + PARAGRAPH
 
 
-FOUND = "a long, a_start int, a_end int, b long, b_start int, b_end int, failed long"
+FOUND = "a long, a_start int, a_end int, b long, b_start int, b_end int, a_from int, a_to int, failed long, pos array<int>"
+
+
+FEW_PAIRS, ROWS_AT_ONCE = 64, 512
+
+
+class _Around:
+    """Places of a text by the words that paragraphs around them have: ``first`` place and ``places`` of each different content, ``sets`` of its 32-bit shingle hashes, ``single`` if none repeats."""
+
+    def __init__(self, words: np.ndarray, places: list[int]):
+        found: dict[tuple[int, bytes], list[int]] = {}
+        for p in places:
+            low = max(0, p - SHINGLES + 1)
+            found.setdefault((p - low, words[low : p + PARAGRAPH].tobytes()), []).append(p)
+        self.places = [np.array(x) for x in found.values()]
+        self.sets, single = [], []
+        for _, content in found:
+            x = _shingled(np.frombuffer(content, dtype=np.uint64))
+            own = np.unique((x >> np.uint64(32)).astype("<u4"))
+            self.sets.append(own.tobytes())
+            single.append(len(own) == len(x))
+        self.single = np.array(single, dtype=bool)
+
+
+def verified_runs(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, list[int], list[int]]], threshold: float) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, list[int]]]]:
+    """(runs of ``a`` and ``b`` that are alike, anchors with the places of ``a`` that are in none).
+
+    Diagonals that several anchors lie on come first, the fullest one before the others, and are passed over if all their places are
+    in runs that are known already; anchors with many pairs of places make none.  What is left is compared as sets of
+    shingles, places of one content once: a product of 0/1 matrices tells which can be alike at all, so a line that both texts
+    repeat costs no comparison of paragraphs for each pair of its places.
+    """
+    out = []
+    inside, within = np.zeros(len(a) + 1, dtype=bool), np.zeros(len(b) + 1, dtype=bool)
+
+    def add(s, e, u, v):
+        out.append((s, e, u, v))
+        inside[s:e] = within[u:v] = True
+
+    anchors = [(k, [p for p in x if p < len(a)], [q for q in y if q < len(b)]) for k, x, y in anchors]
+    pairs = [np.stack(np.meshgrid(x, y, indexing="ij"), -1).reshape(-1, 2) for _, x, y in anchors if 0 < len(x) * len(y) <= FEW_PAIRS]
+    if pairs:
+        both = np.concatenate(pairs).astype(np.int64)
+        shift, at, full = np.unique(both[:, 0] - both[:, 1], return_inverse=True, return_counts=True)
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(full)
+        for d in np.argsort(-full, kind="stable"):
+            if full[d] < 2:
+                break
+            on = both[order[ends[d] - full[d] : ends[d]]]
+            if not (inside[on[:, 0]] & within[on[:, 1]]).all():
+                for s, e in shared_runs(a, b, int(shift[d]), threshold):
+                    add(s, e, s - int(shift[d]), e - int(shift[d]))
+    least = int(np.ceil(threshold * 2 * SHINGLES / (1 + threshold) - 1e-9))
+    for _, x, y in anchors:
+        if not x or not y or (inside[x].all() and within[y].all()):
+            continue
+        left, right = _Around(a, x), _Around(b, y)
+        for low in range(0, len(left.sets), ROWS_AT_ONCE):
+            for to in range(0, len(right.sets), ROWS_AT_ONCE):
+                common = shared_items(left.sets[low : low + ROWS_AT_ONCE], right.sets[to : to + ROWS_AT_ONCE])
+                wanted = np.where(left.single[low : low + ROWS_AT_ONCE, None] & right.single[None, to : to + ROWS_AT_ONCE], least, 1)
+                for i, j in np.argwhere(common >= wanted):
+                    ps, qs = left.places[low + i], right.places[to + j]
+                    if inside[ps].all() and within[qs].all():
+                        continue
+                    p, q = int(ps[0]), int(qs[0])
+                    if _stretched(a, b, p, q) and (near := alike_runs(a, b, p, q, threshold)):
+                        s, e, u, v = near[0] - p, near[1] - p, near[2] - q, near[3] - q
+                        for p2, q2 in [*((int(k), q) for k in ps), *((p, int(k)) for k in qs)]:
+                            if not (inside[p2] and within[q2]):
+                                add(p2 + s, p2 + e, q2 + u, q2 + v)
+                                for low_end, high_end in shared_runs(a, b, p2 - q2, threshold):
+                                    add(low_end, high_end, low_end - p2 + q2, high_end - p2 + q2)
+    return out, [(k, rest) for k, x, _ in anchors if (rest := [p for p in x if not inside[p]])]
 
 
 def _verify_step(threshold: float):
@@ -159,35 +230,23 @@ def _verify_step(threshold: float):
                 for row, (a, b, anchors) in enumerate(zip(some.column("a").to_pylist(), some.column("b").to_pylist(), some.column("anchors").to_pylist(), strict=True)):
                     la, lb = int(left.first[row]), int(right.first[row])
                     wa, wb = left.hash[la : left.first[row + 1]], right.hash[lb : right.first[row + 1]]
-                    shifts = {p - q for x in anchors for p in x["pos"] for q in x["head_pos"]}
-                    runs = {shift: shared_runs(wa, wb, shift, threshold) for shift in shifts}
                     zero, one = lp[left.at[row]], rp[right.at[row]]
-
-                    def span(s, e, u, v):
-                        return (a, lp[left.start[la + s]] - zero, lp[left.end[la + e - 1]] - zero, b, rp[right.start[lb + u]] - one, rp[right.end[lb + v - 1]] - one, None)
-
-                    out += [span(s, e, s - shift, e - shift) for shift, own in runs.items() for s, e in own]
-                    inside, within = np.zeros(len(wa) + 1, dtype=bool), np.zeros(len(wb) + 1, dtype=bool)
-                    for shift, own in runs.items():
-                        for s, e in own:
-                            inside[s:e] = within[s - shift : e - shift] = True
-                    for x in anchors:
-                        for p, q in product(x["pos"], x["head_pos"]):
-                            if p < len(wa) and q < len(wb) and not (inside[p] and within[q]) and _stretched(wa, wb, p, q) and (near := alike_runs(wa, wb, p, q, threshold)):
-                                out.append(span(*near))
-                                inside[near[0] : near[1]] = within[near[2] : near[3]] = True
-                        if not all(inside[p] for p in x["pos"] if p < len(wa)):
-                            out.append((a, None, None, b, None, None, x["key"]))
+                    runs, rest = verified_runs(wa, wb, [(x["key"], x["pos"], x["head_pos"]) for x in anchors], threshold)
+                    for s, e, u, v in runs:
+                        out.append((a, lp[left.start[la + s]] - zero, lp[left.end[la + e - 1]] - zero, b, rp[right.start[lb + u]] - one, rp[right.end[lb + v - 1]] - one, s, e, None, None))
+                    out += [(a, None, None, b, None, None, None, None, key, places) for key, places in rest]
                 yield _found_batch(out)
 
     return step
 
 
 def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    plain = [[None if v is None else int(v) for v in c] for c in columns]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], names=["a", "a_start", "a_end", "b", "b_start", "b_end", "failed"])
+    number, narrow = pa.int64(), pa.int32()
+    kinds = [number, narrow, narrow, number, narrow, narrow, narrow, narrow, number, pa.list_(narrow)]
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    plain = [[v if v is None or isinstance(v, list) else int(v) for v in c] for c in columns]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], names=names)
 
 
 def _stretch_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,64 +282,75 @@ def _near_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["doc_id", "pos", "near"])
 
 
-def _block_step(threshold: float):
-    """(a, b, pos, head_pos): for each place of two blocks the first document before its own that is alike around a place of the other block."""
+def band_keys(words: np.ndarray) -> np.ndarray:
+    """Different MinHash band keys of all paragraphs of the given words: ``ROWS`` least shingle hashes each, in ``BANDS`` bands."""
+    x = _shingled(words)
+    if len(x) < SHINGLES:
+        return np.zeros(0, dtype=np.uint64)
+    out = []
+    for band in range(BANDS):
+        key = np.full(len(x) - SHINGLES + 1, band + 1, dtype=np.uint64)
+        for row in range(ROWS):
+            key = mix(key * np.uint64(31) + _lowest(mix(x ^ mix(SEEDS[1] + np.uint64([band * ROWS + row]))), SHINGLES))
+        out.append(np.unique(key))
+    return np.concatenate(out)
+
+
+def _band_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, doc_id, pos, bad): the band keys of the paragraphs around each place."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 4096):
+            some = batch.slice(low, 4096)
+            keys = [band_keys(np.frombuffer(near, dtype=np.uint64)) for near in some.column("near").to_pylist()]
+            of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+            yield pa.record_batch([pa.array(flat.view(np.int64)), *[some.column(c).take(pa.array(of)) for c in ("doc_id", "pos", "bad")]], names=["band", "doc_id", "pos", "bad"])
+
+
+def _alike_step(threshold: float):
+    """(a, b, pos, head_pos): the rows whose two places have paragraphs around them that are alike."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                x, y = (sorted(side.as_py(), key=lambda i: (i["doc_id"], i["pos"])) for side in (x, y))
-                words = [[np.frombuffer(i["near"], dtype=np.uint64) for i in side] for side in (x, y)]
-                items = [[np.unique(_shingled(w) >> np.uint64(32)).astype("<u4") for w in side] for side in words]
-                common = shared_items(*[[i.tobytes() for i in side] for side in items])
-                # shingles that repeat leave smaller sets, of which fewer have to be common
-                least = [np.array([(PARAGRAPH - 9) if len(i) == len(w) - SHINGLE_WORDS + 1 else 1 for i, w in zip(own, side, strict=True)]) for own, side in zip(items, words, strict=True)]
-                may = common >= np.minimum(least[0][:, None], least[1][None, :])
-                out, known = set(), {}
-
-                def alike(i, j):
-                    if (i, j) not in known:
-                        at = [min(side[k]["pos"], SHINGLES - 1) for side, k in ((x, i), (y, j))]
-                        known[i, j] = alike_runs(words[0][i], words[1][j], *at, threshold) is not None
-                    return known[i, j]
-
-                for i in range(len(x)):
-                    j = next((j for j in np.flatnonzero(may[i]).tolist() if y[j]["doc_id"] < x[i]["doc_id"] and alike(i, j)), None)
-                    if j is not None:
-                        out.add((x[i]["doc_id"], y[j]["doc_id"], x[i]["pos"], y[j]["pos"]))
-                for j in range(len(y)):
-                    i = next((i for i in np.flatnonzero(may[:, j]).tolist() if x[i]["doc_id"] < y[j]["doc_id"] and alike(i, j)), None)
-                    if i is not None:
-                        out.add((y[j]["doc_id"], x[i]["doc_id"], y[j]["pos"], x[i]["pos"]))
-                columns = list(zip(*sorted(out), strict=True)) if out else [()] * 4
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["a", "b", "pos", "head_pos"])
+            x, y = (batch.column(c).to_pylist() for c in ("near", "near_b"))
+            at = [np.minimum(batch.column(c).to_numpy(), SHINGLES - 1) for c in ("pos", "head_pos")]
+            keep = [alike_runs(np.frombuffer(u, dtype=np.uint64), np.frombuffer(v, dtype=np.uint64), int(p), int(q), threshold) is not None for u, v, p, q in zip(x, y, *at, strict=True)]
+            yield batch.select(["a", "b", "pos", "head_pos"]).filter(pa.array(keep, pa.bool_()))
 
     return step
 
 
-def _among(failed: DataFrame, shared: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, anchors) of the rows that are unlike the head of their key with the other rows of it.
+def _among(failed: DataFrame, spans: DataFrame, shared: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, anchors) between places that are unlike the head of their key.
 
-    Only rows with a run of 25 words in common, as alike paragraphs have around the key, are compared, in blocks of about
-    ``BLOCK`` by ``BLOCK``; runs that the same places have are one group.
+    Places in a run that was found with another head are settled.  The others, and what shares their key, are kept
+    if they have 25 words around them in common with another document, as alike paragraphs do.  The paragraphs around these get MinHash
+    bands; each place is compared with the first one of its bands.  Paragraphs that have only a common line in
+    common meet in bands whose minima all lie in it, alike ones in others too, so no pairs of a group are made.
     """
-    keys = failed.select(F.col("failed").alias("k")).distinct()
-    bad = failed.select(F.col("a").alias("i"), F.col("failed").alias("f")).distinct().withColumn("bad", F.lit(True))
-    rows = shared.join(keys, F.col("key") == F.col("k")).join(bad, (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("f")), "left")
-    rows = rows.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("pos", F.coalesce("bad", F.lit(False)).alias("bad"))).alias("anchors"))
+    known = spans.groupBy(F.col("a").alias("i")).agg(F.collect_set(F.struct("a_from", "a_to")).alias("runs"))
+    open_places = failed.select("a", F.col("failed").alias("f"), F.explode("pos").alias("p")).distinct().join(known, F.col("a") == F.col("i"), "left")
+    settled = F.exists(F.coalesce("runs", F.array().cast("array<struct<a_from:int,a_to:int>>")), lambda r: (r["a_from"] <= F.col("p")) & (F.col("p") < r["a_to"]))
+    bad = stored(open_places.where(~settled).select("a", "f", "p"), "unlike")
+    keys = bad.select(F.col("f").alias("k")).distinct()
+    rows = shared.join(keys, F.col("key") == F.col("k")).select("doc_id", "key", F.explode("pos").alias("pos"))
+    rows = rows.join(bad.withColumn("bad", F.lit(True)), (F.col("doc_id") == F.col("a")) & (F.col("key") == F.col("f")) & (F.col("pos") == F.col("p")), "left")
+    rows = rows.groupBy(F.col("doc_id").alias("d"), "pos").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad"))
+    rows = rows.groupBy("d").agg(F.collect_list(F.struct(F.array("pos").alias("pos"), "bad")).alias("anchors"))
     runs = stored(texts.join(rows, F.col("doc_id") == F.col("d")).select("doc_id", "text", "anchors").mapInArrow(_stretch_step, "stretch long, doc_id long, pos int, bad boolean"), "stretches")
-    groups = runs.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "pos").cast("decimal(20,0)")).alias("h"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("bad").alias("any_bad")).where("low < high and any_bad")
-    groups = groups.groupBy("n", "h").agg(F.min("stretch").alias("s")).select("s", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    some = stored(runs.join(groups, F.col("stretch") == F.col("s")).select("stretch", "doc_id", "pos", "bad", "blocks"), "grouped")
-    places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("pos").alias("places"))
+    groups = runs.groupBy("stretch").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("bad").alias("any_bad")).where("low < high and any_bad").select(F.col("stretch").alias("s"))
+    some = stored(runs.join(groups, F.col("stretch") == F.col("s"), "left_semi").groupBy("doc_id", "pos").agg(F.max("bad").alias("bad")), "grouped")
+    places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("pos").alias("places"))
     near = stored(texts.join(places, F.col("doc_id") == F.col("d")).select("doc_id", "text", "places").mapInArrow(_near_step, "doc_id long, pos int, near binary"), "near")
-    filled = some.join(near, ["doc_id", "pos"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "pos"), F.col("blocks")))
-    entry = F.struct("doc_id", "pos", "near")
-    ys = filled.groupBy("stretch", "block").agg(F.collect_list(entry).alias("ys"))
-    xs = filled.where("bad").groupBy("stretch", "block", "blocks").agg(F.collect_list(entry).alias("xs"))
-    xs = xs.select(F.col("stretch").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"), "xs")
-    links = ys.join(xs, (F.col("stretch") == F.col("s")) & (F.col("block") == F.col("to"))).select("xs", "ys").mapInArrow(_block_step(threshold), "a long, b long, pos int, head_pos int")
-    return links.distinct().groupBy("a", "b").agg(F.collect_list(F.struct(F.lit(0).cast("long").alias("key"), F.array("pos").alias("pos"), F.array("head_pos").alias("head_pos"))).alias("anchors"))
+    banded = stored(some.join(near, ["doc_id", "pos"]).mapInArrow(_band_step, "band long, doc_id long, pos int, bad boolean"), "bands")
+    heads = banded.groupBy(F.col("band").alias("k")).agg(F.min(F.struct("doc_id", "pos", "bad")).alias("head"), F.max("doc_id").alias("last"), F.max("bad").alias("any_bad")).where("head.doc_id < last and any_bad").select("k", "head")
+    pairs = banded.join(heads, F.col("band") == F.col("k")).where((F.col("doc_id") > F.col("head.doc_id")) & (F.col("bad") | F.col("head.bad")))
+    pairs = pairs.select(F.col("doc_id").alias("a"), "pos", F.col("head.doc_id").alias("b"), F.col("head.pos").alias("head_pos")).distinct()
+    other = near.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("near").alias("near_b"))
+    both = pairs.join(near.withColumnRenamed("pos", "q"), (F.col("a") == F.col("doc_id")) & (F.col("pos") == F.col("q"))).select("a", "pos", "b", "head_pos", "near")
+    both = both.join(other, (F.col("b") == F.col("d")) & (F.col("head_pos") == F.col("p"))).select("a", "b", "pos", "head_pos", "near", "near_b")
+    links = both.mapInArrow(_alike_step(threshold), "a long, b long, pos int, head_pos int")
+    return links.groupBy("a", "b").agg(F.collect_list(F.struct(F.lit(0).cast("long").alias("key"), F.array("pos").alias("pos"), F.array("head_pos").alias("head_pos"))).alias("anchors"))
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -307,8 +377,9 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     or left out at most); the least run of nine words by a hash in each run of 25 is a key, so they share a key for certain.
     Runs of a document that share a key are one row with all their places.  Each row is compared with the first document
     of its key: paragraphs around the common words count if their exact shingle overlap reaches the threshold, word for
-    word first and, where that fails, as sets of shingles, so inserted and deleted words do no harm.  Rows that fail
-    there are compared with the other rows of their key that have 25 words around it in common, in blocks.
+    word first and, where that fails, as sets of shingles, so inserted and deleted words do no harm.  Places that are unlike
+    there and in no run found otherwise, such as those of a line that many texts have, get MinHash bands of the paragraphs
+    around them (12 bands of two minima) and are compared with the first place of each band.
 
     Null and empty texts and texts below 51 words have no passages; null ids are left out; a passage that
     repeats inside one document only is not reported; rows that repeat an id count as one document of which
@@ -328,10 +399,10 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
         return stored(both.mapInArrow(_verify_step(threshold), FOUND), "found")
 
     found = verified(pairs)
-    spans = found.where("failed is null").drop("failed")
+    spans = found.where("failed is null").drop("failed", "pos")
     failed = found.where("failed is not null")
     if not failed.isEmpty():
-        spans = spans.unionByName(verified(_among(failed, shared, texts, threshold)).where("failed is null").drop("failed"))
+        spans = spans.unionByName(verified(_among(failed, spans, shared, texts, threshold)).where("failed is null").drop("failed", "pos"))
     spans = stored(spans, "spans")
     later = spans.select(F.col("a").alias("doc_id"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
     earlier = spans.select(F.col("b").alias("doc_id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"))

@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from revcast.llm.passages import _lowest, alike_runs, repeated_passages, shared_runs
+from revcast.llm.passages import BANDS, Anchors, _lowest, alike_runs, band_keys, repeated_passages, shared_runs, verified_runs
+from revcast.llm.words import Words
 from tests.llm.conftest import frame
 
 
@@ -65,11 +67,8 @@ def test_every_verbatim_passage_is_found(lm_spark, corpus):
         assert r["class_id"] <= r["doc_id"]
 
 
-def test_bands_of_unlike_texts(lm_spark, words, monkeypatch):
-    """With one band for all, verbatim passages that the first document lacks come by their content."""
-    from revcast.llm import passages
-
-    monkeypatch.setattr(passages, "SEEDS", passages.SEEDS)
+def test_a_passage_behind_a_common_line(lm_spark, words):
+    """Passages that the first document of their line lacks are found with each other."""
     common, p = words(40, 1), words(60, 2)
     texts = [(i, " ".join(words(70, 50 + i) + common + words(70, 80 + i))) for i in range(6)]
     texts += [(10 + i, " ".join(words(30, 150 + i) + common + p + words(30, 180 + i))) for i in range(4)]
@@ -78,6 +77,40 @@ def test_bands_of_unlike_texts(lm_spark, words, monkeypatch):
     assert {r["doc_id"] for r in rows if r["removed"]} == {11, 12, 13}
 
 
+def test_alike_paragraphs_meet_in_a_band_beside_a_common_line():
+    rng = np.random.default_rng(8)
+    met = specific = 0
+    for _ in range(300):
+        line, rest = rng.integers(0, 2**62, 30, dtype=np.uint64), rng.integers(0, 2**62, 21, dtype=np.uint64)
+        edited = rest.copy()
+        edited[rng.integers(0, 21)] = 7
+        other = np.concatenate([line, rng.integers(0, 2**62, 21, dtype=np.uint64)])
+        x, y, z = (set(band_keys(w).tolist()) for w in (np.concatenate([line, rest]), np.concatenate([line, edited]), other))
+        assert len(x) == BANDS
+        met += bool(x & y)
+        specific += bool((x & y) - z)
+    assert met >= 299 and specific >= 285
+
+
+def test_places_of_a_line_that_repeats():
+    """Texts of one word or of one line over and over, in well under a second for each pair."""
+    def anchors(x, y):
+        sides = []
+        for t in (x, y):
+            w = Words(pa.array([t]))
+            found = Anchors(w)
+            sides.append((w.hash, {int(k): sorted(set(found.anchor[found.key == k].tolist())) for k in np.unique(found.key)}))
+        (wa, left), (wb, right) = sides
+        return verified_runs(wa, wb, [(k, left[k], right[k]) for k in left if k in right], 0.8)
+
+    runs, rest = anchors("na " * 4000, "na " * 3000)
+    assert not rest and set().union(*(range(s, e) for s, e, _, _ in runs)) == set(range(4000)) and set().union(*(range(u, v) for _, _, u, v in runs)) == set(range(3000))
+    line = " ".join(f"line{i}" for i in range(26))
+    mixed = [" ".join(f"{line} " + " ".join(f"{side}{n}x{i}" for i in range(30)) for n in range(200)) for side in "ab"]
+    runs, rest = anchors(*mixed)
+    assert not runs and sum(len(p) for _, p in rest) >= 200
+
+
 def test_copies_with_other_words_between(lm_spark, words):
     p = words(120, 5)
     changed = [*p[:60], "changed", *p[61:]]
