@@ -150,7 +150,7 @@ FEW_PAIRS, ROWS_AT_ONCE = 64, 512
 
 
 class _Around:
-    """Places of a text by the words that paragraphs around them have: ``first`` place and ``places`` of each different content, ``sets`` of its 32-bit shingle hashes, ``single`` if none repeats."""
+    """Places of a text by the words that paragraphs around them have: ``first`` place and ``places`` of each different content, ``sets`` of its 32-bit shingle hashes, ``least`` different shingles that a paragraph there has."""
 
     def __init__(self, words: np.ndarray, places: list[int]):
         found: dict[tuple[int, bytes], list[int]] = {}
@@ -158,13 +158,13 @@ class _Around:
             low = max(0, p - SHINGLES + 1)
             found.setdefault((p - low, words[low : p + PARAGRAPH].tobytes()), []).append(p)
         self.places = [np.array(x) for x in found.values()]
-        self.sets, single = [], []
+        self.sets, least = [], []
         for _, content in found:
             x = _shingled(np.frombuffer(content, dtype=np.uint64))
             own = np.unique((x >> np.uint64(32)).astype("<u4"))
             self.sets.append(own.tobytes())
-            single.append(len(own) == len(x))
-        self.single = np.array(single, dtype=bool)
+            least.append(SHINGLES if len(own) == len(x) else min((len(np.unique(x[i : i + SHINGLES])) for i in range(len(x) - SHINGLES + 1)), default=SHINGLES))
+        self.least = np.array(least)
 
 
 def verified_runs(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, list[int], list[int]]], threshold: float) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, list[int]]]]:
@@ -196,7 +196,6 @@ def verified_runs(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, list[in
             if not (inside[on[:, 0]] & within[on[:, 1]]).all():
                 for s, e in shared_runs(a, b, int(shift[d]), threshold):
                     add(s, e, s - int(shift[d]), e - int(shift[d]))
-    least = int(np.ceil(threshold * 2 * SHINGLES / (1 + threshold) - 1e-9))
     for _, x, y in anchors:
         if not x or not y or (inside[x].all() and within[y].all()):
             continue
@@ -204,7 +203,7 @@ def verified_runs(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, list[in
         for low in range(0, len(left.sets), ROWS_AT_ONCE):
             for to in range(0, len(right.sets), ROWS_AT_ONCE):
                 common = shared_items(left.sets[low : low + ROWS_AT_ONCE], right.sets[to : to + ROWS_AT_ONCE])
-                wanted = np.where(left.single[low : low + ROWS_AT_ONCE, None] & right.single[None, to : to + ROWS_AT_ONCE], least, 1)
+                wanted = np.ceil(threshold / (1 + threshold) * (left.least[low : low + ROWS_AT_ONCE, None] + right.least[None, to : to + ROWS_AT_ONCE]) - 1e-9)
                 for i, j in np.argwhere(common >= wanted):
                     ps, qs = left.places[low + i], right.places[to + j]
                     if inside[ps].all() and within[qs].all():
