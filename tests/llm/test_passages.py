@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from revcast.llm.passages import BANDS, Anchors, _lowest, alike_runs, band_keys, repeated_passages, shared_runs, verified_runs
+from revcast.llm import passages
+from revcast.llm.passages import BANDS, Anchors, Text, _lowest, alike_runs, band_keys, repeated_passages, shared_runs, verified_runs
 from revcast.llm.words import Words
 from tests.llm.conftest import frame
 
@@ -197,3 +198,36 @@ def test_edited_copies_are_all_found(lm_spark):
     texts = [(0, [f"h{i}" for i in range(60)] + line + [f"g{i}" for i in range(60)])]
     texts += [(1, [f"i{i}" for i in range(60)] + p), (2, [f"j{i}" for i in range(60)] + [*p[:45], "changed", *p[46:]])]
     assert {r["doc_id"] for r in repeated_passages(frame(lm_spark, [(i, " ".join(t)) for i, t in texts])).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("size", [12, 30])
+def test_a_common_line_is_no_comparison_of_places(monkeypatch, size):
+    """Two texts that have only a line in common, over and over, are told apart without looking at pairs of its places."""
+    def never(*_):
+        raise AssertionError("places are compared")
+
+    monkeypatch.setattr(passages, "_Around", never)
+    rng = np.random.default_rng(size)
+    line = rng.integers(1, 2**62, size).astype(np.uint64)
+    sides = [np.concatenate([np.concatenate([line, rng.integers(1, 2**62, 40).astype(np.uint64)]) for _ in range(50)]) for _ in range(2)]
+    places = [n * (size + 40) for n in range(50)]
+    assert verified_runs(*sides, [(1, places, places)], 0.8) == ([], [(1, places)])
+
+
+def test_different_shingles_of_paragraphs():
+    rng = np.random.default_rng(6)
+    for words in (3, 60, 400):
+        text, other = (Text(rng.integers(0, 4, words).astype(np.uint64)) for _ in range(2))
+        x, y = text.shingles.tolist(), set(other.shingles.tolist())
+        sets = [set(x[i : i + 47]) for i in range(len(x) - 46)]
+        assert text.different.tolist() == [len(w) for w in sets]
+        can = {p for i, w in enumerate(sets) for p in range(i, i + 47) if len(w & y) >= 0.8 * len(w)}
+        assert set(np.flatnonzero(text.alike(other, 0.8)).tolist()) == can
+
+
+def test_copies_of_a_text_and_an_edited_one(lm_spark, words):
+    p = words(90, 41)
+    texts = [(i, " " + " ".join(p) + ".") for i in (3, 5, 8, 9)] + [(4, " ".join([*p[:45], "changed", *p[46:]])), (6, "short text"), (7, "short text")]
+    rows = repeated_passages(frame(lm_spark, texts)).collect()
+    assert {(r["doc_id"], r["class_id"], r["removed"]) for r in rows} == {(3, 3, False), *((i, 3, True) for i in (4, 5, 8, 9))}
+    assert all((r["start"], r["end"]) == (1, len(" ".join(p)) + 1) for r in rows if r["doc_id"] != 4)
