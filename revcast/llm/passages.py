@@ -209,12 +209,29 @@ class Text:
         return self.count(np.ones(len(self.shingles), dtype=bool))
 
     def alike(self, other: Text, threshold: float) -> np.ndarray:
-        """Whether each word begins a shingle of some paragraph of which the other text has so many shingles that it can be alike to one there."""
+        """Whether each word is in a paragraph of which the other text has so many shingles that it can be alike to one there."""
         good = self.count(np.isin(self.shingles, other.shingles)) >= threshold * self.different - 1e-9
         mark = np.zeros(len(self.words) + 1, dtype=np.int64)
         mark[: len(good)] += good
-        mark[SHINGLES : SHINGLES + len(good)] -= good
-        return np.cumsum(mark) > 0
+        mark[PARAGRAPH : PARAGRAPH + len(good)] -= good
+        return np.cumsum(mark)[:-1] > 0
+
+
+def _edges(places: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Which words are the first or the last place in a run of covered words: a paragraph that reaches out of the run has one of them if it has any place."""
+    out = np.zeros(len(covered), dtype=bool)
+    places = np.unique(places[covered[places]])
+    island = np.cumsum(np.diff(covered.astype(np.int8), prepend=0) == 1)[places]
+    new = island[1:] != island[:-1]
+    out[places[np.append(True, new)[: len(places)]]] = out[places[np.append(new, True)[: len(places)]]] = True
+    return out
+
+
+def _shut(can: np.ndarray, covered: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Whether each word is covered inside a run, or the paragraphs with a shingle there have no word that can be alike and is not covered."""
+    total = np.concatenate(([0], np.cumsum(can & ~covered[: len(can)])))
+    at = np.arange(len(can))
+    return (total[np.minimum(at + PARAGRAPH, len(can))] == total[np.maximum(at - SHINGLES + 1, 0)]) | (covered & ~edge)[: len(can)]
 
 
 class _Around:
@@ -232,16 +249,17 @@ class _Around:
         self.sets = [text.halves[max(0, p - SHINGLES + 1) : p + SHINGLES].tobytes() for p in first.tolist()]
         self.least = np.array([text.different[max(0, p - SHINGLES + 1) : p + 1].min(initial=SHINGLES) for p in first.tolist()])
 
-    def settled(self, covered: np.ndarray) -> np.ndarray:
-        """Whether all places of each content are covered."""
-        return np.logical_and.reduceat(covered[self.flat], self.begin)
+    def settled(self, shut: np.ndarray) -> np.ndarray:
+        """Whether nothing is left around all places of each content."""
+        return np.logical_and.reduceat(shut[self.flat], self.begin)
 
 
 def verified_runs(a: Text | np.ndarray, b: Text | np.ndarray, anchors: list[tuple[int, list[int], list[int]]], threshold: float) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, list[int]]]]:
     """(runs of ``a`` and ``b`` that are alike, anchors with the places of ``a`` that are in none).
 
-    Only places in 25 words that the other text has too, as alike paragraphs have, are looked at.  What no diagonal
-    settles must be in a paragraph of which the other text has the wanted share of shingles.
+    Only places in 25 words that the other text has too, as alike paragraphs have, are looked at.  Places in no
+    run and the first and last ones of a run are compared if a word around them is in no run and in a paragraph of which the other
+    text has the wanted share of shingles.
     Diagonals that several anchors lie on come first, the fullest one before the others, and are passed over if all their places are
     in runs that are known already; anchors with many pairs of places make none.  What is left is compared as sets of
     shingles, places of one content once: products of 0/1 matrices tell which have 25 words in common and can be alike at all, so a
@@ -285,13 +303,13 @@ def _find(a: Text, b: Text, anchors: list[tuple[np.ndarray, np.ndarray]], thresh
             if not (inside[on[:, 0]] & within[on[:, 1]]).all():
                 for s, e in shared_runs(a.words, b.words, int(shift[d]), threshold):
                     add(s, e, s - int(shift[d]), e - int(shift[d]))
-    anchors = [(x, y) for x, y in anchors if not (inside[x].all() and within[y].all())]
-    if not anchors:
+    if not anchors or (inside[:-1].all() and within[:-1].all()):
         return
     can_a, can_b = a.alike(b, threshold), b.alike(a, threshold)
+    edge_a, edge_b = (_edges(np.concatenate([x[side] for x in anchors]), c) for side, c in ((0, inside), (1, within)))
+    shut_a, shut_b = _shut(can_a, inside, edge_a), _shut(can_b, within, edge_b)
     for x, y in anchors:
-        x, y = x[can_a[x]], y[can_b[y]]
-        if not len(x) or not len(y) or (inside[x].all() and within[y].all()):
+        if shut_a[x].all() and shut_b[y].all():
             continue
         left, right = _Around(a, x), _Around(b, y)
         for low in range(0, len(left.sets), ROWS_AT_ONCE):
@@ -299,7 +317,7 @@ def _find(a: Text, b: Text, anchors: list[tuple[np.ndarray, np.ndarray]], thresh
                 one, other = slice(low, low + ROWS_AT_ONCE), slice(to, to + ROWS_AT_ONCE)
                 wanted = np.ceil(threshold / (1 + threshold) * (left.least[one, None] + right.least[None, other]) - 1e-9)
                 can = (shared_items(left.sets[one], right.sets[other]) >= wanted) & (shared_items(left.runs[one], right.runs[other]) > 0)
-                done, over = left.settled(inside)[one], right.settled(within)[other]
+                done, over = left.settled(shut_a)[one], right.settled(shut_b)[other]
                 for i, j in np.argwhere(can & ~(done[:, None] & over[None, :])):
                     if done[i] and over[j]:
                         continue
@@ -308,11 +326,12 @@ def _find(a: Text, b: Text, anchors: list[tuple[np.ndarray, np.ndarray]], thresh
                     if near := alike_runs(a.words, b.words, p, q, threshold):
                         s, e, u, v = near[0] - p, near[1] - p, near[2] - q, near[3] - q
                         for p2, q2 in [*((int(k), q) for k in ps), *((p, int(k)) for k in qs)]:
-                            if not (inside[p2] and within[q2]):
+                            if not (shut_a[p2] and shut_b[q2]):
                                 add(p2 + s, p2 + e, q2 + u, q2 + v)
                                 for low_end, high_end in shared_runs(a.words, b.words, p2 - q2, threshold):
                                     add(low_end, high_end, low_end - p2 + q2, high_end - p2 + q2)
-                        done, over = left.settled(inside)[one], right.settled(within)[other]
+                                shut_a, shut_b = _shut(can_a, inside, edge_a), _shut(can_b, within, edge_b)
+                        done, over = left.settled(shut_a)[one], right.settled(shut_b)[other]
 
 
 def _row_text(words: Words, shingles: np.ndarray, stretches: np.ndarray, row: int) -> Text:

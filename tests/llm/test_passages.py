@@ -221,7 +221,7 @@ def test_different_shingles_of_paragraphs():
         x, y = text.shingles.tolist(), set(other.shingles.tolist())
         sets = [set(x[i : i + 47]) for i in range(len(x) - 46)]
         assert text.different.tolist() == [len(w) for w in sets]
-        can = {p for i, w in enumerate(sets) for p in range(i, i + 47) if len(w & y) >= 0.8 * len(w)}
+        can = {p for i, w in enumerate(sets) for p in range(i, i + 51) if len(w & y) >= 0.8 * len(w)}
         assert set(np.flatnonzero(text.alike(other, 0.8)).tolist()) == can
 
 
@@ -231,3 +231,17 @@ def test_copies_of_a_text_and_an_edited_one(lm_spark, words):
     rows = repeated_passages(frame(lm_spark, texts)).collect()
     assert {(r["doc_id"], r["class_id"], r["removed"]) for r in rows} == {(3, 3, False), *((i, 3, True) for i in (4, 5, 8, 9))}
     assert all((r["start"], r["end"]) == (1, len(" ".join(p)) + 1) for r in rows if r["doc_id"] != 4)
+
+
+def test_runs_reach_beyond_the_diagonal_of_equal_words():
+    """Words behind an insertion belong to a paragraph that is alike, though the places in it lie in a run already."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(1, 2**62, 160).astype(np.uint64)
+    b = np.concatenate([a[:75], rng.integers(1, 2**62, 1).astype(np.uint64), a[75:100], rng.integers(1, 2**62, 60).astype(np.uint64)])
+    places = list(range(0, 92))
+    anchors = [(p, [p], [p if p < 75 else p + 1]) for p in places if p < 66 or p >= 75]
+    runs, _ = verified_runs(a, b, anchors, 0.8)
+    sets = [[set(t[i : i + 47].tolist()) for i in range(len(t) - 46)] for t in (Text(a).shingles, Text(b).shingles)]
+    pairs = [(i, j) for i, x in enumerate(sets[0]) for j, y in enumerate(sets[1]) if len(x & y) >= 0.8 * len(x | y)]
+    assert set().union(*(range(s, e) for s, e, _, _ in runs)) == {w for i, _ in pairs for w in range(i, i + 51)}
+    assert set().union(*(range(u, v) for _, _, u, v in runs)) == {w for _, j in pairs for w in range(j, j + 51)}
